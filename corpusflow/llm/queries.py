@@ -6,6 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import split_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +27,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    labels = _table(spark, sf_dir, "labels").where(split_of(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
+    out = score_toxicity(_table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(split_of(F.col("doc_id"), 3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import read_token_files, write_token_files
 
     return read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents"), seq_len=2048, end_id=1))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(split_of(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(split_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -40,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 4 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_token_files, op10_mixing)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op7_token_files, op8_language, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
