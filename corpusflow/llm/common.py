@@ -64,18 +64,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Bounded(dict):
-    """A memo that computes what it lacks and starts anew when it is full."""
+    """A memo that computes what it lacks.  It holds two generations of at most
+    ``limit`` entries: what is used again moves from the old one to the new."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 150_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
-
-
-def import_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

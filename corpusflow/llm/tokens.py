@@ -17,6 +17,8 @@ Arrow stream of (doc_id, start, n_tokens) within the file.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,6 +35,17 @@ from pyspark.sql import functions as F
 from .common import Bounded, durable, fresh_path, shuffle_partitions, tokenizer_path
 
 
+_MARK = re.compile(r"(?<=[^\W\d_])([,.])(?= )")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
+    the others for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str):
     """text -> little-endian unsigned ids as bytes, and their numpy type."""
@@ -50,10 +63,26 @@ def _encoder(path: str):
     drops_blanks = '"Removed"' in pre and "[^\\\\s" in pre and "Prepend" not in norm
     if not drops_blanks:
         return ids, dtype
-    memo = Bounded(ids)
+    model, mapped = tok.model, _byte_letters()
+
+    def letters(word: str) -> bytes:
+        """Normalised words of letters alone are one pre-token: the model's input."""
+        if not word.isalpha():
+            return ids(word)
+        return np.array([t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(mapped))], dtype=dtype).tobytes()
+
+    sure = all(letters(w) == ids(w) for w in ("the", "words", "schön", "été", "año", "слово", "言葉", "ꙮaa"))
+    lowers = '"Lowercase"' in norm and '"NFC"' in norm
+    normal, other = Bounded(letters if sure else ids), Bounded(ids)
+    nfc = unicodedata.is_normalized
 
     def by_part(text: str) -> bytes:
-        return b"".join([memo[x] for x in text.replace("\n", " ").split(" ")])
+        memo = other
+        if lowers and "\u03a3" not in text and nfc("NFC", text) and nfc("NFC", low := text.lower()):
+            text, memo = low, normal  # what the normaliser would make of it
+        # a comma or full stop between a letter and a blank is a token of its own
+        text = _MARK.sub(r" \1", text.replace("\n", " "))
+        return b"".join([memo[x] for x in text.split(" ")])
 
     return by_part, dtype
 
