@@ -67,7 +67,7 @@ class Bounded(dict):
     """A memo that computes what it lacks.  It holds two generations of at most
     ``limit`` entries: what is used again moves from the old one to the new."""
 
-    def __init__(self, make, limit: int = 150_000):
+    def __init__(self, make, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

@@ -17,7 +17,6 @@ Arrow stream of (doc_id, start, n_tokens) within the file.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 import uuid
 import zlib
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Bounded, durable, fresh_path, shuffle_partitions, tokenizer_path
 
 
-_MARK = re.compile(r"(?<=[^\W\d_])([,.])(?= )")
+_MARKS = frozenset(",.")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -68,21 +67,22 @@ def _encoder(path: str):
     def letters(word: str) -> bytes:
         """Normalised words of letters alone are one pre-token: the model's input."""
         if not word.isalpha():
-            return ids(word)
+            # a comma or full stop after a letter is a pre-token of its own
+            return normal[word[:-1]] + normal[word[-1]] if word[-1:] in _MARKS and word[-2:-1].isalpha() else ids(word)
         return np.array([t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(mapped))], dtype=dtype).tobytes()
 
-    sure = all(letters(w) == ids(w) for w in ("the", "words", "schön", "été", "año", "слово", "言葉", "ꙮaa"))
+    normal = Bounded(letters)
+    sure = all(letters(w) == ids(w) for w in ("the", "words", "schön", "été", "año", "слово", "言葉", "ꙮaa", "so,", "été."))
     lowers = '"Lowercase"' in norm and '"NFC"' in norm
-    normal, other = Bounded(letters if sure else ids), Bounded(ids)
+    other = Bounded(ids)
+    normal = normal if sure else other
     nfc = unicodedata.is_normalized
 
     def by_part(text: str) -> bytes:
         memo = other
         if lowers and "\u03a3" not in text and nfc("NFC", text) and nfc("NFC", low := text.lower()):
             text, memo = low, normal  # what the normaliser would make of it
-        # a comma or full stop between a letter and a blank is a token of its own
-        text = _MARK.sub(r" \1", text.replace("\n", " "))
-        return b"".join([memo[x] for x in text.split(" ")])
+        return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
 
     return by_part, dtype
 
