@@ -74,7 +74,7 @@ def _order(seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size")]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 29, rows_per_shard: int = 20_000, blocks_per_target: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 29, rows_per_shard: int = 2_000, blocks_per_target: int = 1000) -> DataFrame:
     """Adds ``size`` (words of the text; null: 0), ``source_size``, ``target``
     (the source's) and ``taken`` (words that the mix takes of the document,
     repeats counted) to (doc_id, source) of every row, plus ``first_taken``:

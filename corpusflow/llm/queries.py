@@ -36,6 +36,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import read_token_files, write_token_files
 
@@ -59,10 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 32 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op7_token_files, op8_language, op10_mixing)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op7_token_files, op8_language, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
