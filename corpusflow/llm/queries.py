@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import split_of
+from .vectors import usable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,21 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    docs = _table(spark, sf_dir, "documents")
+    out = score(docs.select("doc_id", "text"), docs.where(split_of(F.col("doc_id"), 7) != 2).select("text"))
+    held_out = F.coalesce(split_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import read_token_files, write_token_files
 
@@ -58,6 +74,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn import top_k
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 256).cast("double")).alias("x"), "embedding")
+    rows = rows.where(F.coalesce(usable("embedding"), F.lit(False)))  # floor would make integers of what is not finite
+    return top_k(rows.select("vec_id", "x"), rows.where(F.col("vec_id") % 50 == 0).select("vec_id", "x"), k=5)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -68,7 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 32 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op7_token_files, op8_language, op10_mixing)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
