@@ -92,6 +92,25 @@ def vectors(docs: DataFrame, terms: list[str], keep: tuple[str, ...]) -> DataFra
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(count, schema)
 
 
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[int, int]]:
+    """Number of documents, and of those that have each term, over all whole
+    texts: one row per term and task leaves the executors."""
+    place = {t: i for i, t in enumerate(terms)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place))
+        seen, n = Counter(), 0
+        for b in batches:
+            n += len(b)
+            for text in b.column("text").to_pylist():
+                seen.update({i for w in set(_words(text)) for i in memo[w]})
+        rows = [(-1, n), *seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.int64())], names=["t", "n"])
+
+    got = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    return max(1, got.pop(-1, 0)), got
+
+
 @dataclass
 class Index:
     """Examples in blocks.  ``idf`` has one more place: the term all texts have."""
@@ -207,9 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, most_toxic:
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     sampled = durable(text.join(F.broadcast(picked), "doc_id"), "toxicity-examples")  # at most most_toxic + most_clean ids
     terms = choose_terms(sampled, max_terms)
-    all_ = durable(vectors(docs, terms, keep), "toxicity-vectors")
-    n_docs = max(1, all_.count())
-    freq = {r["t"]: r["n"] for r in all_.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # one row per term
+    n_docs, freq = document_frequencies(docs, terms)
     idf = np.array([np.log((1 + n_docs) / (1 + freq.get(i, 0))) + 1 for i in range(len(terms))] + [1.0])
     own = vectors(sampled, terms, ("doc_id", "toxic")).collect()  # the sample
     rows = [(r["doc_id"], int(r["toxic"] > 0), list(r["ids"]), list(r["tfs"])) for r in own]
@@ -247,11 +264,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, most_toxic:
             near = [{"doc_id": int(scorer.index.doc_id[e]), "cosine": float(c), "toxic": int(scorer.index.label[e])} for e, c in zip(found[:3], cos[:3], strict=True)]
             return s, near
 
-        memo = Bounded(make, 50_000)
+        place = {t: i for i, t in enumerate(terms)}
+        memo, known = Bounded(make, 20_000), Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place))
         for b in batches:
             out = []
-            for ids, tfs in zip(b.column("ids").to_pylist(), b.column("tfs").to_pylist(), strict=True):
-                out.append(memo[(*ids, -1, *tfs)] if scorer is not None else (0.0, []))
+            for text in b.column("text").to_pylist():
+                c: Counter = Counter()
+                for w in _words(text) if scorer is not None else ():
+                    for i in known[w]:
+                        c[i] += 1
+                own = sorted(c)
+                out.append(memo[(*own, -1, *(c[i] for i in own))] if scorer is not None else (0.0, []))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], names=[*columns, "score", "evidence"])
 
-    return all_.mapInArrow(score, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(score, schema)
