@@ -38,9 +38,10 @@ def _words(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def choose_terms(examples: DataFrame, most: int = 2048, least_docs: int = 4, least_chi2: float = 15.0) -> list[str]:
-    """The terms of (text, toxic) rows whose presence goes with the label, by
-    chi-square, at most ``most``, best first."""
+def choose_terms(examples: DataFrame, most: int = 2048, least_docs: int = 4, least_chi2: float = 12.0, least_lift: float = 2.0) -> list[str]:
+    """The terms of (text, toxic) rows whose presence goes with the label: by
+    chi-square and by how much commoner they are with one label; at most
+    ``most``, best first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -64,6 +65,8 @@ def choose_terms(examples: DataFrame, most: int = 2048, least_docs: int = 4, lea
     a, b = F.col("a"), F.col("b")
     chi2 = (p + n) * F.pow(a * (n - b) - b * (p - a), 2) / (p * n * (a + b) * (p + n - a - b))
     found = found.where((a + b >= least_docs) & (a + b < p + n)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
+    lift = ((a + 0.5) / (p + 1)) / ((b + 0.5) / (n + 1))
+    found = found.where((lift >= least_lift) | (lift <= 1 / least_lift))
     return [r["term"] for r in found.orderBy(F.desc("chi2"), "term").limit(most).select("term").collect()]
 
 
@@ -122,22 +125,32 @@ class Index:
     weights: list[np.ndarray]
     block: int = 64
     top: np.ndarray = field(init=False)
-    posts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(init=False)
+    start: np.ndarray = field(init=False)
+    post_e: np.ndarray = field(init=False)
+    post_w: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        n = -(-len(self.ids) // self.block)
-        self.top = np.zeros((len(self.idf), n))
-        self.posts = []
-        for b in range(n):
-            lists: dict[int, tuple[list, list]] = {}
-            for e in range(b * self.block, min(len(self.ids), (b + 1) * self.block)):
-                for t, w in zip(self.ids[e].tolist(), self.weights[e].tolist(), strict=True):
-                    own = lists.setdefault(t, ([], []))
-                    own[0].append(e - b * self.block)
-                    own[1].append(w)
-            for t, (_, ws) in lists.items():
-                self.top[t, b] = max(ws)
-            self.posts.append({t: (np.array(es), np.array(ws)) for t, (es, ws) in lists.items()})
+        """Postings by term, then example; where each block's begin, and each
+        term's largest weight in it."""
+        n, terms = -(-len(self.ids) // self.block), len(self.idf)
+        t = np.concatenate([*self.ids, np.empty(0, int)]).astype(int)
+        e = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids]).astype(int)
+        w = np.concatenate([*self.weights, np.empty(0)])
+        order = np.lexsort((e, t))
+        t, self.post_e, self.post_w = t[order], e[order], w[order]
+        cell = t * n + self.post_e // self.block
+        self.start = np.searchsorted(cell, np.arange(terms * n + 1)).reshape(-1)
+        self.top = np.zeros(terms * n)
+        np.maximum.at(self.top, cell, self.post_w)
+        self.top = self.top.reshape(terms, n)
+
+    def _cosines(self, at: np.ndarray, w: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Of the examples of the blocks from first to before last."""
+        n, low = self.top.shape[1], first * self.block
+        lo, hi = self.start[at * n + first], self.start[at * n + last]
+        e = np.concatenate([self.post_e[a:b] for a, b in zip(lo, hi, strict=True)])
+        x = np.concatenate([self.post_w[a:b] for a, b in zip(lo, hi, strict=True)]) * np.repeat(w, hi - lo)
+        return np.bincount(e - low, weights=x, minlength=min(len(self.ids), last * self.block) - low)
 
     def query(self, ids: list[int], tfs: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms (with the common one) and unit-length weights."""
@@ -149,23 +162,30 @@ class Index:
         """The k examples of largest cosine and the cosines, ties to the
         earlier example; ``but`` is left out."""
         bound = w @ self.top[at]
-        found, cos = np.empty(0, int), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(cos) >= k and bound[b] < cos[k - 1] - 1e-12:
-                break
-            s = np.zeros(min(self.block, len(self.ids) - b * self.block))
-            post = self.posts[b]
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                if t in post:
-                    es, ws = post[t]
-                    s[es] += x * ws
-            e = np.arange(len(s)) + b * self.block
-            if b * self.block <= but < b * self.block + len(s):
-                s, e = np.delete(s, but - b * self.block), np.delete(e, but - b * self.block)
-            found, cos = np.concatenate([found, e]), np.concatenate([cos, s])
-            order = np.lexsort((found, -cos.round(12)))[:k]
-            found, cos = found[order], cos[order]
-        return found, cos
+        order = np.argsort(-bound, kind="stable")
+        s = np.full(len(self.ids), -1.0)
+        done, step, kth = 0, 2, -1.0
+        while done < len(order) and bound[order[done]] >= kth - 1e-11:
+            # twice as many blocks each time, of those that may hold a neighbour; runs of them at once
+            now = np.sort(order[done : done + step])
+            now = now[bound[now] >= kth - 1e-11]
+            for run in np.split(now, np.flatnonzero(np.diff(now) > 1) + 1):
+                lo, hi = int(run[0]), int(run[-1]) + 1
+                s[lo * self.block : hi * self.block] = self._cosines(at, w, lo, hi)
+            if 0 <= but:
+                s[but] = -1.0
+            done, step = done + step, step * 4
+            if done * self.block > k:
+                kth = np.partition(s, -k)[-k] if len(s) > k else -1.0
+        r = s.round(12)
+        if len(r) > k:
+            kth = np.partition(r, -k)[-k]
+            above, equal = np.flatnonzero(r > kth), np.flatnonzero(r == kth)
+            r_at = np.concatenate([above[np.argsort(-r[above], kind="stable")], equal[: k - len(above)]])
+        else:
+            r_at = np.argsort(-r, kind="stable")
+        r_at = r_at[s[r_at] >= 0]
+        return r_at, s[r_at]
 
 
 @dataclass
