@@ -1,0 +1 @@
+"""Corpora of pages and texts to deduplicated, scored, size-bounded chunks, on Spark."""
