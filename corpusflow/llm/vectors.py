@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a side in a dealt block, and in one matrix product.
-BLOCK, CHUNK = 4096, 1024
+BLOCK, CHUNK = 8192, 1024
 
 
 def usable(column: str) -> Column:
