@@ -8,7 +8,7 @@ from corpusflow.llm import embedding_join, knn, ngram_join
 from corpusflow.llm.embedding_join import near_vectors
 from corpusflow.llm.graph import components
 from corpusflow.llm.knn import top_k
-from corpusflow.llm.ngram_join import Rule, divide_skip, jaccard_components, shingle_set, signatures
+from corpusflow.llm.ngram_join import Rule, all_signatures, divide_skip, jaccard_components, shingle_set
 
 
 def reach(n, links):
@@ -58,9 +58,9 @@ def test_linked_sets_share_a_signature(num, den):
             continue
         a, b = (np.sort(np.array(list(x), np.uint64)) for x in (base, other))
         if rule.linked(len(base & other), len(a), len(b)):
-            assert len(np.intersect1d(signatures(a, len(a), rule), signatures(b, len(b), rule)))
-            drop = np.array(sorted(r.sample(sorted(base | other), len(base | other) // 2)), np.uint64)  # common shingles leave the slices
-            assert len(np.intersect1d(signatures(np.setdiff1d(a, drop), len(a), rule), signatures(np.setdiff1d(b, drop), len(b), rule)))
+            for share in (0, 0.1, 0.3, 0.45, 0.6, 1):
+                common = np.array(sorted(x for x in base | other if r.random() < share), np.uint64)
+                assert len(np.intersect1d(all_signatures(a, common, rule), all_signatures(b, common, rule)))
 
 
 def near_copies(seed, groups=12, each=14, n=60):
@@ -87,6 +87,7 @@ def plain(texts, k, num, den):
 @pytest.mark.parametrize("k,num,block", [(3, 90, 64), (5, 80, 5), (2, 80, 3)])
 def test_jaccard_components(spark, monkeypatch, k, num, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW", {64: 8, 5: 3, 3: 2}[block])
     monkeypatch.setattr(ngram_join, "CELL", 20 if block == 3 else 1024)
     texts = near_copies(k)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
