@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -367,8 +368,6 @@ def parse_pages(files: DataFrame, extract: bool = True, path: str = "rel_path",
 
 def register(spark: SparkSession) -> None:
     """strip_html and extract_content as SQL functions."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(pages: pd.Series) -> pd.Series:
         return pages.map(strip_html)

@@ -13,6 +13,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -25,7 +26,7 @@ MAX_DEPTH = 3
 LEAST_URLS = 3
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpacked(bodies: pd.Series) -> pd.Series:
     """Text of bodies, gunzipped where they are gzip; what does not decode is null."""
 
