@@ -87,6 +87,7 @@ def plain(texts, k, num, den):
 @pytest.mark.parametrize("k,num,block", [(3, 90, 64), (5, 80, 5), (2, 80, 3)])
 def test_jaccard_components(spark, monkeypatch, k, num, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BITS", {64: 1 << 26, 5: 1 << 10, 3: 64}[block])  # a full bitmap only lets more through
     monkeypatch.setattr(ngram_join, "FEW", {64: 8, 5: 3, 3: 2}[block])
     monkeypatch.setattr(ngram_join, "CELL", 20 if block == 3 else 1024)
     texts = near_copies(k)
