@@ -95,4 +95,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
+
+#: Plain SQL of the queries that SQL can express: all pairs, all paths.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) END AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS s FROM g), n AS (SELECT doc_id, len(g)::BIGINT AS n FROM g),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r(v, w) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.w)
+SELECT n.doc_id, n.n AS n_shingles, min(r.w) AS component_id FROM n JOIN r ON r.v = n.doc_id GROUP BY 1, 2""",
+    "op6_embedding_join": f"""
+WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE {_USABLE}),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+r(v, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.w),
+c AS (SELECT v, min(w) AS c FROM r GROUP BY 1), k AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(k.k, 0)::BIGINT AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM embeddings e JOIN c ON c.v = e.vec_id LEFT JOIN k ON k.a = e.vec_id""",
+    "op9_top_k": f"""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+}
