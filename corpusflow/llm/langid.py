@@ -107,12 +107,14 @@ def sample(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` in all of (text, lang), as many of each language, by
     seeded hash of the text and id: languages beyond their share are thinned
     before they are ranked, so no task gets a large language whole."""
-    per = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    n_langs = max(1, per.count())
-    most = max(1, rows // n_langs)
+    per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not per:
+        return labelled.select("text", "lang")
+    most = max(1, rows // len(per))
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    ranked = labelled.withColumn("_place", place).join(per, "lang").where(F.col("_place") <= 1.5 * most / F.col("n"))
-    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_place", "doc_id")))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(per.items()) for x in (lang, 1.5 * most / n)])
+    thin = labelled.withColumn("_place", place).where(F.col("_place") <= F.element_at(share, F.col("lang")))
+    ranked = thin.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_place", "doc_id")))
     return ranked.where(F.col("_rank") <= most).select("text", "lang")
 
 
