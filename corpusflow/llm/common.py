@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def sliced(batches: Iterable, rows: int = 512) -> Iterator:
+    """Batches in parts, so that few texts are Python objects at once."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
 class Bounded(dict):
     """A memo that computes what it lacks.  It holds two generations of at most
     ``limit`` entries: what is used again moves from the old one to the new."""

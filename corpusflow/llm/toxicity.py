@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Bounded, durable
+from .common import Bounded, durable, sliced
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
@@ -45,7 +45,7 @@ def choose_terms(examples: DataFrame, most: int = 2048, least_docs: int = 4, lea
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 label = int(toxic > 0)
                 seen.update({(t, label) for w in set(_words(text)) for t in terms_of(w)})
@@ -101,9 +101,9 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[i
     place = {t: i for i, t in enumerate(terms)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place))
+        memo = Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place), 120_000)
         seen, n = Counter(), 0
-        for b in batches:
+        for b in sliced(batches):
             n += len(b)
             for text in b.column("text").to_pylist():
                 seen.update({i for w in set(_words(text)) for i in memo[w]})
@@ -285,8 +285,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, most_toxic:
             return s, near
 
         place = {t: i for i, t in enumerate(terms)}
-        memo, known = Bounded(make, 20_000), Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place))
-        for b in batches:
+        memo, known = Bounded(make, 20_000), Bounded(lambda w: tuple(place[t] for t in terms_of(w) if t in place), 120_000)
+        for b in sliced(batches):
             out = []
             for text in b.column("text").to_pylist():
                 c: Counter = Counter()
