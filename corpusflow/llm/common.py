@@ -35,12 +35,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+#: Rows of an Arrow batch where rows hold whole texts or sets.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> str:
+    """From now on Arrow batches of at most BATCH_ROWS rows, so that a worker
+    and the executor hold a few megabytes of text at once, not tens; returns
+    the setting as it was."""
+    old = spark.conf.get(_BATCH)
+    if not 0 < int(old) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return old
+
+
+def durable(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
-    Cuts the lineage; survives lost executors."""
+    Cuts the lineage; survives lost executors.  ``slim`` rows
+    (no texts) pass Python in batches of the usual size."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    old = spark.conf.get(_BATCH) if slim else small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
