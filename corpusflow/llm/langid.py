@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tokens import forget
+
 #: Buckets that byte n-grams are hashed to.
 BUCKETS = 4096
 _TO_BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -149,6 +151,7 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.7)
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", lang_pred string, lang_score double, lang_ambiguous boolean"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for lo in range(0, len(b), _GROUP):
                 part = b.slice(lo, _GROUP)

@@ -37,6 +37,16 @@ from .common import Bounded, durable, fresh_path, shuffle_partitions, tokenizer_
 _MARKS = frozenset(",.")
 
 
+_MEMOS: list[Bounded] = []
+
+
+def forget() -> None:
+    """Let go of the ids of words: for workers that have turned to other work."""
+    for memo in _MEMOS:
+        memo.clear()
+        memo.old = {}
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
     the others for the code points from 256 on, in order."""
@@ -76,6 +86,7 @@ def _encoder(path: str):
     lowers = '"Lowercase"' in norm and '"NFC"' in norm
     other = Bounded(ids)
     normal = normal if sure else other
+    _MEMOS.extend((normal, other))
     nfc = unicodedata.is_normalized
 
     def by_part(text: str) -> bytes:
