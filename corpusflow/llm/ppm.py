@@ -10,17 +10,19 @@ longer one knows.  As every symbol known to a context is known to its suffix,
 what is left out is a sum per context, so scoring is a few binary searches per
 byte over sorted arrays, for all words of a batch at once.
 
-Counts cover all training texts.  They are gathered over distinct words, since
-contexts stay within words.  What executors hold is bounded: the trie takes the
-longest order, from ``order`` down, whose entries number at most
-``max_entries``; the word table that is held is the ``frequent`` commonest
-words, the others' counts are joined.
+Counts cover all training texts, at the full order whatever their number.  A
+symbol's probability depends on itself and the ``order`` before it, its key.
+The trie is a table of key counts in the shared folder.  Contexts longer than
+``LOW`` are dealt by their last LOW + 1 symbols, so that a task has all that
+concerns its keys; the shorter ones are a table bounded by the alphabet.
+Workers hold the probabilities of about ``held`` common keys and the
+``frequent`` commonest words; a text's other keys are sent to the task that has
+their contexts, the other words' counts are joined.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +30,8 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,12 @@ from .tokens import _fs
 CLOSE, END, SYMBOLS = 256, 257, 258
 _U = np.uint64
 _B = 9  # bits of a symbol
+#: Contexts of at most so many symbols are held whole.
+LOW = 2
+#: Keys of a task, as a rule; symbols counted at once.
+TASK_KEYS, CHUNK = 500_000, 4_000_000
+_SYMBOL = np.arange(256, dtype=_U)
+_SYMBOL[[32, 10]] = CLOSE, END  # no word has white space
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,13 +76,40 @@ def _keys(flat: np.ndarray, pos: np.ndarray, at: np.ndarray, order: int) -> np.n
     return k
 
 
-def _tables(keys: np.ndarray, counts: np.ndarray, order: int) -> list[dict[str, np.ndarray]]:
+def stream_keys(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all symbols of the texts (tokens each), and where each text starts."""
+    pad = b" " * order
+    parts = [pad + b"".join([w + b" " for w in words]) + b"\n" for words in texts]
+    flat = _SYMBOL[np.frombuffer(b"".join(parts), "uint8")]
+    size = np.fromiter(map(len, parts), "int64", len(parts))
+    k = flat.copy()
+    for j in range(1, order + 1):
+        k[j:] |= flat[:-j] << _U(_B * j)
+    # before the word: CLOSE
+    at = np.arange(len(flat))
+    first = np.r_[True, flat[:-1] >= CLOSE]
+    pos = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), order)
+    k = k & np.array([(1 << _B * (p + 1)) - 1 for p in range(order + 1)], _U)[pos] | np.array([sum(CLOSE << _B * j for j in range(p + 1, order + 1)) for p in range(order + 1)], _U)[pos]
+    real = np.ones(len(flat), bool)
+    starts = np.cumsum(size) - size
+    real[(starts[:, None] + np.arange(order)).ravel()] = False
+    return k[real], starts - order * np.arange(len(parts))
+
+
+def _real(keys: np.ndarray, d: int) -> np.ndarray:
+    """Keys with a context as long as d: the d-th symbol back is the start at most."""
+    if d < 2:
+        return np.ones(len(keys), bool)
+    return (((keys >> _U(_B * d)) & _U(511)) != CLOSE) | (((keys >> _U(_B * (d - 1))) & _U(511)) != CLOSE)
+
+
+def _tables(keys: np.ndarray, counts: np.ndarray, order: int, low: list[dict[str, np.ndarray]] | None = None) -> list[dict[str, np.ndarray]]:
     """Per order: sorted (context, symbol) keys and counts; contexts, their
-    totals and numbers of symbols; and both of the suffix, less what is known here."""
-    out: list[dict[str, np.ndarray]] = []
-    for d in range(order + 1):
-        # contexts as long as d: the d-th symbol back is the word's start at most
-        real = np.ones(len(keys), bool) if d < 2 else ~(((keys >> _U(_B * d)) & _U(511)) == CLOSE) | ~(((keys >> _U(_B * (d - 1))) & _U(511)) == CLOSE)
+    totals and numbers of symbols; and both of the suffix, less what is known
+    here.  The first orders are ``low``, where it is given."""
+    out: list[dict[str, np.ndarray]] = list(low or [])
+    for d in range(len(out), order + 1):
+        real = _real(keys, d)
         u, inv = np.unique(keys[real] & _U((1 << _B * (d + 1)) - 1), return_inverse=True)
         c = np.bincount(inv, weights=counts[real], minlength=len(u))
         context, first = np.unique(u >> _U(_B), return_index=True)
@@ -101,31 +138,32 @@ class Trie:
         return np.bincount(own, weights=self._symbols(flat, pos), minlength=len(words))
 
     def _symbols(self, flat: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        out, at_order = np.zeros(len(flat)), np.minimum(self.order, pos + 1)
-        left_n, left_q = np.full(len(flat), -1.0), np.zeros(len(flat))  # after an escape: what the next context has besides
-        for d in range(self.order, -1, -1):
-            at, t = np.flatnonzero(at_order == d), self.tables[d]
-            if not len(at):
-                continue
-            at_order[at] = d - 1
-            if not len(t["key"]):
-                continue
-            k = _keys(flat, pos, at, d)
-            e = np.minimum(np.searchsorted(t["key"], k), len(t["key"]) - 1)
-            c = np.minimum(np.searchsorted(t["context"], k >> _U(_B)), len(t["context"]) - 1)
-            known = t["context"][c] == k >> _U(_B)
-            hit = t["key"][e] == k
-            came = left_n[at] >= 0
-            n, q = np.where(came, left_n[at], t["n"][c]), np.where(came, left_q[at], t["q"][c])
-            out[at[hit]] += np.log10(t["count"][e[hit]] / (n[hit] + q[hit]))
-            at_order[at[hit]] = -2
-            miss = known & ~hit
-            pays = miss & (q > 0)  # a context with nothing besides is passed for free
-            out[at[pays]] += np.log10(q[pays] / (n[pays] + q[pays]))
-            left_n[at[miss]], left_q[at[miss]] = t["nx"][c[miss]], t["qx"][c[miss]]
-        new = at_order == -1
-        out[new] -= math.log10(max(1, SYMBOLS - len(self.tables[0]["key"])))
-        return out
+        return costs(self.tables, _keys(flat, pos, np.arange(len(flat)), self.order), self.order)
+
+
+def costs(tables: list[dict[str, np.ndarray]], keys: np.ndarray, order: int) -> np.ndarray:
+    """log10 probabilities of the keys' symbols after their contexts."""
+    out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    left_n, left_q = np.full(len(keys), -1.0), np.zeros(len(keys))  # after an escape: what the next context has besides
+    for d in range(order, -1, -1):
+        at, t = np.flatnonzero(open_ & _real(keys, d)), tables[d]
+        if not len(at) or not len(t["key"]):
+            continue
+        k = keys[at] & _U((1 << _B * (d + 1)) - 1)
+        e = np.minimum(np.searchsorted(t["key"], k), len(t["key"]) - 1)
+        c = np.minimum(np.searchsorted(t["context"], k >> _U(_B)), len(t["context"]) - 1)
+        known = t["context"][c] == k >> _U(_B)
+        hit = t["key"][e] == k
+        came = left_n[at] >= 0
+        n, q = np.where(came, left_n[at], t["n"][c]), np.where(came, left_q[at], t["q"][c])
+        out[at[hit]] += np.log10(t["count"][e[hit]] / (n[hit] + q[hit]))
+        open_[at[hit]] = False
+        miss = known & ~hit
+        pays = miss & (q > 0)  # a context with nothing besides is passed for free
+        out[at[pays]] += np.log10(q[pays] / (n[pays] + q[pays]))
+        left_n[at[miss]], left_q[at[miss]] = t["nx"][c[miss]], t["qx"][c[miss]]
+    out[open_] -= math.log10(max(1, SYMBOLS - len(tables[0]["key"])))
+    return out
 
 
 class Adaptive:
@@ -187,8 +225,9 @@ def word_counts(texts: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(words: DataFrame, ends: int, order: int = 6, max_entries: int = 2_000_000) -> Trie:
-    """The trie of (word, c) and so many ends of texts."""
+def train(words: DataFrame, ends: int, order: int = 6, max_entries: int | None = None) -> Trie:
+    """The trie of (word, c) and so many ends of texts, in this process; with
+    ``max_entries`` a coarser one.  ``score`` does not use it."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,10 +238,10 @@ def train(words: DataFrame, ends: int, order: int = 6, max_entries: int = 2_000_
                 yield pa.RecordBatch.from_arrays([pa.array(k.view("int64")), pa.array(n.astype("int64"))], names=["k", "n"])
 
     top = durable(words.mapInArrow(grams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-entries", slim=True)
-    while order and top.count() > max_entries:
+    while order and max_entries is not None and top.count() > max_entries:
         order -= 1
         top = durable(top.groupBy(F.col("k").bitwiseAND(F.lit((1 << _B * (order + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")), "ppm-entries", slim=True)
-    got = top.toArrow()  # at most max_entries rows
+    got = top.toArrow()
     keys, counts = got.column("k").to_numpy().astype("int64").view(_U), got.column("n").to_numpy().astype("float64")
     if ends:
         flat, pos, _ = _spelled([b""])
@@ -210,37 +249,105 @@ def train(words: DataFrame, ends: int, order: int = 6, max_entries: int = 2_000_
     return Trie(keys, counts, order)
 
 
-def _save(spark, parts: dict[str, np.ndarray]) -> str:
-    """Arrays as one Arrow file in the shared folder; workers load it once."""
-    base = fresh_path(spark, "ppm-model")
-    fs, path = _fs(base)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/model") as f:
-        for name, x in parts.items():
-            raw = np.ascontiguousarray(x)
-            f.write(np.array([len(name), raw.dtype.kind == "f", len(raw)], "int64").tobytes() + name.encode() + raw.tobytes())
-    return f"{base}/model"
+def key_counts(texts: DataFrame, order: int) -> DataFrame:
+    """(k, n): the keys of all texts and how often they occur, as a durable table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in sliced(batches):
+            if len(b):
+                parts.append(stream_keys([tokens(t) for t in b.column("text").to_pylist()], order)[0])
+                size += len(parts[-1])
+            if size >= CHUNK:
+                yield from rows(parts)
+                parts, size = [], 0
+        if parts:
+            yield from rows(parts)
+
+    def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, n = np.unique(np.concatenate(parts), return_counts=True)
+        for lo in range(0, len(k), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 50_000].view("int64")), pa.array(n[lo : lo + 50_000])], names=["k", "n"])
+
+    return durable(texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-entries")
+
+
+def _low(entries: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the contexts of at most LOW symbols; the alphabet bounds them."""
+    got = entries.groupBy(F.col("k").bitwiseAND(F.lit((1 << _B * (min(LOW, order) + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")).toArrow()
+    return got.column("k").to_numpy().astype("int64").view(_U), got.column("n").to_numpy().astype("float64")
+
+
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """Rows with a key, those of one context of LOW + 1 symbols in one task."""
+    context = F.shiftright("k", _B).bitwiseAND(F.lit((1 << _B * (LOW + 1)) - 1))
+    return rows.repartition(max(1, -(-count // TASK_KEYS)), context)
+
+
+def _priced(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], order: int, least: int) -> DataFrame:
+    """(k, p): the log10 probabilities of the keys with at least ``least`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("k").to_numpy().view(_U), b.column("n").to_numpy()) for b in batches]
+        if got:
+            k, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            tables = _tables(k, n.astype("float64"), order, _tables(*low, min(LOW, order)))
+            k = np.sort(k[n >= least])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view("int64")), pa.array(costs(tables, k, order))], names=["k", "p"])
+
+    return _dealt(entries, size).mapInArrow(run, "k long, p double")
+
+
+def _asked(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], order: int, asked: DataFrame, most: int) -> DataFrame:
+    """(row, p): sums of the log10 probabilities of the keys in ``asked`` (row, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, tables, wait, size = [], None, [], 0
+        for b in batches:
+            row, k, n = (b.column(x).to_numpy() for x in ("row", "k", "n"))
+            own = row < 0  # entries come first
+            if own.any():
+                got.append((k[own].view(_U), n[own]))
+            if not own.all():
+                wait.append((row[~own], k[~own].view(_U)))
+                size += len(wait[-1][0])
+            if size >= 200_000:
+                tables = tables or built(got)
+                yield sums(tables, wait)
+                wait, size = [], 0
+        if wait:
+            yield sums(tables or built(got), wait)
+
+    def built(got: list) -> list:
+        k, n = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, _U), np.empty(0))
+        return _tables(k, n.astype("float64"), order, _tables(*low, min(LOW, order)))
+
+    def sums(tables: list, wait: list) -> pa.RecordBatch:
+        row, k = (np.concatenate(x) for x in zip(*wait, strict=True))
+        rows, at = np.unique(row, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, weights=costs(tables, k, order)))], names=["row", "p"])
+
+    both = entries.select(F.lit(-1).cast("long").alias("row"), "k", "n").unionByName(asked.select("row", "k", F.lit(0).cast("long").alias("n")))
+    return _dealt(both, max(size, most // 4)).sortWithinPartitions("row").mapInArrow(run, "row long, p double").groupBy("row").agg(F.sum("p").alias("p"))
 
 
 @lru_cache(maxsize=1)
-def _load(uri: str, order: int) -> Trie:
+def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """The held keys, sorted, and their log10 probabilities; once per worker."""
     fs, path = _fs(uri)
-    with fs.open_input_stream(path) as f:
-        raw = f.read()
-    parts, at = {}, 0
-    while at < len(raw):
-        size, real, n = np.frombuffer(raw, "int64", 3, at)
-        name = bytes(raw[at + 24 : at + 24 + size]).decode()
-        at += 24 + int(size)
-        parts[name] = np.frombuffer(raw, "float64" if real else _U, int(n), at)
-        at += 8 * int(n)
-    model = Trie.__new__(Trie)
-    model.order = order
-    model.tables = [{k: parts[f"{d}.{k}"] for k in ("key", "count", "context", "n", "q", "nx", "qx")} for d in range(order + 1)]
-    return model
-
-
-def score(docs: DataFrame, training: DataFrame, order: int = 6, max_entries: int = 2_000_000, frequent: int = 1 << 17) -> DataFrame:
+    keys, p = [np.empty(0, _U)], [np.empty(0)]
+    for f in fs.get_file_info(FileSelector(path)):
+        if f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as opened:
+                t = pq.ParquetFile(opened).read()
+            keys.append(t.column("k").to_numpy().view(_U))
+            p.append(t.column("p").to_numpy())
+    k, p = np.concatenate(keys), np.concatenate(p)
+    at = np.argsort(k)
+    return k[at], p[at]
+
+
+def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int = 1 << 17, held: int = 4_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
     row of ``docs`` (doc_id, text), learning from ``training`` (text).
 
@@ -256,50 +363,58 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, max_entries: int
     ends = training.count()
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0) + ends, int(total["v"]) + (ends > 0)
-    model = train(words, ends, order, max_entries)
-    uri = _save(spark, {f"{d}.{k}": x for d, t in enumerate(model.tables) for k, x in t.items()})
-    order = model.order
-    del model
+    entries = key_counts(training, order)
+    low = _low(entries, order)
+    sizes = sorted(((r["b"], r["c"]) for r in entries.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    distinct, so_far, least = sum(c for _, c in sizes), 0, 1 << 62
+    for b, c in sizes:  # the commonest keys, by quarters of a power of two, as far as ``held`` goes
+        so_far += c
+        if so_far > held:
+            break
+        least = math.ceil(2 ** (b / 4) - 1e-9)
+    uri = fresh_path(spark, "ppm-held")
+    _priced(entries, distinct, low, order, least).write.parquet(uri)
     common = {bytes(r["word"]): math.log10((r["c"] + 1) / (n + v + 1)) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
     end_base, one = math.log10((ends + 1) / (n + v + 1)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _load(uri, order)
-        if not hasattr(trie, "common"):  # once per worker: places of the common words, and their probabilities
-            trie.common = {w: i for i, w in enumerate(common)}
-            trie.probs = trie.log10(list(common))
-            trie.bases = np.fromiter(common.values(), "float64", len(common))
-        end = float(trie.log10([b""])[0])
+        keys, probs = _load(uri)
+        places, bases = {w: i for i, w in enumerate(common)}, np.fromiter(common.values(), "float64", len(common))
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
         for b in batches:
             for lo in range(0, len(b), 1024):
                 part = b.slice(lo, 1024)
-                size, base, known, prob, others, times = [], [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    c = Counter(tokens(text))
+                texts = [tokens(t) for t in part.column("text").to_pylist()]
+                size, base, known, others, times = [], [], [], [], []
+                for text in texts:
+                    c = Counter(text)
                     tf = np.fromiter(c.values(), "float64", len(c))
-                    at = np.fromiter(map(trie.common.get, c, repeat(-1)), "int64", len(c))
+                    at = np.fromiter(map(places.get, c, repeat(-1)), "int64", len(c))
                     held = at >= 0
                     at, own = at[held], tf[held]
                     size.append(int(tf.sum()) + 1)
-                    base.append(float(trie.bases[at] @ own) + end_base)
+                    base.append(float(bases[at] @ own) + end_base)
                     known.append(int(own.sum()) + one)
-                    prob.append(float(trie.probs[at] @ own) + end)
                     others.append(list(compress(c, ~held)))
                     times.append(tf[~held])
-                new = list(set().union(*others))
-                scored = dict(zip(new, trie.log10(new).tolist(), strict=True))
-                for i, (words_, tf) in enumerate(zip(others, times, strict=True)):
-                    prob[i] += float(np.fromiter(map(scored.__getitem__, words_), "float64", len(words_)) @ tf)
+                k, starts = stream_keys(texts, order)
+                u, inv = np.unique(k, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+                here = keys[at] == u if len(keys) else np.zeros(len(u), bool)
+                prob = np.add.reduceat(np.where(here, probs[at] if len(keys) else 0.0, 0.0)[inv], starts)
+                far = ~here[inv]
+                asks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(far, starts, dtype="int64"))], pa.int32()), pa.array(k[far].view("int64")))
                 rare = pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0] + [len(x) for x in others]), pa.int32()),
                     pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array(np.concatenate(times).astype("int64"))], fields=list(rare_type.value_type)),
                 )
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare, asks], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare", "asks"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    done = durable(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, base double, known long, score double, rare array<struct<word: binary, tf: long>>"), "ppm-scores")
+    done = durable(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, base double, known long, score double, rare array<struct<word: binary, tf: long>>, asks array<long>"), "ppm-scores")
     asked = done.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     found = asked.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"))
-    out = done.drop("rare").join(found, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    most = done.agg(F.sum(F.size("asks"))).first()[0] or 0
+    far = _asked(entries, distinct, low, order, done.select("row", F.explode("asks").alias("k")), most).withColumnRenamed("p", "far")
+    out = done.drop("rare", "asks").join(found, "row", "left").join(far, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"))

@@ -192,5 +192,16 @@ def test_scores(spark, rough, none):
     assert empty.score == pytest.approx(-6 * math.log10(ppm.SYMBOLS))
 
 
+@pytest.mark.parametrize("held", [0, 200, 10**6])
+def test_scores_are_the_models_at_full_order(spark, rough, held):
+    docs = rough.where("doc_id is not null and doc_id not in (6, 10)")
+    training = docs.where("doc_id % 3 <> 0")
+    texts = [tokens(r.text) for r in training.collect()]
+    counts = Counter([w for t in texts for w in t]) + Counter({b"": len(texts)})
+    got = {r.doc_id: r.score for r in score(docs, training, held=held).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(sum(simple_ppm(counts, [*tokens(r.text), b""], 6)))
+
+
 def test_terms(spark):
     assert toxicity.terms_of("abcde") == ["=abcde", "abcd*", "abcde*"]
