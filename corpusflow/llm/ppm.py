@@ -2,7 +2,8 @@
 
 A text is its tokens: words (runs of anything but ASCII white space, A-Z
 lower-cased) and one end.  The model spells each word byte by byte and closes
-it; contexts are the bytes since the word's start, at most ``order`` of them.
+it; contexts are the symbols since the text's start, at most ``order`` of them,
+across the ends of words.
 The trie has the counts of each symbol after each context.  Where a symbol is
 new in a context the model escapes (method C: as often as the context has
 shown new symbols) to the next shorter one and leaves out the symbols that the
@@ -77,7 +78,8 @@ def _keys(flat: np.ndarray, pos: np.ndarray, at: np.ndarray, order: int) -> np.n
 
 
 def stream_keys(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all symbols of the texts (tokens each), and where each text starts."""
+    """Keys of all symbols of the texts (tokens each), contexts crossing the
+    ends of words but not of texts, and where each text starts."""
     pad = b" " * order
     parts = [pad + b"".join([w + b" " for w in words]) + b"\n" for words in texts]
     flat = _SYMBOL[np.frombuffer(b"".join(parts), "uint8")]
@@ -85,11 +87,6 @@ def stream_keys(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.nd
     k = flat.copy()
     for j in range(1, order + 1):
         k[j:] |= flat[:-j] << _U(_B * j)
-    # before the word: CLOSE
-    at = np.arange(len(flat))
-    first = np.r_[True, flat[:-1] >= CLOSE]
-    pos = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), order)
-    k = k & np.array([(1 << _B * (p + 1)) - 1 for p in range(order + 1)], _U)[pos] | np.array([sum(CLOSE << _B * j for j in range(p + 1, order + 1)) for p in range(order + 1)], _U)[pos]
     real = np.ones(len(flat), bool)
     starts = np.cumsum(size) - size
     real[(starts[:, None] + np.arange(order)).ravel()] = False
@@ -125,7 +122,8 @@ def _tables(keys: np.ndarray, counts: np.ndarray, order: int, low: list[dict[str
 
 
 class Trie:
-    """A pretrained model: log10 probabilities of spelled words."""
+    """A pretrained model in one process: log10 probabilities of spelled words,
+    each on its own."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
         self.order, self.tables = order, _tables(keys, counts, order)
@@ -175,9 +173,9 @@ class Adaptive:
 
     def log10(self, text: str | None) -> float:
         total = 0.0
+        past: tuple = (CLOSE,)
         for word in [*tokens(text), None]:
             spelled = [END] if word is None else [*word, CLOSE]
-            past: tuple = (CLOSE,)
             for s in spelled:
                 contexts = [past[len(past) - d :] for d in range(min(self.order, len(past)), -1, -1)]
                 total += self._cost(contexts, s)
@@ -226,8 +224,9 @@ def word_counts(texts: DataFrame, chunk: int = 2_000_000) -> DataFrame:
 
 
 def train(words: DataFrame, ends: int, order: int = 6, max_entries: int | None = None) -> Trie:
-    """The trie of (word, c) and so many ends of texts, in this process; with
-    ``max_entries`` a coarser one.  ``score`` does not use it."""
+    """The trie of (word, c) and so many ends of texts, in this process, each
+    word on its own; with ``max_entries`` a coarser one.  ``score`` does not use
+    it."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

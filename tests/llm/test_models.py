@@ -192,15 +192,53 @@ def test_scores(spark, rough, none):
     assert empty.score == pytest.approx(-6 * math.log10(ppm.SYMBOLS))
 
 
+def stream_ppm(training, texts, order):
+    """As simple_ppm, over texts in sequence."""
+    nodes = {}
+    spell = lambda words: [s for w in words for s in (*w, ppm.CLOSE)] + [ppm.END]
+    for words in training:
+        past = (ppm.CLOSE,)
+        for s in spell(words):
+            for d in range(min(order, len(past)) + 1):
+                nodes.setdefault(past[len(past) - d :], Counter())[s] += 1
+            past = (*past, s)[-order:]
+    out = []
+    for words in texts:
+        total, past = 0.0, (ppm.CLOSE,)
+        for s in spell(words):
+            gone = set()
+            for d in range(min(order, len(past)), -1, -1):
+                node = {k: n for k, n in nodes.get(past[len(past) - d :], {}).items() if k not in gone}
+                if not node:
+                    continue
+                n = sum(node.values()) + len(node)
+                if s in node:
+                    total += math.log10(node[s] / n)
+                    break
+                total += math.log10(len(node) / n)
+                gone |= set(node)
+            else:
+                total -= math.log10(ppm.SYMBOLS - len(gone))
+            past = (*past, s)[-order:]
+        out.append(total)
+    return out
+
+
 @pytest.mark.parametrize("held", [0, 200, 10**6])
 def test_scores_are_the_models_at_full_order(spark, rough, held):
     docs = rough.where("doc_id is not null and doc_id not in (6, 10)")
     training = docs.where("doc_id % 3 <> 0")
-    texts = [tokens(r.text) for r in training.collect()]
-    counts = Counter([w for t in texts for w in t]) + Counter({b"": len(texts)})
     got = {r.doc_id: r.score for r in score(docs, training, held=held).collect()}
-    for r in docs.collect():
-        assert got[r.doc_id] == pytest.approx(sum(simple_ppm(counts, [*tokens(r.text), b""], 6)))
+    rows = docs.collect()
+    plain = stream_ppm([tokens(r.text) for r in training.collect()], [tokens(r.text) for r in rows], 6)
+    assert [got[r.doc_id] for r in rows] == pytest.approx(plain)
+
+
+def test_order_of_words_matters(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text), (2, "six three eight one five two seven four")], "doc_id long, text string")
+    got = {r.doc_id: r for r in score(docs, spark.createDataFrame([(text,)] * 3, "text string")).collect()}
+    assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 1
 
 
 def test_terms(spark):
