@@ -2,7 +2,9 @@
 
 The mix has as many words as the corpus.  It is cut into blocks of equal size
 that are dealt to sources by highest quotients, then, within each source, to
-its shards (hash ranges of its documents).  A shard's documents stand in a
+its shards (hash ranges of its documents).  Where whole blocks
+do not fit what its shards may give, the rest is dealt to them in words.  A
+shard's documents stand in a
 seeded order; the blocks that its quota takes start at a seeded place of that
 order and go round, as often as the quota says.
 """
@@ -108,13 +110,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     def deal(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard", kind="stable")
-        got = sainte_lague(shards["stock"].to_numpy(), int(shards["quota"].iloc[0]), (most * shards["stock"].to_numpy()).astype("int64") // block)
-        return shards.assign(got=got)[["source", "shard", "stock", "got"]]
-
-    quotas = stock.groupBy("source").applyInPandas(deal, "source string, shard long, stock long, got long")
+        room, quota = (most * shards["stock"].to_numpy()).astype("int64"), int(shards["quota"].iloc[0])
+        words = block * sainte_lague(shards["stock"].to_numpy(), quota, room // block)
+        room = room - words  # less than a block, where seats are left: their words go here
+        left = quota * block - words.sum()
+        words = words + np.clip(left - (np.cumsum(room) - room), 0, room)
+        return shards.assign(words=words)[["source", "shard", "stock", "words"]]
+
+    quotas = stock.groupBy("source").applyInPandas(deal, "source string, shard long, stock long, words long")
     at = W.partitionBy("source", "shard").orderBy(*_order(seed)).rowsBetween(W.unboundedPreceding, -1)
     spans = rows.withColumn("start", F.coalesce(F.sum("size").over(at), F.lit(0)))
-    q = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "stock", (F.col("got") * F.lit(block)).alias("words"))
+    q = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "stock", "words")
     joined = spans.join(q, spans["source"].eqNullSafe(F.col("_s")) & (spans["shard"] == F.col("_k")))
     # the quota's words: whole rounds of the shard, and one window that starts at a seeded block and goes round
     joined = joined.withColumn("whole", F.when(F.col("stock") > 0, F.expr("words div stock")).otherwise(0)).withColumn("part", F.when(F.col("stock") > 0, F.expr("words % stock")).otherwise(0))

@@ -54,6 +54,12 @@ def test_mix(rough, none):
     assert mix(none).count() == 0
 
 
+def test_capped_source_reaches_its_target(spark):
+    rows = [(i, "w " * 7, "a") for i in range(60)] + [(100 + i, "w " * 50, "b") for i in range(60)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_shard=2, blocks_per_target=100).where("source = 'a'").collect()
+    assert got[0].target == 3 * 420 and sum(r.taken for r in got) == pytest.approx(3 * 420, abs=12)
+
+
 def test_shards_fit_and_only_large_ones_split(rough):
     rows = shard(rough, 3000).collect()
     assert len(rows) == rough.count()
