@@ -23,13 +23,13 @@ KEY_BITS = 32
 MAX_BITS = 60
 
 
-def _slim(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
+def _slim(docs: DataFrame, key: str, text: str, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, bytes, and 60 hash bits: 32 of the key, then bits that differ
     between rows of one key (their content, then their place in the scan)."""
     top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 32)
     row = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(text), F.monotonically_increasing_id()), F.lit(1 << (MAX_BITS - KEY_BITS)))
     size = F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col(key).alias("_key"), size.alias("_bytes"), (F.shiftleft(top, MAX_BITS - KEY_BITS) + row).alias("_h"))
+    return docs.select(F.col(key).alias("_key"), size.alias("_bytes"), (F.shiftleft(top, MAX_BITS - KEY_BITS) + row).alias("_h"), *keep)
 
 
 def _prefix(h, bits):
@@ -50,7 +50,7 @@ def directory(cells: DataFrame, limit: int, base: int, depth: int) -> DataFrame:
     return cells.join(fits, "cell", "left")
 
 
-def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "text", seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, bytes, shard_id, local_depth, shard_bytes, shard_rows, oversize)
     for each row; ``shard_id`` is the bucket's hash prefix with a leading 1.
 
@@ -59,12 +59,12 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
     hash like any key; rows with one key stay together until their bucket has
     used up the key's bits, then they part on bits of their own, so a key that
     holds a third of all rows is split like any other.  Extra columns are
-    ignored; an empty table gives an empty result.  The rows' hashes and sizes
+    ignored, but for those in ``keep``; an empty table gives an empty result.  The rows' hashes and sizes
     are written once to the shared folder.
     """
     if limit_bytes <= 0:
         raise ValueError("limit_bytes must be positive")
-    slim = durable(_slim(docs, key, text, seed), "shard-rows")
+    slim = durable(_slim(docs, key, text, seed, keep), "shard-rows")
     total = slim.agg(F.sum("_bytes")).first()[0] or 0
     depth = min(MAX_BITS, max(1, math.ceil(math.log2(max(1, total / limit_bytes))) + 4))
     done, open_, base = None, slim, 0
@@ -90,17 +90,17 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
     if placed is None:
         placed = slim.withColumn("cell", F.lit(0).cast("long")).withColumn("bits", F.lit(0))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
-    placed = placed.select("_key", "_bytes", (one + _prefix(F.col("_h"), F.col("bits"))).alias("shard_id"), F.col("bits").alias("local_depth"))
+    placed = placed.select("_key", "_bytes", (one + _prefix(F.col("_h"), F.col("bits"))).alias("shard_id"), F.col("bits").alias("local_depth"), *keep)
     sums = placed.groupBy("shard_id").agg(F.sum("_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return placed.join(sums, "shard_id").select(F.col("_key").alias(key), F.col("_bytes").alias("bytes"), "shard_id", "local_depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit_bytes).alias("oversize"))
+    return placed.join(sums, "shard_id").select(F.col("_key").alias(key), F.col("_bytes").alias("bytes"), "shard_id", "local_depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit_bytes).alias("oversize"), *keep)
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` as one folder of Parquet files per shard below ``path``
-    and return the shards' sizes.  Rows join their shard by key; tables whose
-    key repeats are written by the prefix that all rows of the key share."""
-    placed = shard(docs, limit_bytes, key, text)
-    own = placed.groupBy(key).agg(F.min("shard_id").alias("shard_id"))
-    joined = docs.join(own, docs[key].eqNullSafe(own[key])).drop(own[key])
+    and return the shards' sizes.  Rows are numbered in a durable table and
+    join their shard by number, so rows of one key part as ``shard`` parts them."""
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-docs")
+    placed = durable(shard(rows, limit_bytes, key, text, keep=("_row",)), "shard-placed", slim=True)
+    joined = rows.join(placed.select("_row", "shard_id"), "_row").drop("_row")
     joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
     return placed.groupBy("shard_id").agg(F.first("shard_bytes").alias("shard_bytes"), F.first("shard_rows").alias("shard_rows"))

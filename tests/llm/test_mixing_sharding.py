@@ -92,3 +92,10 @@ def test_shards_of_nothing_and_written(spark, none, rough, tmp_path):
     some = rough.where("doc_id >= 100").select("doc_id", "text")
     write_shards(some, str(tmp_path / "s"), 4000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == some.count()
+
+
+def test_rows_of_one_key_are_written_apart(spark, tmp_path):
+    same = spark.range(400).selectExpr("cast(5 as long) as doc_id", "repeat('x', 100) as text")
+    sizes = {r.shard_id: r.shard_rows for r in write_shards(same, str(tmp_path / "s"), 2500).collect()}
+    written = spark.read.parquet(str(tmp_path / "s")).groupBy("shard_id").count().collect()
+    assert {r.shard_id: r["count"] for r in written} == sizes and max(sizes.values()) <= 25
