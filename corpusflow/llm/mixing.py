@@ -76,11 +76,12 @@ def _order(seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size")]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 29, rows_per_shard: int = 2_000, blocks_per_target: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 29, rows_per_shard: int = 2_000, blocks_per_target: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``size`` (words of the text; null: 0), ``source_size``, ``target``
     (the source's) and ``taken`` (words that the mix takes of the document,
     repeats counted) to (doc_id, source) of every row, plus ``first_taken``:
-    how often the mix takes the block with the document's first word.
+    how often the mix takes the block with the document's first word, and the
+    columns in ``keep``.
 
     Sources in code point order, null last, take the weights in turn.  Sources
     without words get nothing.  Rows that share an id are separate documents.
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     of all shards.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = durable(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    slim = durable(docs.select("doc_id", "source", size.alias("size"), *keep), "mix-sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     total = sum(r["size"] for r in per_source)
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         return shards.assign(words=words)[["source", "shard", "stock", "words"]]
 
     quotas = stock.groupBy("source").applyInPandas(deal, "source string, shard long, stock long, words long")
-    at = W.partitionBy("source", "shard").orderBy(*_order(seed)).rowsBetween(W.unboundedPreceding, -1)
+    at = W.partitionBy("source", "shard").orderBy(*_order(seed), *keep).rowsBetween(W.unboundedPreceding, -1)
     spans = rows.withColumn("start", F.coalesce(F.sum("size").over(at), F.lit(0)))
     q = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_k"), "stock", "words")
     joined = spans.join(q, spans["source"].eqNullSafe(F.col("_s")) & (spans["shard"] == F.col("_k")))
@@ -136,4 +137,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     first = ((F.col("start") >= F.col("from")) & (F.col("start") < end)) | (F.col("start") < end - F.col("stock"))
     taken = F.col("whole") * F.col("size") + extra
     first_taken = F.when(F.col("size") > 0, F.col("whole") + first.cast("long")).otherwise(zero)
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first_taken.alias("first_taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first_taken.alias("first_taken"), *keep)
