@@ -91,6 +91,22 @@ def sliced(batches: Iterable, rows: int = 512) -> Iterator:
             yield b.slice(lo, rows)
 
 
+def grouped(batches: Iterable, rows: int, column: str = "text", chars: int = 1 << 20) -> Iterator:
+    """(texts, rows of them) of batches in parts of at most ``rows`` rows and
+    about ``chars`` characters; a longer text is a part of its own."""
+    for b in sliced(batches, rows):
+        texts = b.column(column).to_pylist()
+        lo = held = 0
+        for i, t in enumerate(texts):
+            n = len(t) if t else 0
+            if i > lo and held + n > chars:
+                yield texts[lo:i], b.slice(lo, i - lo)
+                lo, held = i, 0
+            held += n
+        if texts:
+            yield texts[lo:], b.slice(lo)
+
+
 class Bounded(dict):
     """A memo that computes what it lacks.  It holds two generations of at most
     ``limit`` entries: what is used again moves from the old one to the new."""

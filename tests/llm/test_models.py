@@ -65,26 +65,67 @@ def test_one_language_is_always_it(spark):
 
 def test_nearest_is_exact():
     r = np.random.default_rng(3)
-    idf = np.r_[r.random(40) * 5, 1.0]
-    index = Index(idf, r.integers(0, 2, 300).astype(float), np.arange(300), [], [], block=8)
-    for _ in range(300):
-        ids = sorted(r.choice(40, r.integers(0, 6), replace=False).tolist())
-        at, w = index.query(ids, [1 + i % 3 for i in ids])
-        index.ids.append(at)
-        index.weights.append(w)
-    index.__post_init__()
-    dense = np.zeros((300, 41))
-    for e in range(300):
-        dense[e, index.ids[e]] = index.weights[e]
-    for _ in range(80):
-        ids = sorted(r.choice(40, r.integers(0, 8), replace=False).tolist())
-        at, w = index.query(ids, [1 + i % 2 for i in ids])
-        cos = (dense[:, at] @ w).round(12)
-        want = np.lexsort((np.arange(300), -cos))[:9]
-        found, got = index.nearest(at, w, 9)
-        assert found.tolist() == want.tolist() and np.allclose(got, cos[want])
-        found, _ = index.nearest(at, w, 9, but=int(want[0]))
-        assert found.tolist() == [x for x in np.lexsort((np.arange(300), -cos)) if x != want[0]][:9]
+    weight = np.r_[r.random(39) * 5, 0.0]
+    pick = lambda n: [np.sort(r.choice(40, r.integers(0, 9), replace=False)) for _ in range(n)]
+    packed = lambda xs: (np.r_[0, np.cumsum([len(x) for x in xs])], np.concatenate(xs).astype(int), np.concatenate([1.0 + x % 3 for x in xs]))
+    examples, texts = pick(300), pick(80)
+    examples[200:230] = [examples[7]] * 30  # ties
+
+    def dense(xs):
+        out = np.zeros((len(xs), 40))
+        for i, x in enumerate(xs):
+            out[i, x] = (1 + np.log(1.0 + x % 3)) * weight[x]
+        return out / np.maximum(1e-300, np.sqrt((out**2).sum(axis=1)))[:, None]
+
+    cos = (dense(texts) @ dense(examples).T).round(11)
+    for block, common in ((8, 0.05), (32, 2.0), (5, 0.0)):
+        index = Index.build(weight, r.integers(0, 2, 300).astype(float), np.arange(300), packed(examples), block=block, common=common)
+        found, got = index.nearest(packed(texts), 9)
+        for i in range(80):
+            want = np.lexsort((np.arange(300), -cos[i]))[:9]
+            want = want[cos[i][want] > 0]
+            assert found[i][got[i].round(11) > 0].tolist() == want.tolist() and np.allclose(got[i][: len(want)], cos[i][want])
+
+
+def test_terms():
+    words = ["abcdef", "abcde", "abc", "x" * 40, "x" * 41, "été", "étéétéé"]
+    rows = toxicity.term_hashes(words)
+    assert rows[0][1] == rows[1][1] != 0 and rows[0][2] == rows[1][2] != rows[0][1] and rows[2][1] == 0
+    assert len(np.unique(rows[:, 0])) == len(words) and np.array_equal(toxicity.term_hashes(words[3:4])[0], rows[3])
+    texts = ["One two, abcdef ABCDE one!", "", None, "étéétéé one_two " * 3]
+    terms = toxicity.Terms(toxicity.Terms().hashes(texts), most=3)
+    for _ in range(3):
+        start, ids, tfs = terms.counts(texts)
+        for i, t in enumerate(texts):
+            want = Counter(x for w in toxicity._TOKEN.findall((t or "").lower()) for x in toxicity.terms_of(w))
+            assert sorted(tfs[start[i] : start[i + 1]].tolist()) == sorted(want.values())
+            assert (np.diff(ids[start[i] : start[i + 1]]) > 0).all()
+
+
+def plain_toxicity(texts, labelled, k):
+    """Votes by the definition: dictionaries and dense cosines."""
+    bags = [Counter(x for w in toxicity._TOKEN.findall((t or "").lower()) for x in toxicity.terms_of(w)) for t in texts]
+    df = Counter(x for b in bags for x in b)
+    n = {y: sum(v == y for v in labelled.values()) for y in (0, 1)}
+    seen = {y: Counter(x for i, v in labelled.items() if v == y for x in bags[i]) for y in (0, 1)}
+
+    def weight(x):
+        if not seen[0][x] + seen[1][x]:
+            return 0.0
+        clean, toxic = (math.log((seen[y][x] + n[y] / sum(n.values())) / (n[y] + 1)) for y in (0, 1))
+        return (math.log((1 + len(texts)) / (1 + df[x])) + 1) * abs(toxic - clean)
+
+    vecs = []
+    for b in bags:
+        v = {x: (1 + math.log(c)) * weight(x) for x, c in b.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        vecs.append({x: w / norm for x, w in v.items() if norm})
+    out = []
+    for v in vecs:
+        cos = sorted(((round(sum(w * vecs[e].get(x, 0.0) for x, w in v.items()), 11), -e) for e in labelled), reverse=True)[:k]
+        cos = [(c, -e) for c, e in cos if c > 0]
+        out.append(sum(c * labelled[e] for c, e in cos) / sum(c for c, _ in cos) if cos else 0.0)
+    return out
 
 
 def test_monotone():
@@ -92,7 +133,8 @@ def test_monotone():
     assert np.allclose(s, [0, 0.5, 1]) and (np.diff(v) > 0).all()
 
 
-def test_toxicity(spark, rough, none):
+@pytest.fixture(scope="module")
+def insults(spark):
     r = np.random.default_rng(5)
     bad = ["vilecur", "vilepox", "gutterrat", "gutterfly"]
     rows = []
@@ -101,8 +143,11 @@ def test_toxicity(spark, rough, none):
         words = [*r.choice(LANGS["en"], 40), *(r.choice(bad, 2) if toxic else [])]
         r.shuffle(words)
         rows.append((i, " ".join(words), toxic))
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    got = score_toxicity(df.drop("toxic"), df.where("doc_id < 250").select("doc_id", "toxic"), k=9).join(df.select("doc_id", "toxic"), "doc_id").where("doc_id >= 250").collect()
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_toxicity(spark, insults, rough, none):
+    got = score_toxicity(insults.drop("toxic"), insults.where("doc_id < 250").select("doc_id", "toxic"), k=9).join(insults.select("doc_id", "toxic"), "doc_id").where("doc_id >= 250").collect()
     assert all((x.score >= 0.7) == (x.toxic == 1) for x in got)
     assert all(len(x.evidence) == 3 and x.evidence[0].toxic == x.toxic for x in got)
     labels = spark.createDataFrame([(6, 1), (6, 0), (7, 0), (8, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
@@ -112,6 +157,32 @@ def test_toxicity(spark, rough, none):
     assert {x.score for x in score_toxicity(rough, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_is_its_definition(spark, insults, tmp_path):
+    """Scores of whole texts against votes by definition, put through the
+    regression of votes that plain folds give."""
+    rows = [*insults.limit(120).collect(), (400, None, 0), (401, "", 0), (402, "unheardof", 0)]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    labelled = {r[0]: r[2] for r in rows if r[0] < 60}
+    got = {x.doc_id: x for x in score_toxicity(docs, spark.createDataFrame(list(labelled.items()), "doc_id long, toxic int"), k=7).collect()}
+    texts = [r[1] for r in rows]
+    places = {r[0]: i for i, r in enumerate(rows)}
+    at = {places[i]: y for i, y in labelled.items()}
+    plain = plain_toxicity(texts, at, 7)
+    fold = {e: n % 4 for y in (0, 1) for n, e in enumerate(sorted(e for e, v in at.items() if v == y))}
+    held = [plain_toxicity(texts, {e: y for e, y in at.items() if fold[e] != f}, 7) for f in range(4)]
+    order = sorted(at)
+    v, share = monotone(np.array([held[fold[e]][e] for e in order]), np.array([float(at[e]) for e in order]), np.ones(len(order)))
+    for r in rows:
+        want = plain[places[r[0]]]
+        assert got[r[0]].score == pytest.approx(min(1, max(0, 0.99 * float(np.interp(want, v, share)) + 0.01 * want)), abs=1e-6)
+
+
+def test_sample_of_repeated_ids(spark, insults):
+    twice = insults.drop("toxic").unionByName(insults.drop("toxic")).unionByName(spark.createDataFrame([(0, "other text")] * 50, "doc_id long, text string"))
+    got = score_toxicity(twice, insults.select("doc_id", "toxic"), most_toxic=40, most_clean=60).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in got if r.doc_id} == {2} and len(got) == 400
+
+
 def simple_ppm(counts, words, order):
     """The model by its definition: dictionaries, one symbol at a time."""
     nodes = {}
@@ -239,7 +310,3 @@ def test_order_of_words_matters(spark):
     docs = spark.createDataFrame([(1, text), (2, "six three eight one five two seven four")], "doc_id long, text string")
     got = {r.doc_id: r for r in score(docs, spark.createDataFrame([(text,)] * 3, "text string")).collect()}
     assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 1
-
-
-def test_terms(spark):
-    assert toxicity.terms_of("abcde") == ["=abcde", "abcd*", "abcde*"]
