@@ -8,10 +8,11 @@ encoded whole.
 
 Token files hold documents' ids, in ascending ``doc_id`` order, as Arrow
 streams of two fixed-size-list columns, ``input_ids`` and ``attention_mask``
-(0 marks the padding of a file's last sequence).  Without compression the value
-buffers are the ids themselves, so sequence ``i`` of a memory-mapped file is a
-slice at ``i * seq_len`` and nothing is copied.  Each file has a side file, an
-Arrow stream of (doc_id, start, n_tokens) within the file.
+(0 marks the padding of a file's last sequence).  All batches of a file but the
+last have the same number of sequences, and its side file (an Arrow stream of
+doc_id, start, n_tokens within the file) is accompanied by the places of the
+batches in the file.  Nothing is compressed, so sequence ``i`` of a mapped
+file is a slice of the file's own memory: see ``TokenFile``.
 """
 
 from __future__ import annotations
@@ -113,6 +114,12 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
 
 
+#: How an Arrow stream ends.
+_END = b"\xff\xff\xff\xff\x00\x00\x00\x00"
+#: Bytes of text per token file, as a rule; cuts of the ids that are measured, not interpolated.
+FILE_BYTES, CUTS = 64 << 20, 2000
+
+
 class _Writer:
     """One shard: sequences are written as they fill up; ids wait in a buffer
     of at most one batch."""
@@ -125,9 +132,13 @@ class _Writer:
         fs.create_dir(path, recursive=True)
         self.out, self.index_out = fs.open_output_stream(f"{path}/{name}.arrow"), fs.open_output_stream(f"{path}/{name}.index.arrow")
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("input_ids", pa.list_(kind, seq_len)), ("attention_mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("input_ids", pa.list_(kind, seq_len)), ("attention_mask", pa.list_(pa.uint8(), seq_len))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        self.file, self.index = ipc.new_stream(self.out, self.schema), ipc.new_stream(self.index_out, self.index_schema)
+        self.base, self.name = base, name
+        self.out.write(self.schema.serialize())
+        self.index = ipc.new_stream(self.index_out, self.index_schema)
+        self.places: list[int] = []
+        self.sequences = 0
         self.parts: list[np.ndarray] = []
         self.held = self.total = 0
         self.docs: tuple[list, list, list] = ([], [], [])
@@ -151,60 +162,79 @@ class _Writer:
 
     def _sequences(self, last: bool) -> None:
         ids = np.concatenate(self.parts) if self.parts else np.empty(0, self.dtype)
-        n = -(-len(ids) // self.seq_len) if last else len(ids) // self.seq_len
         step = self.batch
+        n = -(-len(ids) // self.seq_len) if last else len(ids) // self.seq_len // step * step  # whole batches, but for the last
         for at in range(0, n, step):
             k = min(step, n - at)
             part = ids[at * self.seq_len : (at + k) * self.seq_len]
-            mask = np.ones(k * self.seq_len, bool)
+            mask = np.ones(k * self.seq_len, "uint8")
             if len(part) < k * self.seq_len:
-                mask[len(part) :] = False
+                mask[len(part) :] = 0
                 part = np.concatenate([part, np.zeros(k * self.seq_len - len(part), self.dtype)])
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (part, mask)]
-            self.file.write_batch(pa.record_batch(columns, schema=self.schema))
+            self.places.append(self.out.tell())
+            self.out.write(pa.record_batch(columns, schema=self.schema).serialize())
+            self.sequences += k
         rest = ids[n * self.seq_len :]
         self.parts, self.held = [rest] if len(rest) else [], len(rest)
 
     def close(self) -> None:
         self._sequences(last=True)
         self._index()
-        for x in (self.file, self.index, self.out, self.index_out):
+        self.out.write(_END)
+        for x in (self.index, self.out, self.index_out):
             x.close()
+        fs, path = _fs(f"{self.base}/{self.name}.batches.arrow")
+        kept = pa.record_batch([pa.array(self.places, pa.int64())], names=["place"])
+        with fs.open_output_stream(path) as out, ipc.new_stream(out, kept.schema.with_metadata({"sequences": str(self.sequences), "batch": str(self.batch)})) as file:
+            file.write_batch(kept)
 
 
-def write_token_files(docs: DataFrame, base: str | None = None, tokenizer: str | None = None, seq_len: int = 2048, end_id: int | None = 1, batch: int = 64) -> DataFrame:
+def write_token_files(docs: DataFrame, base: str | None = None, tokenizer: str | None = None, seq_len: int = 2048, end_id: int | None = 1, batch: int = 64, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id``
     and write the ids in ascending doc_id order as token files under ``base``
     (default: a fresh folder in the shared one).
 
     Returns one row per file, in order: shard int, uri, n_docs, n_tokens.
     Null texts give the end id alone; null ids come first; rows that share an
-    id follow each other, ordered by their ids' bytes.  Other columns are not
-    read.  An empty table gives no files.
-
-    Ranges of doc_id come from one column-pruned scan (``percentile_approx``),
-    so the text is encoded once and only compressed ids are shuffled.
+    id follow each other.  Other columns are not read.  An empty table gives no
+    files.
+
+    There is a file for every ``file_bytes`` of text, and one per shuffle
+    partition at least.  Ranges of doc_id come from one scan
+    (``percentile_approx``), so the text is encoded once and only compressed ids
+    are shuffled.  An id with so many rows that several ranges end at it has
+    them dealt over these files by their place in the scan, and so have rows
+    without id theirs.
     """
     spark = docs.sparkSession
     base = base or fresh_path(spark, "token-files")
     path = tokenizer or tokenizer_path()
-    n = shuffle_partitions(spark)
-    at = [k / n for k in range(1, n)]
-    cuts = docs.select("doc_id").agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] if at else []
-    cuts = np.unique(np.array(cuts or [], dtype="int64"))  # at most one per shuffle partition
+    levels = [k / CUTS for k in range(1, CUTS)]
+    size = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")
+    seen = docs.agg(F.percentile_approx("doc_id", levels, 10_000).alias("cuts"), size, F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    n = max(shuffle_partitions(spark), -(-seen["bytes"] // file_bytes))
+    coarse = min(n, CUTS)
+    lost = -(-n * seen["none"] // max(1, seen["n"]))  # files for rows without id
+    cuts = np.array(seen["cuts"] or [], "int64")
+    cuts = _finer(cuts[[k * CUTS // coarse - 1 for k in range(1, coarse)]] if len(cuts) else cuts, -(-n // coarse))
+    parts = len(cuts) + 1 + lost
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
             for lo in range(0, len(b), 512):
-                own = ids[lo : lo + 512].to_pylist()
+                own, row, texts = (b.column(c)[lo : lo + 512] for c in ("doc_id", "row", "text"))
                 blobs, sizes = [], []
-                for x in encode_texts(texts[lo : lo + 512].to_pylist(), path):
+                for x in encode_texts(texts.to_pylist(), path):
                     raw = x.tobytes()
                     blobs.append(pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
                     sizes.append(len(raw))
-                part = [0 if i is None else int(np.searchsorted(cuts, i, side="left")) for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(part, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "part", "size", "ids"])
+                row, none = row.to_numpy(), own.is_null().to_numpy(zero_copy_only=False)
+                ids = own.fill_null(0).to_numpy()
+                first, last = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+                part = lost + first + np.where(last > first + 1, row % np.maximum(1, last - first), 0)
+                part = np.where(none, row % max(1, lost), part)
+                yield pa.RecordBatch.from_arrays([own, pa.array(part.astype("int32")), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "part", "size", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, dtype = _encoder(path)
@@ -212,34 +242,70 @@ def write_token_files(docs: DataFrame, base: str | None = None, tokenizer: str |
         end = np.array([] if end_id is None else [end_id], dtype)
         for b in batches:
             for doc_id, part, size, blob in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "size", "ids")), strict=True):
-                if out is None:
+                if part != shard:
+                    if out is not None:
+                        yield closed(out, shard)
                     shard, out = part, _Writer(base, part, seq_len, dtype, batch)
                 raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
                 out.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.uri]), pa.array([out.n_docs], pa.int64()), pa.array([out.total], pa.int64())], names=["shard", "uri", "n_docs", "n_tokens"])
+            yield closed(out, shard)
 
-    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, part int, size long, ids binary")
-    sorted_ = coded.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    def closed(out: _Writer, shard: int) -> pa.RecordBatch:
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.uri]), pa.array([out.n_docs], pa.int64()), pa.array([out.total], pa.int64())], names=["shard", "uri", "n_docs", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    coded = rows.mapInArrow(encode, "doc_id long, part int, size long, ids binary")
+    sorted_ = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     shards = sorted_.mapInArrow(write, "shard int, uri string, n_docs long, n_tokens long")
     return durable(shards, "token-shards")  # the files are written once; later reads only see these names
 
 
-def open_sequences(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences and masks of a token file, each as an (n, seq_len) array;
-    ids are views of the file's own memory where the file system can map it."""
-    fs, path = _fs(uri)
-    source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
-    table = ipc.open_stream(source).read_all()
-    size = table.schema.field("input_ids").type.list_size
-    chunks = table.column("input_ids").chunks
-    ids = [c.values.to_numpy(zero_copy_only=True)[c.offset * size : (c.offset + len(c)) * size] for c in chunks]
-    masks = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("attention_mask").chunks]
-    if not ids:
-        return np.empty((0, size), "<u2"), np.empty((0, size), bool)
-    one = lambda xs: (xs[0] if len(xs) == 1 else np.concatenate(xs)).reshape(-1, size)
-    return one(ids), one(masks)
+def _finer(cuts: np.ndarray, times: int) -> np.ndarray:
+    """Each range between cuts in so many of equal width."""
+    if times <= 1 or len(cuts) < 2:
+        return cuts
+    return np.interp(np.arange((len(cuts) - 1) * times + 1) / times, np.arange(len(cuts)), cuts).astype("int64")
+
+
+class TokenFile:
+    """Random access to a token file.  ``get(i)`` is sequence ``i`` and its
+    mask; where the file can be mapped, both are views of the mapped file, and
+    nothing but the message that holds them is looked at.  Elsewhere only that
+    message's bytes are read."""
+
+    def __init__(self, uri: str):
+        fs, path = _fs(uri)
+        with fs.open_input_stream(path.removesuffix(".arrow") + ".batches.arrow") as f:
+            side = ipc.open_stream(f).read_all()
+        known = side.schema.metadata
+        self.sequences, self.batch = int(known[b"sequences"]), int(known[b"batch"])
+        size = fs.get_file_info(path).size
+        self.places = [*side.column("place").to_pylist(), size - len(_END)]
+        self.file = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+        self.schema = ipc.read_schema(pa.BufferReader(self._bytes(0, self.places[0])))
+        self.seq_len = self.schema.field("input_ids").type.list_size
+
+    def __len__(self) -> int:
+        return self.sequences
+
+    def _bytes(self, lo: int, hi: int) -> pa.Buffer:
+        self.file.seek(lo)
+        return self.file.read_buffer(hi - lo)
+
+    def batch_at(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of a batch and their masks, a row each."""
+        message = ipc.read_message(pa.BufferReader(self._bytes(self.places[b], self.places[b + 1])))
+        columns = ipc.read_record_batch(message, self.schema).columns
+        ids, mask = (c.values.to_numpy(zero_copy_only=True).reshape(-1, self.seq_len) for c in columns)
+        return ids, mask
+
+    def get(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= i < self.sequences:
+            raise IndexError(i)
+        ids, mask = self.batch_at(i // self.batch)
+        return ids[i % self.batch], mask[i % self.batch]
 
 
 def _read(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
@@ -255,8 +321,8 @@ def _read(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
                 while left:
                     if at == len(held):
                         b = next(batches)
-                        ids, mask = (c.flatten().to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(1)))
-                        held, at = (ids if mask.all() else ids[mask]).astype("<u4"), 0
+                        ids, mask = (c.flatten().to_numpy() for c in (b.column(0), b.column(1)))
+                        held, at = (ids if mask.all() else ids[mask > 0]).astype("<u4"), 0
                         continue
                     k = min(left, len(held) - at)
                     crc = zlib.crc32(held[at : at + k].tobytes(), crc)

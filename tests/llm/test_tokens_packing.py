@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusflow.llm.packing import best_plan, configurations, group_lengths, pack, pack_documents, plan
-from corpusflow.llm.tokens import encode_texts, open_sequences, read_token_files, write_token_files
+from corpusflow.llm.tokens import TokenFile, _finer, encode_texts, read_token_files, write_token_files
 from corpusflow.llm.common import tokenizer_path
 
 
@@ -47,11 +48,47 @@ def test_token_files_round_trip(spark, rough):
     for has, i, *rest in got:
         if has and i != 10:
             assert tuple(rest) == known[i]
-    stored = [open_sequences(r.uri) for r in shards.orderBy("shard").collect()]
-    flat = np.concatenate([ids[mask] for ids, mask in stored])
-    assert len(flat) == sum(len(x) for _, x in rows)
-    assert all(ids.shape[1] == 64 for ids, _ in stored)
-    assert not stored[0][0].flags.owndata or len(stored[0][0]) > 3  # one batch: a view of the file
+    flat = []
+    for r in shards.orderBy("shard").collect():
+        file = TokenFile(r.uri)
+        rows_ = [file.get(i) for i in range(len(file))]
+        assert all(not x.flags.owndata and not x.flags.writeable and len(x) == 64 for pair in rows_ for x in pair)
+        ids, mask = (np.concatenate(x) for x in zip(*rows_))
+        assert mask.sum() == r.n_tokens and (np.diff(mask.astype(int)) <= 0).all()
+        flat.append(ids[mask > 0])
+    flat = np.concatenate(flat)
+    assert all(zlib.crc32(flat[start : start + n].astype("<u4").tobytes()) == crc for _, _, start, n, crc in got)
+
+
+def test_sequences_are_views_of_the_mapped_file(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 200) for i in range(40)], "doc_id long, text string").coalesce(1)
+    row = write_token_files(docs, seq_len=32, batch=4).collect()[0]
+    file = TokenFile(row.uri)
+    before = pa.total_allocated_bytes()
+    ids, mask = file.get(len(file) // 2)
+    whole = file._bytes(0, file.file.size())
+    assert len(file) > 8 * file.batch and whole.address <= ids.ctypes.data < whole.address + whole.size
+    assert whole.address <= mask.ctypes.data < whole.address + whole.size
+    assert pa.total_allocated_bytes() - before < 10_000
+    with pytest.raises(IndexError):
+        file.get(len(file))
+
+
+def test_a_hot_id_and_rows_without_id_have_several_files(spark):
+    rows = [(None, f"none {i}") for i in range(40)] + [(5, "same text")] * 60 + [(i, f"other {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = write_token_files(docs, seq_len=8, file_bytes=1 << 62)
+    assert max(r.n_docs for r in shards.collect()) <= 60
+    shards = write_token_files(docs, seq_len=8, file_bytes=80)
+    got = sorted(read_token_files(spark, shards).collect(), key=lambda r: r.start)
+    assert max(r.n_docs for r in shards.collect()) <= 30
+    ids = [r.doc_id for r in got]
+    assert ids[:40] == [None] * 40 and ids[40:] == sorted(ids[40:]) and len(ids) == 120
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_finer_cuts():
+    assert _finer(np.array([0, 10, 10, 20]), 2).tolist() == [0, 5, 10, 10, 10, 15, 20]
 
 
 def test_token_files_of_nothing(spark, none):
