@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ppm, toxicity
+from corpusflow.llm import langid, ppm, toxicity
 from corpusflow.llm.common import crc_mod, split_of
 from corpusflow.llm.langid import codewords, features, fit, identify, train
 from corpusflow.llm.ppm import Adaptive, Trie, score, tokens
@@ -36,8 +36,35 @@ def test_codewords_differ(n):
     assert set(np.unique(c)) == {-1.0, 1.0}
 
 
-def test_features_do_not_mix_texts():
+@pytest.mark.parametrize("n,least", [(7, 12), (8, 12), (12, 14), (20, 16)])
+def test_codewords_are_far_apart(n, least):
+    c = codewords(n)
+    assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= least
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 20])
+def test_decoding_is_its_definition(n):
+    r = np.random.default_rng(n)
+    langs = [f"l{i:02d}" for i in range(n)]
+    words = {v: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for v in langs}
+    texts = [(v, " ".join(r.choice(words[v], 20))) for v in langs for _ in range(20)]
+    model = fit(features([t for _, t in texts]), [v for v, _ in texts], steps=60)
+    x = features([" ".join(r.choice(words[v], 9)) for v in langs]).astype(float)
+    best, share, lead = model.decode(x)
+    for i, row in enumerate(x):
+        margin = [float(sum(row * model.weights[:, b]) + model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margin, word)) for word in model.code]
+        order = sorted(range(n), key=lambda k: loss[k])
+        assert best[i] == order[0] == i and lead[i] == pytest.approx(loss[order[1]] - loss[order[0]])
+        assert share[i] == pytest.approx(math.exp(-loss[order[0]]) / sum(math.exp(-v) for v in loss))
+    assert (model.trust >= 0.01).all() and (model.trust < 1).all()
+
+
+def test_features_do_not_mix_texts(monkeypatch):
     texts = ["one text", "", "Ünrelated WORDS", "x" * 5000]
+    whole = features(texts)
+    monkeypatch.setattr(langid, "PIECE", 7)  # texts in pieces
+    assert np.allclose(features(texts), whole)
     together = features(texts)
     for t, row in zip(texts, together, strict=True):
         assert np.allclose(features([t])[0], row)
