@@ -89,7 +89,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing)
@@ -99,6 +99,12 @@ _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embe
 
 #: Plain SQL of the queries that SQL can express: all pairs, all paths.
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes, ('0x'||substr(md5('17:'||doc_id), 1, 8))::BIGINT AS h FROM documents),
+p AS (SELECT r, doc_id, bytes, bits, (1::BIGINT << bits) + (h >> (32 - bits)) AS shard_id FROM d, (SELECT unnest(range(0, 33)) AS bits)),
+s AS (SELECT bits, shard_id, sum(bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows FROM p GROUP BY 1, 2),
+f AS (SELECT r, min(bits) AS bits FROM p JOIN s USING (bits, shard_id) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1 GROUP BY 1)
+SELECT doc_id, bytes, shard_id, bits::INT AS local_depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversize FROM f JOIN p USING (r, bits) JOIN s USING (bits, shard_id)""",
     "op4_ngram_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) END AS g FROM w),

@@ -24,9 +24,11 @@ MAX_BITS = 60
 
 
 def _slim(docs: DataFrame, key: str, text: str, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, bytes, and 60 hash bits: 32 of the key, then bits that differ
-    between rows of one key (their content, then their place in the scan)."""
-    top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 32)
+    """key, bytes, and 60 hash bits: 32 of the key (the start of the MD5 of
+    "seed:key"), then bits that differ between rows of one key (of their
+    content and their place in the scan)."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    top = F.conv(F.substring(F.md5(named.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
     row = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(text), F.monotonically_increasing_id()), F.lit(1 << (MAX_BITS - KEY_BITS)))
     size = F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
     return docs.select(F.col(key).alias("_key"), size.alias("_bytes"), (F.shiftleft(top, MAX_BITS - KEY_BITS) + row).alias("_h"), *keep)
@@ -40,13 +42,13 @@ def _prefix(h, bits):
 def directory(cells: DataFrame, limit: int, base: int, depth: int) -> DataFrame:
     """cells: (prefix of ``depth`` bits, bytes, rows), below buckets of
     ``base`` bits known to be too large.  Returns each cell with the local
-    depth of its bucket: the shallowest prefix within the limit, or null where
-    even the cell is too large."""
+    depth of its bucket: the shallowest prefix within the limit or with one row
+    alone, or null where even the cell is too large."""
     deep = F.lit(depth)
     up = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(base), deep)).alias("bits"))
     up = up.withColumn("prefix", F.call_function("shiftright", F.col("cell"), deep - F.col("bits")))
-    sums = up.groupBy("bits", "prefix").agg(F.sum("bytes").alias("b"))
-    fits = up.join(sums.where(F.col("b") <= limit), ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
+    sums = up.groupBy("bits", "prefix").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("n"))
+    fits = up.join(sums.where((F.col("b") <= limit) | (F.col("n") == 1)), ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
     return cells.join(fits, "cell", "left")
 
 
@@ -71,9 +73,9 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
     while True:
         cells = open_.groupBy(_prefix(F.col("_h"), F.lit(depth)).alias("cell")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("rows"))
         known = durable(directory(cells, limit_bytes, base, depth), "shard-cells")
-        found = known.where(F.col("bits").isNotNull() | (F.col("rows") == 1)).select(F.lit(depth).alias("depth"), "cell", F.coalesce("bits", F.lit(depth)).alias("bits"))
+        found = known.where(F.col("bits").isNotNull()).select(F.lit(depth).alias("depth"), "cell", "bits")
         done = found if done is None else done.unionByName(found)
-        rest = known.where(F.col("bits").isNull() & (F.col("rows") > 1))
+        rest = known.where(F.col("bits").isNull())
         if depth >= MAX_BITS or rest.isEmpty():
             if depth >= MAX_BITS:
                 done = done.unionByName(rest.select(F.lit(depth).alias("depth"), "cell", F.lit(depth).alias("bits")))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm.mixing import mix, sainte_lague, targets
 from corpusflow.llm.sharding import shard, write_shards
@@ -99,3 +100,13 @@ def test_rows_of_one_key_are_written_apart(spark, tmp_path):
     sizes = {r.shard_id: r.shard_rows for r in write_shards(same, str(tmp_path / "s"), 2500).collect()}
     written = spark.read.parquet(str(tmp_path / "s")).groupBy("shard_id").count().collect()
     assert {r.shard_id: r["count"] for r in written} == sizes and max(sizes.values()) <= 25
+
+
+def test_written_shards_hold_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None, "x" * 90)] * 30 + [(7, "y" * 90)] * 30 + [(8, None), (9, "")] * 3 + [(i, "z" * 50) for i in range(100, 160)] + [(10, "long " * 900)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, shard string, bytes int").repartition(3)
+    sizes = {r.shard_id: (r.shard_bytes, r.shard_rows) for r in write_shards(docs, str(tmp_path / "s"), 1000).collect()}
+    written = spark.read.parquet(str(tmp_path / "s"))
+    got = {r.shard_id: (r.b or 0, r.n) for r in written.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()}
+    assert got == sizes and all(b <= 1000 or n == 1 for b, n in got.values())
+    assert Counter((r.doc_id, r.text) for r in written.collect()) == Counter(rows)
