@@ -10,6 +10,9 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,22 @@ def durable(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fs(uri: str):
+    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
+
+
+def read_table(uri: str) -> pa.Table:
+    """A table of the shared folder, read by this process: for workers and
+    tables of bounded size."""
+    fs, path = _fs(uri)
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+    parts = []
+    for f in files:
+        with fs.open_input_file(f) as opened:
+            parts.append(pq.ParquetFile(opened).read())
+    return pa.concat_tables(parts)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,8 +16,8 @@ symbol's probability depends on itself and the ``order`` before it, its key.
 The trie is a table of key counts in the shared folder.  Contexts longer than
 ``LOW`` are dealt by their last LOW + 1 symbols, so that a task has all that
 concerns its keys; the shorter ones are a table bounded by the alphabet.
-Workers hold the probabilities of about ``held`` common keys and the
-``frequent`` commonest words; a text's other keys are sent to the task that has
+Workers read, from tables in the shared folder, the probabilities of about
+``held`` common keys and the ``frequent`` commonest words; a text's other keys are sent to the task that has
 their contexts, the other words' counts are joined.
 """
 
@@ -31,13 +31,10 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, sliced
-from .tokens import _fs
+from .common import durable, fresh_path, read_table, sliced
 
 #: Symbols: bytes, the end of a word (and, in contexts, its start), the end of the text.
 CLOSE, END, SYMBOLS = 256, 257, 258
@@ -271,10 +268,25 @@ def key_counts(texts: DataFrame, order: int) -> DataFrame:
     return durable(texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-entries")
 
 
-def _low(entries: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the contexts of at most LOW symbols; the alphabet bounds them."""
-    got = entries.groupBy(F.col("k").bitwiseAND(F.lit((1 << _B * (min(LOW, order) + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")).toArrow()
-    return got.column("k").to_numpy().astype("int64").view(_U), got.column("n").to_numpy().astype("float64")
+def _low(entries: DataFrame, order: int) -> str:
+    """A table of the keys and counts of the contexts of at most LOW symbols,
+    which workers read; the alphabet bounds it."""
+    uri = fresh_path(entries.sparkSession, "ppm-low")
+    entries.groupBy(F.col("k").bitwiseAND(F.lit((1 << _B * (min(LOW, order) + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")).write.parquet(uri)
+    return uri
+
+
+@lru_cache(maxsize=1)
+def _low_tables(uri: str, order: int) -> list[dict[str, np.ndarray]]:
+    t = read_table(uri)
+    return _tables(t.column("k").to_numpy().view(_U), t.column("n").to_numpy().astype("float64"), min(LOW, order))
+
+
+@lru_cache(maxsize=1)
+def _common(uri: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """Places and counts of the commonest words."""
+    t = read_table(uri)
+    return {w: i for i, w in enumerate(t.column("word").to_pylist())}, t.column("c").to_numpy()
 
 
 def _dealt(rows: DataFrame, count: int) -> DataFrame:
@@ -283,21 +295,21 @@ def _dealt(rows: DataFrame, count: int) -> DataFrame:
     return rows.repartition(max(1, -(-count // TASK_KEYS)), context)
 
 
-def _priced(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], order: int, least: int) -> DataFrame:
+def _priced(entries: DataFrame, size: int, low: str, order: int, least: int) -> DataFrame:
     """(k, p): the log10 probabilities of the keys with at least ``least`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("k").to_numpy().view(_U), b.column("n").to_numpy()) for b in batches]
         if got:
             k, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            tables = _tables(k, n.astype("float64"), order, _tables(*low, min(LOW, order)))
+            tables = _tables(k, n.astype("float64"), order, _low_tables(low, order))
             k = np.sort(k[n >= least])
             yield pa.RecordBatch.from_arrays([pa.array(k.view("int64")), pa.array(costs(tables, k, order))], names=["k", "p"])
 
     return _dealt(entries, size).mapInArrow(run, "k long, p double")
 
 
-def _asked(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], order: int, asked: DataFrame, most: int) -> DataFrame:
+def _asked(entries: DataFrame, size: int, low: str, order: int, asked: DataFrame, most: int) -> DataFrame:
     """(row, p): sums of the log10 probabilities of the keys in ``asked`` (row, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +331,7 @@ def _asked(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], or
 
     def built(got: list) -> list:
         k, n = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, _U), np.empty(0))
-        return _tables(k, n.astype("float64"), order, _tables(*low, min(LOW, order)))
+        return _tables(k, n.astype("float64"), order, _low_tables(low, order))
 
     def sums(tables: list, wait: list) -> pa.RecordBatch:
         row, k = (np.concatenate(x) for x in zip(*wait, strict=True))
@@ -333,15 +345,8 @@ def _asked(entries: DataFrame, size: int, low: tuple[np.ndarray, np.ndarray], or
 @lru_cache(maxsize=1)
 def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
     """The held keys, sorted, and their log10 probabilities; once per worker."""
-    fs, path = _fs(uri)
-    keys, p = [np.empty(0, _U)], [np.empty(0)]
-    for f in fs.get_file_info(FileSelector(path)):
-        if f.base_name.endswith(".parquet"):
-            with fs.open_input_file(f.path) as opened:
-                t = pq.ParquetFile(opened).read()
-            keys.append(t.column("k").to_numpy().view(_U))
-            p.append(t.column("p").to_numpy())
-    k, p = np.concatenate(keys), np.concatenate(p)
+    t = read_table(uri)
+    k, p = t.column("k").to_numpy().view(_U), t.column("p").to_numpy()
     at = np.argsort(k)
     return k[at], p[at]
 
@@ -373,12 +378,14 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
         least = math.ceil(2 ** (b / 4) - 1e-9)
     uri = fresh_path(spark, "ppm-held")
     _priced(entries, distinct, low, order, least).write.parquet(uri)
-    common = {bytes(r["word"]): math.log10((r["c"] + 1) / (n + v + 1)) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    common = fresh_path(spark, "ppm-common")
+    words.orderBy(F.desc("c"), "word").limit(frequent).write.parquet(common)
     end_base, one = math.log10((ends + 1) / (n + v + 1)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, probs = _load(uri)
-        places, bases = {w: i for i, w in enumerate(common)}, np.fromiter(common.values(), "float64", len(common))
+        places, bases = _common(common)
+        bases = np.log10((bases + 1) / (n + v + 1))
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
         for b in batches:
             for lo in range(0, len(b), 1024):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bounded, durable, fresh_path, shuffle_partitions, tokenizer_path
+from .common import Bounded, _fs, durable, fresh_path, shuffle_partitions, tokenizer_path
 
 
 _MARKS = frozenset(",.")
@@ -110,10 +110,6 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _fs(uri: str):
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
-
-
 #: How an Arrow stream ends.
 _END = b"\xff\xff\xff\xff\x00\x00\x00\x00"
 #: Bytes of text per token file, as a rule; cuts of the ids that are measured, not interpolated.
