@@ -30,15 +30,12 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc as ipc
-import pyarrow.parquet as pq
 import xxhash
-from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, fresh_path, grouped, small_batches
-from .tokens import _fs
+from .common import _fs, durable, fresh_path, grouped, read_table, small_batches
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
@@ -47,7 +44,7 @@ _WIDTH = 1 + len(STEMS)
 #: Slices that document frequencies are added up in, and tasks per slice before the last.
 SLICES, SALTS = 16, 16
 #: Texts scored at once.
-GROUP = 256
+GROUP = 128
 #: A term that no example has counts as so many examples, dealt by the labels' ratio.
 PRIOR = 1.0
 
@@ -171,7 +168,7 @@ class Index:
     start: np.ndarray
     block: int = 32
     #: A term is common that so large a part of the examples has.
-    common: float = 1 / 40
+    common: float = 1 / 16
 
     @staticmethod
     def build(weight: np.ndarray, label: np.ndarray, doc_id: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], **how) -> Index:
@@ -333,20 +330,9 @@ def examples(labelled: DataFrame, most_toxic: int, most_clean: int, seed: int) -
     return thin.withColumn("_rank", rank).where(F.col("_rank") <= limit).select("doc_id", "toxic"), n.get(True, 0) / max(1, sum(n.values())), len(n) == 2
 
 
-def _read(uri: str) -> pa.Table:
-    """A small Parquet table of the shared folder, in this process."""
-    fs, path = _fs(uri)
-    parts = []
-    for f in sorted(fs.get_file_info(FileSelector(path)), key=lambda f: f.path):
-        if f.base_name.endswith(".parquet"):
-            with fs.open_input_file(f.path) as opened:
-                parts.append(pq.ParquetFile(opened).read())
-    return pa.concat_tables(parts)
-
-
 @lru_cache(maxsize=1)
 def _vocabulary(uri: str) -> np.ndarray:
-    return np.sort(_read(uri).column("h").to_numpy().view("uint64"))
+    return np.sort(read_table(uri).column("h").to_numpy().view("uint64"))
 
 
 def _write_vocabulary(sampled: DataFrame) -> str:
@@ -399,7 +385,7 @@ def _write_frequencies(docs: DataFrame, vocabulary: str) -> str:
 
 
 def _idf(vocabulary: str, frequencies: str) -> np.ndarray:
-    t = _read(frequencies).sort_by("slice")
+    t = read_table(frequencies).sort_by("slice")
     n = max([1, *t.column("n").to_pylist()])
     df = np.concatenate([np.empty(0), *[np.frombuffer(x, "int64") for x in t.column("counts").to_pylist()]])
     return np.log((1 + n) / (1 + df)) + 1
