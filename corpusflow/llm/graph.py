@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     open_ = durable(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     known = None
     while not open_.isEmpty():
-        up = open_.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
+        # a table of its own: joins of tables that are only shuffled can part a hub's rows
+        up = durable(open_.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p")), "firsts")
         jump = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
         up = durable(up.join(jump, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "pointers")
         if known is None:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from corpusflow.llm import embedding_join, knn, ngram_join
 from corpusflow.llm.embedding_join import near_vectors
 from corpusflow.llm.graph import components
 from corpusflow.llm.knn import top_k
-from corpusflow.llm.ngram_join import Rule, all_signatures, divide_skip, jaccard_components, shingle_set
+from corpusflow.llm.ngram_join import Rule, all_signatures, divide_skip, heap_merge, jaccard_components, shingle_set
 
 
 def reach(n, links):
@@ -38,14 +39,19 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("seed", range(60))
 def test_divide_skip(seed):
     r = np.random.default_rng(seed)
-    lists = [np.unique(r.integers(0, 30, r.integers(0, 25))) for _ in range(12)]
-    need = int(r.integers(1, 8))
-    times = np.bincount(np.concatenate([*lists, np.empty(0, int)]).astype(int), minlength=30)
-    found, n = divide_skip(lists, need, 30)
-    assert dict(zip(found.tolist(), n.tolist())) == {i: int(c) for i, c in enumerate(times) if c >= need}
+    lists = [np.unique(r.integers(0, 30, r.integers(0, 25))).tolist() for _ in range(12)]
+    weights = r.integers(1, 4 if seed % 2 else 2, 12).tolist()
+    need = int(r.integers(1, 12))
+    times = Counter()
+    for x, w in zip(lists, weights):
+        times.update({i: w for i in x})
+    want = {i: c for i, c in times.items() if c >= need}
+    assert dict(heap_merge(lists, weights, need)) == want
+    found, n = divide_skip(lists, need, weights)
+    assert dict(zip(found, n)) == want and found == sorted(found)
 
 
 @pytest.mark.parametrize("num,den", [(80, 100), (90, 100), (50, 100), (100, 100)])
@@ -90,6 +96,7 @@ def test_jaccard_components(spark, monkeypatch, k, num, block):
     monkeypatch.setattr(ngram_join, "BITS", {64: 1 << 26, 5: 1 << 10, 3: 64}[block])  # a full bitmap only lets more through
     monkeypatch.setattr(ngram_join, "FEW", {64: 8, 5: 3, 3: 2}[block])
     monkeypatch.setattr(ngram_join, "CELL", 20 if block == 3 else 1024)
+    monkeypatch.setattr(ngram_join, "CELL_SIZE", 400 if block == 5 else 1 << 20)
     texts = near_copies(k)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets, want = plain(texts, k, num, 100)
@@ -108,6 +115,14 @@ def test_jaccard_of_rough_rows(rough, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_rows_of_one_id_join_their_texts(spark):
+    a, b, c = (" ".join(random.Random(i).choices("pqrstuvwxyz", k=40)) for i in range(3))
+    rows = [(5, a), (7, a), (7, b), (9, b), (8, c), (8, None), (4, ""), (None, a), (6, c), (6, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_components(docs, 3, 90, 100).collect()), key=repr)
+    assert got == sorted([(5, 5), (7, 5), (7, 5), (9, 5), (8, 6), (8, 8), (4, 4), (None, None), (6, 6), (6, 6)], key=repr)
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "BLOCK", 50)
     rng = np.random.default_rng(1)
