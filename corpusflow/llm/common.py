@@ -22,13 +22,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session.  Only where that is unset (tests, one machine) a local folder
-    is made and set."""
+    the session.  Only where that is unset and the master is local (tests, one
+    machine) a local folder is made and set; on a cluster that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusflow-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -83,6 +85,23 @@ def read_table(uri: str) -> pa.Table:
     return pa.concat_tables(parts)
 
 
+_HELD: dict[str, list] = {}
+
+
+def holds(owner: str, *clear) -> None:
+    """What a module's functions keep in a worker, and how to let go of it."""
+    _HELD.setdefault(owner, []).extend(clear)
+
+
+def turn_to(owner: str) -> None:
+    """This worker does ``owner``'s work now: what other modules keep goes, so
+    that a worker holds one operator's tables at a time."""
+    for other, clears in _HELD.items():
+        if other != owner:
+            for clear in clears:
+                clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

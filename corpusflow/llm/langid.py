@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import grouped
-from .tokens import forget
+from .common import grouped, turn_to
 
 #: Buckets that byte n-grams are hashed to.
 BUCKETS = 4096
@@ -181,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.7)
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", lang_pred string, lang_score double, lang_ambiguous boolean"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        turn_to("language")
         for texts, part in grouped(batches, _GROUP):
             lang, p, close = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             known = [i for i, t in enumerate(texts) if model is not None and t and any(c.isalpha() for c in t)]

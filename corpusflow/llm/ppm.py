@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, read_table, sliced
+from .common import durable, fresh_path, holds, read_table, sliced, turn_to
 
 #: Symbols: bytes, the end of a word (and, in contexts, its start), the end of the text.
 CLOSE, END, SYMBOLS = 256, 257, 258
@@ -351,6 +351,9 @@ def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
     return k[at], p[at]
 
 
+holds("ppm", _low_tables.cache_clear, _common.cache_clear, _load.cache_clear)
+
+
 def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int = 1 << 17, held: int = 4_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
     row of ``docs`` (doc_id, text), learning from ``training`` (text).
@@ -383,6 +386,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
     end_base, one = math.log10((ends + 1) / (n + v + 1)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("ppm")
         keys, probs = _load(uri)
         places, bases = _common(common)
         bases = np.log10((bases + 1) / (n + v + 1))

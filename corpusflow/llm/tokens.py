@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bounded, _fs, durable, fresh_path, shuffle_partitions, tokenizer_path
+from .common import Bounded, _fs, durable, fresh_path, holds, shuffle_partitions, tokenizer_path, turn_to
 
 
 _MARKS = frozenset(",.")
@@ -41,13 +41,15 @@ _MARKS = frozenset(",.")
 _MEMOS: list[Bounded] = []
 
 
-def forget() -> None:
-    """Let go of the ids of words: for workers that have turned to other work."""
+def _forget() -> None:
     for memo in _MEMOS:
         memo.clear()
         memo.old = {}
 
 
+holds("tokens", _forget)
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
     the others for the code points from 256 on, in order."""
@@ -101,6 +103,7 @@ def _encoder(path: str):
 
 def encode_texts(texts: Iterable[str | None], path: str | None = None) -> Iterator[np.ndarray]:
     """Ids of each whole text (None: empty)."""
+    turn_to("tokens")
     encode, dtype = _encoder(path or tokenizer_path())
     for text in texts:
         yield np.frombuffer(encode(text or ""), dtype)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import _fs, durable, fresh_path, grouped, read_table, small_batches
+from .common import _fs, durable, fresh_path, grouped, holds, read_table, small_batches, turn_to
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
@@ -354,6 +354,7 @@ def _write_frequencies(docs: DataFrame, vocabulary: str) -> str:
     array per slice; a slice's arrays are added up in two steps."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         v = _vocabulary(vocabulary)
         terms, seen, n = Terms(v), np.zeros(len(v), "int64"), 0
         for texts, _ in grouped(batches, GROUP):
@@ -430,6 +431,9 @@ def _load(uri: str, k: int) -> Scorer:
     return Scorer(Index(*arrays[: len(_ARRAYS)]), k, *arrays[len(_ARRAYS) :])
 
 
+holds("toxicity", _vocabulary.cache_clear, _load.cache_clear)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 30, most_toxic: int = 800, most_clean: int = 2000, seed: int = 11, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row of ``docs`` with ``score`` and
     ``evidence``: its three nearest examples (doc_id, cosine, toxic).
@@ -459,6 +463,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 30, most_toxic:
     columns = list(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         scorer, terms = (_load(uri, k), Terms(_vocabulary(vocabulary))) if both else (None, None)
         for texts, b in grouped(batches, GROUP):
             s, near = np.zeros(len(texts)), pa.array([[]] * len(texts), kind)
