@@ -39,7 +39,7 @@ from .common import _fs, durable, fresh_path, grouped, holds, read_table, small_
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
-STEMS = (4, 5)
+STEMS = (5,)
 _WIDTH = 1 + len(STEMS)
 #: Slices that document frequencies are added up in, and tasks per slice before the last.
 SLICES, SALTS = 16, 16
