@@ -322,6 +322,9 @@ def shell_of(events: list[tuple]) -> tuple[int, bool]:
     return size + max(0, pieces - 1), root
 
 
+#: What is read off a page that the parser gives up on.
+FAILED = {"text": "", "raw_words": 0, "extracted_words": 0, "headings": [], "links": [], "body_chars": 0, "app_root": False, "failed": True}
+
 PARSED = "text string, raw_words long, extracted_words long, headings array<struct<level: int, text: string, char_offset: int>>, links array<struct<ord: int, target_path: string, anchor: string, link_text: string>>, body_chars long, app_root boolean, failed boolean"
 _HEADINGS = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("char_offset", pa.int32())]))
 _LINKS = pa.list_(pa.struct([("ord", pa.int32()), ("target_path", pa.string()), ("anchor", pa.string()), ("link_text", pa.string())]))
@@ -348,9 +351,18 @@ def parse_page(page: str | None, path: str, extract: bool = True) -> dict:
     }
 
 
+def parse_or_fail(page: str | None, path: str, extract: bool = True) -> dict:
+    """As parse_page; a page that cannot be parsed is empty and marked."""
+    try:
+        return parse_page(page, path, extract)
+    except (AssertionError, ValueError, IndexError, RecursionError):  # what html.parser raises on broken declarations
+        return FAILED
+
+
 def parse_pages(files: DataFrame, extract: bool = True, path: str = "rel_path", content: str = "content") -> DataFrame:
     """Columns of ``files`` but the content, with PARSED; one parse per page, in
-    Arrow batches.  Null content is an empty page."""
+    Arrow batches.  Null content is an empty page; one that cannot be parsed is
+    empty and ``failed``, and stops nothing."""
     keep = [c for c in files.columns if c != content]
     types = dict(files.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + PARSED
@@ -360,21 +372,31 @@ def parse_pages(files: DataFrame, extract: bool = True, path: str = "rel_path",
         for b in batches:
             for lo in range(0, len(b), 128):
                 part = b.slice(lo, 128)
-                rows = [parse_page(page, p or "", extract) for page, p in zip(part.column(content).to_pylist(), part.column(path).to_pylist(), strict=True)]
+                rows = [parse_or_fail(page, p or "", extract) for page, p in zip(part.column(content).to_pylist(), part.column(path).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array([r[k] for r in rows], t) for k, t in kinds.items()]], names=[*keep, *kinds])
 
     return files.select(*keep, content).mapInArrow(run, schema)
 
 
 def register(spark: SparkSession) -> None:
-    """strip_html and extract_content as SQL functions."""
+    """strip_html and extract_content as SQL functions; empty for a page that
+    cannot be parsed."""
+    def tolerant(read):
+        def one(page: str | None) -> str:
+            try:
+                return read(page)
+            except (AssertionError, ValueError, IndexError, RecursionError):
+                return ""
+
+        return one
+
     @F.pandas_udf("string")
     def strip(pages: pd.Series) -> pd.Series:
-        return pages.map(strip_html)
+        return pages.map(tolerant(strip_html))
 
     @F.pandas_udf("string")
     def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(extract_content)
+        return pages.map(tolerant(extract_content))
 
     spark.udf.register("strip_html", strip)
     spark.udf.register("extract_content", extract)

@@ -6,8 +6,12 @@ near block goes only because of an earlier block that stays itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +37,41 @@ def first_of_equal(found: DataFrame, least_words: int = T.MIN_BLOCK_WORDS) -> Da
 
 
 def simhash(rows: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """Key columns and ``simhash`` of each row: 64 sums over its shingles'
-    hashes in one aggregation, within generated code."""
+    """Key columns and ``simhash`` of each row with a text: a bit is set where
+    more hashes of its three-word shingles have it than not.  One Arrow pass:
+    neither a row per shingle nor a shuffle."""
     keys = [key] if isinstance(key, str) else key
-    h = rows.select(*keys, F.explode(T.shingles(F.col(text))).alias("_s")).select(*keys, T.md5_long(F.col("_s")).alias("_h"))
-    sums = [F.sum(F.call_function("shiftrightunsigned", F.col("_h"), F.lit(i)).bitwiseAND(F.lit(1))).alias(f"_b{i}") for i in range(64)]
-    s = h.groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(F.col(f"_b{i}") * 2 > F.col("_n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return s.select(*keys, out.alias("simhash"))
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], pa.array(simhashes(part.column(text).to_pylist()))], names=[*keys, "simhash"])
+
+    found = rows.where(F.col(text).isNotNull()).select(*keys, *([] if text in keys else [text]))
+    return found.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", simhash long")
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    out = np.zeros(len(texts), "int64")
+    for i, text in enumerate(texts):
+        w = text.split()
+        found = [" ".join(w[j : j + T.SHINGLE]) for j in range(len(w) - T.SHINGLE + 1)] if len(w) >= T.SHINGLE else [text]
+        raw = np.frombuffer(b"".join([md5(x.encode("utf-8", "surrogatepass")).digest()[:8] for x in found]), "uint8")
+        ones = np.zeros(64, "int64")
+        for at in range(0, len(raw), 1 << 20):  # a long text's bits in parts
+            ones += np.unpackbits(raw[at : at + (1 << 20)].reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+        out[i] = np.packbits(2 * ones > len(found)).view(">i8")[0]
+    return out
 
 
 def band_plan(n: int, k: int) -> list[tuple[int, ...]]:
     """Which of ``m`` slices of the 64 bits are keys together: two hashes
-    within ``k`` bits agree on at least m-k slices.  More rows, longer keys."""
+    within ``k`` bits agree on at least m-k slices.  More rows, longer keys,
+    as long as there are not too many of them."""
     m = k + 1
-    while m < k + 4 and (1 << (64 * (m - k) // m)) < 4 * max(1, n):
+    while m < min(64, k + (4 if k < 16 else 1)) and (1 << (64 * (m - k) // m)) < 4 * max(1, n):
         m += 1
     return [(m, *c) for c in combinations(range(m), m - k)]
 
@@ -63,13 +85,11 @@ def _slice_mask(m: int, chosen: tuple[int, ...]) -> int:
 
 
 def near_pairs(hashes: DataFrame, k: int = 3, hash_col: str = "simhash") -> DataFrame:
-    """(a, b, distance) of distinct hash values a < b within ``k`` bits.  All
-    pairs: for k below 16 by keys that they must share, else in full."""
+    """(a, b, distance) of distinct hash values a < b within ``k`` bits, by
+    keys that they must share.  From 64 bits on everything is near: an error."""
+    if not 0 <= k < 64:
+        raise ValueError("the distance must be from 0 to 63 bits")
     distinct = durable(hashes.select(F.col(hash_col).alias("h")).distinct(), "simhashes")
-    if k >= 16:
-        other = distinct.select(F.col("h").alias("b"))
-        pairs = distinct.select(F.col("h").alias("a")).join(other, (F.col("a") < F.col("b")) & (T.hamming(F.col("a"), F.col("b")) <= k))
-        return pairs.select("a", "b", T.hamming(F.col("a"), F.col("b")).alias("distance"))
     plan = band_plan(distinct.count(), k)
     masks = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(_slice_mask(p[0], p[1:])).cast("long").alias("mask")) for i, p in enumerate(plan)])
     keyed = distinct.select("h", F.explode(masks).alias("m")).select("h", F.col("m.band").alias("band"), F.col("h").bitwiseAND(F.col("m.mask")).alias("part"))

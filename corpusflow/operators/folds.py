@@ -4,18 +4,19 @@ A chunk closes when the next file would take it over the limit; a file over
 the limit is a chunk alone.  What a range of files does depends on the range
 before only through the words of the chunk that is open when it begins.  So
 each range tells, for every file at which its first chunk may begin, how many
-chunks follow and what is left open; the driver chains the ranges (one short
-table each), and a second pass numbers the chunks.  Only (path, words) rows are
-sorted; texts stay where they are.
+chunks follow and what is left open.  Chunks begun at different files soon
+begin alike, and what follows only ever changes with a later begin, so this is
+a row per distinct outcome.  The driver chains the ranges, and a second pass
+numbers the chunks.  Only (path, words) rows are sorted, once they are a table:
+nothing is worked out twice, and texts stay where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,75 +25,116 @@ from ..functions import text as T
 from ..tables import durable
 
 CHUNK_FILES = "chunk_index int, ord int, rel_path string, word_count long"
+#: Files of a range, which one task holds as (path, words) rows.
+RANGE_ROWS = 200_000
 
 
-def jumps(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """When a chunk closes: before a file that takes it over ``most`` words,
+    and after one that takes it to ``want``."""
+
+    most: int
+    want: int | None = None
+
+    def close(self, total: np.ndarray, base):
+        """The first file that does not join a chunk that has ``-base`` words
+        before the first file, or began where the words up to it are ``base``."""
+        out = np.searchsorted(total[1:], base + self.most, side="right")
+        return out if self.want is None else np.minimum(out, np.searchsorted(total[1:], base + self.want, side="left") + 1)
+
+    def takes_all(self, total: int, held: int) -> bool:
+        """Whether a chunk of ``held`` words is still open after ``total`` more."""
+        return held + total <= self.most and (self.want is None or held + total < self.want)
+
+
+def jumps(words: np.ndarray, rule: Rule, group_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums, and for a chunk begun at each file where the next begins."""
     total = np.concatenate([[0], np.cumsum(words)])
-    after = np.searchsorted(total[1:], total[:-1] + most, side="right")
-    return total, np.maximum(after, np.arange(len(words)) + 1)
+    after = np.maximum(rule.close(total, total[:-1]), np.arange(len(words)) + 1)
+    return total, np.minimum(after, group_end)
 
 
-def outcome(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per file, for a chunk begun there: chunks from there on, words left
-    open at the end, and whether a chunk is left open at all."""
-    total, after = jumps(words, most)
+def outcome(words: np.ndarray, rule: Rule, group_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums; per place, for a chunk begun there: chunks from there on,
+    words left open at the end, and whether a chunk is left open at all."""
+    total, after = jumps(words, rule, group_end)
     n = len(words)
-    count, left, is_open = np.ones(n, "int64"), np.zeros(n, "int64"), np.ones(n, bool)
+    count, left, is_open = np.zeros(n + 1, "int64"), np.zeros(n + 1, "int64"), np.zeros(n + 1, bool)
     for i in range(n - 1, -1, -1):
         j = after[i]
         if j < n:
             count[i], left[i], is_open[i] = count[j] + 1, left[j], is_open[j]
         else:
-            left[i], is_open[i] = total[n] - total[i], words[i] <= most
-    return count, left, is_open
+            held = int(total[n] - total[i])
+            count[i], left[i], is_open[i] = 1, held, rule.takes_all(held, 0)
+    return total, count, left, is_open
 
 
-def first_close(total: np.ndarray, held: int, is_open: bool, most: int) -> int:
-    """The first file that does not join the chunk that is open on entry."""
-    return int(np.searchsorted(total[1:], most - held, side="right")) if is_open else 0
+def _ends(group: np.ndarray) -> np.ndarray:
+    """For each place the first later one of another group."""
+    change = np.flatnonzero(group[1:] != group[:-1]) + 1
+    stops = np.r_[change, len(group)]
+    return stops[np.searchsorted(stops, np.arange(len(group)), side="right")]
 
 
-def next_fit(files: DataFrame, most: int, key: str = "rel_path", words: str = "word_count") -> DataFrame:
-    """(key, words, chunk_index from 1) of all rows, in key order."""
-    slim = files.select(F.col(key).alias("k"), F.col(words).cast("long").alias("w"))
-    spark = files.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(slim.repartitionByRange(n, "k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()), "fold")
+TOLD = "part int, first_group string, last_group string, n long, all_words long, only boolean, at long, need long, least long, count long, left long, open boolean"
 
-    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf.sort_values("k", kind="stable")["w"].to_numpy()
-        count, left, is_open = outcome(w, most)
-        total = np.concatenate([[0], np.cumsum(w)])
-        reach = min(len(w), first_close(total, 0, True, most) + 1)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "first": [str(pdf["k"].min())], "total": [total[: reach + 1].tolist()], "all_words": [int(total[-1])], "n": [len(w)], "count": [count[:reach].tolist()], "left": [left[:reach].tolist()], "open": [is_open[:reach].tolist()]})
 
-    told = ranged.groupBy("part").applyInPandas(tell, "part int, first string, total array<long>, all_words long, n long, count array<long>, left array<long>, open array<boolean>").collect()  # a row per range, as long as one chunk has files
+def next_fit(files: DataFrame, most: int, key: str = "rel_path", words: str = "word_count", group: str | None = None, want: int | None = None, rows_per_range: int | None = None) -> DataFrame:
+    """(key, words, chunk_index from 1) of all rows, in key order.  With
+    ``group`` in order of (group, key), no chunk over two groups; with ``want``
+    chunks close once they have so many words."""
+    rule = Rule(most, want)
+    slim = durable(files.select((F.col(group) if group else F.lit("")).alias("g"), F.col(key).alias("k"), F.col(words).cast("long").alias("w")), "fold-rows")
+    n = max(1, -(-slim.count() // (rows_per_range or RANGE_ROWS)))
+    ranged = durable(slim.repartitionByRange(n, "g", "k").withColumn("part", F.spark_partition_id()), "fold")
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["g", "k"], kind="stable")
+        w, g = pdf["w"].to_numpy(), pdf["g"].to_numpy()
+        ends = _ends(g)
+        total, count, left, is_open = outcome(w, rule, ends)
+        reach = int(min(ends[0], rule.close(total, 0))) + 1  # a chunk that is open on entry closes here at last
+        same = np.c_[count[:reach], left[:reach], is_open[:reach]]
+        first = np.flatnonzero(np.r_[True, (same[1:] != same[:-1]).any(axis=1)])
+        rows = {"at": first, "need": total[first], "least": total[np.maximum(first - 1, 0)], "count": count[first], "left": left[first], "open": is_open[first]}
+        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "first_group": g[0], "last_group": g[-1], "n": len(w), "all_words": int(total[-1]), "only": bool(ends[0] == len(w)), **rows})
+
+    told: dict[int, list] = {}
+    for r in ranged.groupBy("part").applyInPandas(tell, TOLD).collect():  # a few rows per range
+        told.setdefault(r["part"], []).append(r)
     entry: dict[int, tuple[int, int, bool]] = {}
-    closed, held, is_open = 0, 0, False  # chunks begun so far, words of the one that is open
-    for r in sorted(told, key=lambda r: r["part"]):
-        entry[r["part"]] = (closed, held, is_open)
-        at = first_close(np.array(r["total"]), held, is_open, most)
-        if at >= r["n"]:
-            held += r["all_words"]
+    begun, held, is_open, at = 0, 0, False, None  # chunks so far; words and group of the one that is open
+    for part in sorted(told):
+        rows = sorted(told[part], key=lambda r: r["at"])
+        joins = is_open and at == rows[0]["first_group"]
+        entry[part] = (begun, held, joins)
+        if joins and rows[0]["only"] and rule.takes_all(rows[0]["all_words"], held):
+            held += rows[0]["all_words"]
         else:
-            closed, held, is_open = closed + r["count"][at], r["left"][at], r["open"][at]
+            took = rows[0]
+            for r in rows[1:] if joins else ():
+                if held + r["need"] <= most and (want is None or held + r["least"] < want):
+                    took = r
+            begun, held, is_open = begun + took["count"], took["left"], took["open"]
+        at = rows[0]["last_group"]
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        w = pdf["w"].to_numpy()
-        begun, held_, open_ = entry[int(pdf["part"].iloc[0])]
-        total, after = jumps(w, most)
-        i, index = first_close(total, held_, open_, most), np.full(len(w), begun, "int64")
+        pdf = pdf.sort_values(["g", "k"], kind="stable")
+        w, ends = pdf["w"].to_numpy(), _ends(pdf["g"].to_numpy())
+        before, words_, joins = entry[int(pdf["part"].iloc[0])]
+        total, after = jumps(w, rule, ends)
+        i, index = int(min(ends[0], rule.close(total, -words_))) if joins else 0, np.full(len(w), before, "int64")
         while i < len(w):
-            begun += 1
-            index[i : after[i]] = begun
+            before += 1
+            index[i : after[i]] = before
             i = after[i]
-        return pd.DataFrame({"k": pdf["k"], "w": w, "chunk_index": index.astype("int32")})
+        return pd.DataFrame({"g": pdf["g"], "k": pdf["k"], "w": w, "chunk_index": index.astype("int32")})
 
     kind = dict(slim.dtypes)["k"]
-    out = ranged.groupBy("part").applyInPandas(number, f"k {kind}, w long, chunk_index int")
-    return out.select(F.col("k").alias(key), F.col("w").alias(words), "chunk_index")
+    out = ranged.groupBy("part").applyInPandas(number, f"g string, k {kind}, w long, chunk_index int")
+    return out.select(*([F.col("g").alias(group)] if group else []), F.col("k").alias(key), F.col("w").alias(words), "chunk_index")
 
 
 def _ordered(rows: DataFrame, by: str = "rel_path") -> DataFrame:
@@ -107,58 +149,52 @@ def pack_by_size(files: DataFrame, most: int) -> DataFrame:
 
 def pack_by_module(files: DataFrame, most: int) -> DataFrame:
     """As by size, over whole directories; one over the limit is packed by
-    size on its own, and the next directory begins a new chunk."""
-    tagged = files.select("rel_path", F.col("word_count").cast("long").alias("word_count"), T.module_of(F.col("rel_path")).alias("module"))
+    size on its own, in ranges like any, and the next directory begins a new
+    chunk."""
+    tagged = durable(files.select("rel_path", F.col("word_count").cast("long").alias("word_count"), T.module_of(F.col("rel_path")).alias("module")), "module-files")
     modules = tagged.groupBy("module").agg(F.sum("word_count").alias("word_count"))
     placed = durable(next_fit(modules, most, key="module"), "module-chunks")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rel_path", kind="stable")
-        w = pdf["word_count"].to_numpy()
-        _, after = jumps(w, most)
-        i, sub, index = 0, 0, np.zeros(len(w), "int32")
-        while i < len(w):
-            sub += 1
-            index[i : after[i]] = sub
-            i = after[i]
-        return pd.DataFrame({"rel_path": pdf["rel_path"], "word_count": w, "module": pdf["module"], "sub": index})
-
     large = placed.where(F.col("word_count") > most).select("module")
-    cut = tagged.join(large, "module").groupBy("module").applyInPandas(split, "rel_path string, word_count long, module string, sub int")
-    rest = tagged.join(large, "module", "left_anti").withColumn("sub", F.lit(1))
-    all_ = durable(rest.unionByName(cut, allowMissingColumns=True).select("rel_path", "word_count", "module", "sub").join(placed.select("module", F.col("chunk_index").alias("outer")), "module"), "module-files")
-    chunks = all_.select("outer", "sub").distinct()
-    chunks = chunks.withColumn("chunk_index", F.row_number().over(W.orderBy("outer", "sub")))  # a row per chunk
-    return _ordered(all_.join(chunks, ["outer", "sub"]))
+    cut = durable(next_fit(tagged.join(large, "module"), most, group="module"), "module-cut")
+    # an outer chunk with a large directory is that alone: as many chunks as the directory was cut into
+    cuts = cut.groupBy("module").agg(F.min("chunk_index").alias("low"), (F.max("chunk_index") - F.min("chunk_index") + 1).alias("n"))
+    outer = placed.join(cuts, "module", "left").groupBy("chunk_index").agg(F.coalesce(F.max("n"), F.lit(1)).cast("long").alias("word_count"))
+    before = running(outer, "chunk_index", "word_count")
+    base = placed.join(before, "chunk_index").join(cuts.select("module", "low"), "module", "left").select("module", "low", F.col("before").alias("base"))
+    whole = tagged.join(large, "module", "left_anti").join(base, "module").select("rel_path", "word_count", (F.col("base") + 1).cast("int").alias("chunk_index"))
+    parted = cut.join(base, "module").select("rel_path", "word_count", (F.col("base") + F.col("chunk_index") - F.col("low") + 1).cast("int").alias("chunk_index"))
+    return _ordered(whole.unionByName(parted))
+
+
+def running(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before): the sum of the values of all lesser keys (a row each), in
+    ranges; a sum per range reaches the driver."""
+    n = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = durable(rows.select(key, value).repartitionByRange(n, key).withColumn("part", F.spark_partition_id()), "running")
+    sums = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum(value).alias("s")).collect()}
+    at, base = 0, []
+    for part in sorted(sums):
+        base.append((part, at))
+        at += sums[part]
+    offsets = rows.sparkSession.createDataFrame(base, "part int, base long")
+    own = F.coalesce(F.sum(value).over(W.partitionBy("part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("own", own).join(offsets, "part").select(key, (F.col("base") + F.col("own")).alias("before"))
 
 
 def pack_balanced(chunk_files: DataFrame, target: int, most: int) -> DataFrame:
     """Redistribute (chunk_index, ord, rel_path, word_count) over at most
     ``target`` chunks of like size, in their order; no more chunks than that,
     so the last may exceed the limit.  At most ``target`` files: one each."""
-    total = chunk_files.agg(F.count("*").alias("n"), F.sum("word_count").alias("w")).first()
-    n, want = total["n"], (total["w"] or 0) // max(1, target)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held, files, seen = 1, 0, 0, 0
-        for b in batches:
-            out = []
-            for w in b.column("word_count").to_pylist():
-                seen += 1
-                if n <= target:
-                    out.append(seen)
-                    continue
-                if files and held + w > most and index < target:
-                    index, held, files = index + 1, 0, 0
-                out.append(index)
-                held, files = held + w, files + 1
-                if held >= want and index < target and seen < n:
-                    index, held, files = index + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), b.column("rel_path"), b.column("word_count")], names=["chunk_index", "rel_path", "word_count"])
-
-    slim = chunk_files.select("chunk_index", "ord", "rel_path", F.col("word_count").cast("long").alias("word_count"))
-    ordered = slim.repartition(1).sortWithinPartitions("chunk_index", "ord").select("rel_path", "word_count")  # slim rows alone, for a preset of a few dozen chunks
-    return _ordered(durable(ordered.mapInArrow(fold, "chunk_index int, rel_path string, word_count long"), "balanced"))
+    slim = durable(chunk_files.select("chunk_index", "ord", "rel_path", F.col("word_count").cast("long").alias("word_count")), "balanced-rows")
+    total = slim.agg(F.count("*").alias("n"), F.sum("word_count").alias("w")).first()
+    place = F.struct("chunk_index", "ord", "rel_path")
+    keyed = slim.select(place.alias("place"), "word_count")
+    if total["n"] <= target:  # a few files
+        one = F.row_number().over(W.orderBy("place")).alias("chunk_index")
+        return _ordered(keyed.select(one, F.col("place.rel_path").alias("rel_path"), "word_count"))
+    # the fold without a limit of chunks, whose later ones are all the last
+    found = next_fit(keyed.withColumn("place", F.format_string("%010d/%010d/%s", "place.chunk_index", "place.ord", "place.rel_path")), most, key="place", want=max(0, total["w"] // max(1, target)))
+    return _ordered(found.select(F.least("chunk_index", F.lit(max(1, target))).alias("chunk_index"), F.expr("substring(place, 23)").alias("rel_path"), "word_count"))
 
 
 def chunk_totals(chunk_files: DataFrame, prefix: str = "docs_chunk_") -> DataFrame:

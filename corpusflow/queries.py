@@ -375,8 +375,9 @@ def canonical_prefix(spark, d):
 @query(f"WITH {URLS}, b AS (SELECT host, '/'||list_filter(string_split(path, '/'), lambda x: x <> '')[1]||'/' AS prefix FROM p WHERE n > 0 GROUP BY ALL) SELECT b.host, b.prefix AS base, count(*)::BIGINT AS urls, count_if(p.n <= 2)::BIGINT AS shallow FROM b JOIN p ON p.host = b.host AND starts_with(p.prefix, b.prefix) GROUP BY 1, 2")
 def url_scope(spark, d):
     u = spark.read.parquet(f"{d}/pages.parquet").select("url", T.url_part(F.col("url"), 2).alias("host"), T.segments(T.url_part(F.col("url"), 3)).alias("s"))
-    b = u.where(F.size("s") > 0).select("host", F.concat(F.lit("/"), F.element_at("s", 1), F.lit("/")).alias("base")).distinct()
-    j = b.join(u.select("host", "url"), "host").withColumn("root", F.concat(F.lit("http://"), "host", "base"))
+    u = u.withColumn("section", F.try_element_at("s", F.lit(1)))  # what is below a section has its first segment
+    b = u.where(F.size("s") > 0).select("host", "section", F.concat(F.lit("/"), "section", F.lit("/")).alias("base")).distinct()
+    j = b.join(u.select("host", "section", "url"), ["host", "section"]).withColumn("root", F.concat(F.lit("http://"), "host", "base"))
     j = j.where(T.in_scope(F.col("url"), F.col("root")))
     return j.groupBy("host", "base").agg(F.count("*").alias("urls"), F.count_if(T.in_scope(F.col("url"), F.col("root"), 1)).alias("shallow"))
 
@@ -467,33 +468,52 @@ def cross_ref_adjacency(spark, d):
 # -- discovery ---------------------------------------------------------------
 
 
+#: Pages that a generated list or map names at most, on average.
+LISTED = 500
+
+
+def _listed(spark, d) -> DataFrame:
+    """Pages with their host and, for every LISTED pages, one of its lists."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    n = F.lit(1 + p.count() // LISTED)
+    return p.withColumn("host", T.url_part(F.col("url"), 2)).withColumn("part", F.pmod(F.xxhash64("url"), n))
+
+
 def _llms(spark, d) -> DataFrame:
-    """A site per host whose list names its pages, the odd ones bare."""
-    p = spark.read.parquet(f"{d}/pages.parquet").withColumn("site", T.url_part(F.col("url"), 2))
+    """Lists of each host, bounded ones, that name its pages, the odd ones bare."""
     line = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("- [p"), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit("): a page"))).otherwise(F.col("url"))
-    listed = p.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("x"))
+    listed = _listed(spark, d).groupBy(F.col("host").alias("site"), "part").agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("x"))
     return listed.select("site", F.concat(F.lit("# Site\n\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("body"))
 
 
 @query("SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS site, url FROM pages GROUP BY ALL")
 def llms_urls(spark, d):
-    return discovery.llms_urls(_llms(spark, d)).select("site", "url")
+    return discovery.llms_urls(_llms(spark, d)).select("site", "url").distinct()
 
 
-def _sitemaps(spark, d) -> DataFrame:
-    """An index of one map per host, each with the host's pages."""
-    p = spark.read.parquet(f"{d}/pages.parquet").withColumn("host", T.url_part(F.col("url"), 2))
-    loc = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    maps = p.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("x"))
-    ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    leaves = maps.select(F.concat(F.lit("http://root.example/"), "host", F.lit(".xml")).alias("url"), F.concat(F.lit(f"<urlset{ns}>"), "x", F.lit("</urlset>")).alias("body"))
-    index = leaves.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), "").alias("x"))
-    return leaves.unionByName(index.select(F.lit("http://root.example/sitemap.xml").alias("url"), F.concat(F.lit(f"<sitemapindex{ns}>"), "x", F.lit("</sitemapindex>")).alias("body")))
+SPACE = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
-@query("SELECT 'http://root.example/'||regexp_extract(url, '^https?://([^/?#]*)', 1)||'.xml' AS site, url FROM pages GROUP BY ALL")
+def _sitemaps(spark, d) -> DataFrame:
+    """Bounded maps of each host's pages, an index per part of them, and an
+    index of these; two maps are broken."""
+    loc = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    maps = _listed(spark, d).groupBy("host", "part").agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("x"))
+    root = "http://root.example/"
+    leaves = maps.select("part", F.concat(F.lit(root), "host", F.lit("-"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit(f"<urlset{SPACE}>"), "x", F.lit("</urlset>")).alias("body"))
+    named = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), "")
+    index = leaves.groupBy(F.col("part").cast("string").alias("part")).agg(named.alias("x"))  # the hosts of a part's few pages
+    index = index.select(F.concat(F.lit(f"{root}part-"), "part", F.lit(".xml")).alias("url"), F.concat(F.lit(f"<sitemapindex{SPACE}>"), "x", F.lit("</sitemapindex>")).alias("body"))
+    top = spark.createDataFrame([(f"{root}broken.xml", "<urlset><url><loc>http://x/"), (f"{root}other.xml", "<html><body></p></html>")], "url string, body string")
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(spark.read.parquet(f"{d}/pages.parquet").count() // LISTED)), lambda i: F.concat(F.lit(f"<sitemap><loc>{root}part-"), i.cast("string"), F.lit(".xml</loc></sitemap>"))), "")
+    head = spark.range(1).select(F.lit(f"{root}sitemap.xml").alias("url"), F.concat(F.lit(f"<sitemapindex{SPACE}><sitemap><loc>{root}broken.xml</loc></sitemap><sitemap><loc>{root}other.xml</loc></sitemap>"), parts, F.lit("</sitemapindex>")).alias("body"))
+    return leaves.select("url", "body").unionByName(index).unionByName(top).unionByName(head)
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, url FROM pages GROUP BY ALL")
 def sitemap_urls(spark, d):
-    return discovery.sitemap_urls(_sitemaps(spark, d).withColumnRenamed("url", "site")).select("site", "url")
+    found = discovery.sitemap_urls(_sitemaps(spark, d).withColumnRenamed("url", "site"))
+    return found.select(F.regexp_extract("site", r"^http://root\.example/(.*)-\d+\.xml$", 1).alias("host"), "url").distinct()
 
 
 @query("SELECT DISTINCT url FROM pages")

@@ -9,17 +9,20 @@ import gzip
 import json
 from collections.abc import Callable, Iterable
 from urllib.parse import urljoin, urlsplit
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..tables import durable
 
 Fetch = Callable[[str], bytes | None]
 
 # Where sites keep their lists, and the limits of looking for them.
+SITEMAP_SPACE = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
 LLMS_FILES = ("llms.txt", "llms-full.txt")
 SITEMAP_FILES = ("sitemap.xml", "sitemap_index.xml", "sitemap-index.xml")
 MAX_DEPTH = 3
@@ -57,15 +60,31 @@ def ordered_distinct(rows: DataFrame, within: list[str], order: list[str]) -> Da
     return first.select(*within, F.col("first").alias("ord"), "url")
 
 
-def locs(body: Column, root: str, item: str) -> Column:
-    """Trimmed, non-empty <loc> texts of a urlset or a sitemapindex."""
-    return F.filter(F.transform(F.xpath(body, F.lit(f"/{root}/{item}/loc/text()")), T.trimmed), lambda x: x != "")
+@F.pandas_udf(StructType([StructField("root", StringType()), StructField("locs", ArrayType(StringType()))]))
+def sitemap(bodies: pd.Series) -> pd.DataFrame:
+    """Kind of a sitemap (urlset or sitemapindex) and the trimmed, non-empty
+    <loc> texts of its items; neither for anything else, broken XML included."""
+
+    def one(body: str | None) -> tuple[str | None, list[str]]:
+        try:
+            root = ElementTree.fromstring(body or "")
+        except (ElementTree.ParseError, ValueError):
+            return None, []
+        kind = root.tag.removeprefix(SITEMAP_SPACE)
+        item = {"urlset": "url", "sitemapindex": "sitemap"}.get(kind)
+        if item is None or kind == root.tag:
+            return None, []
+        found = (x.findtext(f"{SITEMAP_SPACE}loc") for x in root.findall(f"{SITEMAP_SPACE}{item}"))
+        return kind, [x.strip() for x in found if x and x.strip()]
+
+    return pd.DataFrame([one(b) for b in bodies], columns=["root", "locs"])
 
 
 def sitemap_urls(bodies: DataFrame) -> DataFrame:
-    """bodies: (site, body) of urlsets.  (site, ord, url)."""
-    found = bodies.where(F.col("body").contains("<urlset")).select("site", F.posexplode(locs(F.col("body"), "urlset", "url")).alias("at", "url"))
-    return ordered_distinct(found, ["site"], ["at"])
+    """bodies: (site, body) of urlsets.  (site, ord, url).  What is no urlset,
+    or broken, has no URLs."""
+    read = bodies.select("site", sitemap("body").alias("m")).where(F.col("m.root") == "urlset")
+    return ordered_distinct(read.select("site", F.posexplode("m.locs").alias("at", "url")), ["site"], ["at"])
 
 
 def child_in_scope(child: Column, base: Column) -> Column:
@@ -77,16 +96,17 @@ def child_in_scope(child: Column, base: Column) -> Column:
 
 def walk_sitemaps(maps: DataFrame, start: str, base: str, depth: int = MAX_DEPTH) -> DataFrame:
     """maps: (url, body), the sitemaps at hand.  All page URLs below ``start``
-    that sit in urlsets, following indexes at most ``depth`` deep, each map once."""
+    that sit in urlsets, following indexes at most ``depth`` deep, each map
+    once.  Maps are parsed once; a broken one ends its own branch alone."""
     spark = maps.sparkSession
-    known = maps.where(F.col("body").isNotNull())
+    read = durable(maps.select("url", sitemap("body").alias("m")).where(F.col("m.root").isNotNull()), "sitemaps")
     frontier = spark.createDataFrame([(start,)], "url string")
     seen, pages = frontier, None
     for level in range(depth + 1):
-        here = frontier.join(known, "url")
-        found = here.where(F.col("body").contains("<urlset")).select(F.lit(level).alias("level"), F.col("url").alias("map"), F.posexplode(locs(F.col("body"), "urlset", "url")).alias("at", "url"))
+        here = frontier.join(read, "url")
+        found = here.where(F.col("m.root") == "urlset").select(F.lit(level).alias("level"), F.col("url").alias("map"), F.posexplode("m.locs").alias("at", "url"))
         pages = found if pages is None else pages.unionByName(found)
-        children = here.where(F.col("body").contains("<sitemapindex")).select(F.explode(locs(F.col("body"), "sitemapindex", "sitemap")).alias("url")).distinct()
+        children = here.where(F.col("m.root") == "sitemapindex").select(F.explode("m.locs").alias("url")).distinct()
         frontier = children.where(child_in_scope(F.col("url"), F.lit(base))).join(seen, "url", "left_anti")
         seen = seen.unionByName(frontier)
     return pages.groupBy("url").agg(F.min(F.struct("level", "map", "at")).alias("ord"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,8 +139,9 @@ def chunks_of(df):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_packing_by_size_and_module(spark, seed):
+def test_packing_by_size_and_module(spark, monkeypatch, seed):
     r = random.Random(seed)
+    monkeypatch.setattr(folds, "RANGE_ROWS", [3, 7, 20, 60, 1000][seed])
     most = r.choice([10, 50, 300])
     files = sorted((f"{r.choice(['', 'Z/', 'a/', 'a/b/', 'é/'])}{i:03d}", r.choice([0, 0, 1, 3, 7, most, most + 1, r.randint(0, most)])) for i in range(150))
     df = spark.createDataFrame(files, "rel_path string, word_count long")
@@ -162,6 +164,60 @@ def test_packing_by_size_and_module(spark, seed):
     assert chunks_of(folds.pack_by_module(df, most)) == [sorted(c) for c in want + [cur] * bool(cur)]
 
 
+def balance(files, target, most):
+    """Balanced packing, file by file."""
+    want, out, held = sum(w for _, w in files) // target, [[]], 0
+    for i, (p, w) in enumerate(files):
+        if out[-1] and held + w > most and len(out) < target:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += w
+        if held >= want and len(out) < target and i + 1 < len(files):
+            out.append([])
+            held = 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_balanced_packing(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    files = [(f"{i:03d}", r.choice([0, 0, 1, 3, 7, 40, r.randint(0, 20)])) for i in range(r.choice([30, 90]))]
+    target, most = r.choice([1, 3, 9, 20]), r.choice([15, 60, 10_000])
+    df = spark.createDataFrame([(1, i + 1, p, w) for i, (p, w) in enumerate(files)], "chunk_index int, ord int, rel_path string, word_count long")
+    monkeypatch.setattr(folds, "RANGE_ROWS", [3, 7, 20, 1000][seed % 4])
+    assert chunks_of(folds.pack_balanced(df, target, most)) == balance(files, target, most)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_ranges_chain(seed):
+    """Outcomes of ranges, chained, against one fold over all."""
+    r = random.Random(seed)
+    words = np.array([r.choice([0, 1, 2, 5, 9, r.randint(0, 30)]) for _ in range(40)])
+    rule = folds.Rule(r.choice([5, 12, 30]), r.choice([None, 0, 4, 11, 25]))
+    ends = folds._ends(np.array(sorted(r.choice("abcd") for _ in range(40))) if r.random() < 0.5 else np.zeros(40))
+    total, after = folds.jumps(words, rule, ends)
+    for i in range(40):
+        held, j = 0, i
+        while j < ends[i] and (j == i or held + words[j] <= rule.most):
+            held, j = held + words[j], j + 1
+            if rule.want is not None and held >= rule.want:
+                break
+        assert after[i] == j
+    _, count, left, is_open = folds.outcome(words, rule, ends)
+    at = [0]
+    while at[-1] < 40:
+        at.append(int(after[at[-1]]))
+    assert count[0] == len(at) - 1 and left[0] == words[at[-2] :].sum() and is_open[0] == rule.takes_all(left[0], 0)
+
+
+def test_running(spark, monkeypatch):
+    monkeypatch.setattr(folds, "RANGE_ROWS", 4)
+    rows = [(i * 3, i % 5) for i in range(30)]
+    got = sorted(tuple(x) for x in folds.running(spark.createDataFrame(rows, "k int, v long"), "k", "v").collect())
+    assert got == [(k, sum(v for x, v in rows if x < k)) for k, _ in rows]
+
+
 def test_packing_examples(spark):
     three = spark.createDataFrame([(x, 100) for x in "abc"], "rel_path string, word_count long")
     assert chunks_of(folds.pack_by_size(three, 250)) == [["a", "b"], ["c"]]
