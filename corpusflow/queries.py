@@ -96,6 +96,35 @@ scored AS (SELECT chunk_index, printf('docs_chunk_%02d', chunk_index) AS chunk_i
 graded AS (SELECT *, 0.4 * (1 - noise_ratio) + 0.3 + 0.3 * CASE depth_ WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END AS score FROM (SELECT *, context_depth AS depth_ FROM scored))"""
 
 
+#: A file per row as the writers see it: place, path, text, title (the first heading) and its chunk's totals.
+RENDERED = f"""{PAGE_FOLD}, titled AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(article, '<h1>(.*?)</h1>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM parsed),
+placed AS (SELECT chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY encode(rel_path)) AS ord, rel_path, word_count, text, title, raw_words, extracted_words, len(regexp_extract_all(text, '\\S+')) AS words FROM packed JOIN titled USING (rel_path)),
+sums AS (SELECT chunk_index, count(*) AS n, sum(word_count)::BIGINT AS w, (SELECT max(chunk_index) FROM placed) AS total, string_agg('- '||rel_path||' ('||word_count||' words)'||chr(10), '' ORDER BY ord) AS listed FROM placed GROUP BY 1)"""
+
+
+def _body(form: str, text: str) -> str:
+    """The chunk file: an index of its files, then ``text`` of each."""
+    n = "printf('%02d', chunk_index)"
+    if form == "md":
+        head = f"'# Chunk '||{n}||' of '||printf('%02d', total)||chr(10)||chr(10)||'## Files in this chunk ('||n||' files, ~'||w||' words):'||chr(10)||listed||chr(10)||'---'||chr(10)||chr(10)"
+    else:
+        head = f"'Chunk '||{n}||' of '||printf('%02d', total)||chr(10)||'Files in this chunk ('||n||' files, ~'||w||' words):'||chr(10)||listed||chr(10)||repeat('=', 60)||chr(10)||chr(10)"
+    return f"SELECT chunk_index::INT AS chunk_index, 'docs_chunk_'||{n}||'.{form}' AS name, {head}||string_agg({text}, chr(10)||chr(10) ORDER BY ord) AS body FROM placed JOIN sums USING (chunk_index) GROUP BY chunk_index, total, n, w, listed"
+
+
+#: The comment above a file that has headings, and the file's text.
+HEADED = """'<!-- context-v1'||chr(10)||'{'||chr(10)||'  "source": '||to_json(rel_path)||','||chr(10)||CASE WHEN words > 0 THEN '  "word_count": '||words||','||chr(10) ELSE '' END||CASE WHEN title <> '' THEN '  "context_breadcrumb": ['||chr(10)||'    '||to_json(title)||chr(10)||'  ],'||chr(10) ELSE '' END||'  "llm_readiness": {'||chr(10)||'    "score": '||score||','||chr(10)||'    "grade": "'||grade||'",'||chr(10)||'    "noise_ratio": '||noise||chr(10)||'  },'||chr(10)||'  "schema_version": "v1"'||chr(10)||'}'||chr(10)||'-->'||chr(10)||chr(10)||text"""
+#: Scores of chunks as the headers show them.
+SHOWN = "shown AS (SELECT chunk_index, round_even(score, 2) AS score, grade, round_even(noise_ratio, 3) AS noise FROM (SELECT *, 0.4 * (1 - noise_ratio) + 0.3 + 0.3 * CASE depth WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END AS score, CASE WHEN 0.4 * (1 - noise_ratio) + 0.3 + 0.3 * CASE depth WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END >= 0.8 THEN 'A' ELSE 'B' END AS grade FROM (SELECT chunk_index, greatest(0.0, least(1.0, 1 - sum(extracted_words)::DOUBLE / sum(raw_words)::DOUBLE)) AS noise_ratio, max(CASE WHEN title <> '' THEN 1 ELSE 0 END) AS depth FROM placed GROUP BY 1)))"
+#: The headings of a page and its text's paragraphs, cut at 100 words.
+PIECES = f"""WITH RECURSIVE {PAGE}, titled AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(article, '<h1>(.*?)</h1>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+ length(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(article, '(?s)^(.*?)</h1>', 1), '</(p|div|section|article|main|h[1-6]|li|tr|blockquote|pre|ul|ol|table|dl|dt|dd|figcaption|figure|hr)>', chr(10)||chr(10), 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS title_end FROM parsed),
+para AS (SELECT rel_path, unnest(string_split(text, chr(10)||chr(10))) AS p, generate_subscripts(string_split(text, chr(10)||chr(10)), 1) AS i FROM parsed),
+sized AS (SELECT rel_path, i, p, len(regexp_extract_all(p, '\\S+')) AS n, coalesce(sum(length(p) + 2) OVER (PARTITION BY rel_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS place FROM para),
+cut AS (SELECT rel_path, i, n AS held, 1 AS sub FROM sized WHERE i = 1 UNION ALL SELECT s.rel_path, s.i, CASE WHEN c.held + s.n > 100 THEN s.n ELSE c.held + s.n END, CASE WHEN c.held + s.n > 100 THEN c.sub + 1 ELSE c.sub END FROM cut c JOIN sized s ON s.rel_path = c.rel_path AND s.i = c.i + 1),
+pieces AS (SELECT rel_path, sub::INT AS sub_ord, string_agg(p, chr(10)||chr(10) ORDER BY i) AS text, min(place)::INT AS char_offset FROM cut JOIN sized USING (rel_path, i) GROUP BY 1, 2)"""
+
+
 # -- pages -------------------------------------------------------------------
 
 
@@ -169,36 +198,36 @@ def spa_proportion(spark, d):
     return spa.is_spa(spa.shells(_parsed(spark, d)))
 
 
-@query()
+@query(f"{PIECES} SELECT rel_path, sub_ord, count(*) OVER (PARTITION BY rel_path)::INT AS sub_total, text, char_offset FROM pieces")
 def split_pieces(spark, d):
     return split.split_files(_parsed(spark, d).select("rel_path", "text", "headings"), 100).drop("headings")
 
 
-@query()
+@query(f"{PIECES} SELECT rel_path, sub_ord, char_offset, CASE WHEN title <> '' AND (title_end <= char_offset OR sub_ord = 1) THEN title ELSE '' END AS breadcrumb FROM pieces JOIN titled USING (rel_path)")
 def heading_breadcrumbs(spark, d):
-    return split.breadcrumbs(split.split_files(_parsed(spark, d).select("rel_path", "text", "headings"), 100)).select("rel_path", "sub_ord", "char_offset", "breadcrumb")
+    return split.breadcrumbs(split.split_files(_parsed(spark, d).select("rel_path", "text", "headings"), 100)).select("rel_path", "sub_ord", "char_offset", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
 
 
 def _rendered(spark, d, **options) -> DataFrame:
     return pack(_pages(spark, d), PackOptions(max_words_per_chunk=PAGE_WORDS, **options)).bodies
 
 
-@query()
+@query(f"""{RENDERED} {_body("md", "'<!-- SOURCE: '||rel_path||' -->'||chr(10)||chr(10)||text")}""")
 def markdown_chunks(spark, d):
     return _rendered(spark, d, format="md")
 
 
-@query()
+@query(f"""{RENDERED} {_body("txt", "'=== SOURCE: '||rel_path||' ==='||chr(10)||chr(10)||text")}""")
 def text_chunks(spark, d):
     return _rendered(spark, d, format="txt")
 
 
-@query()
+@query(f"""{RENDERED}, {SHOWN} SELECT chunk_index::INT AS chunk_index, 'docs_chunk_'||printf('%02d', chunk_index)||'.jsonl' AS name, string_agg('{{"id":'||to_json(printf('%02d', chunk_index)||'_'||rel_path)||',"source":'||to_json(rel_path)||',"words":'||words||',"content":'||to_json(text)||',"schema_version":"v1"'||CASE WHEN title <> '' THEN ',"breadcrumb":['||to_json(title)||']' ELSE '' END||',"readiness_grade":'||to_json(grade)||'}}', chr(10) ORDER BY ord)||chr(10) AS body FROM placed JOIN shown USING (chunk_index) GROUP BY 1, 2""")
 def jsonl_records(spark, d):
     return _rendered(spark, d, format="jsonl", context_header=True, score=True)
 
 
-@query()
+@query(f"{RENDERED}, {SHOWN} " + _body("md", HEADED).replace("FROM placed JOIN sums", "FROM placed JOIN shown USING (chunk_index) JOIN sums"))
 def context_headers(spark, d):
     return _rendered(spark, d, format="md", context_header=True, score=True)
 
@@ -271,6 +300,25 @@ def exact_dedup_text(spark, d):
 HASHES = f"norm AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM norm), s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) ELSE [t] END) AS g FROM w), h AS (SELECT doc_id, ('0x'||substr(md5(g), 1, 16))::UBIGINT AS h FROM s), votes AS (SELECT doc_id, b, 2 * sum(((h >> b) & 1)::INT) > count(*) AS one FROM h, range(0, 64) r(b) GROUP BY 1, 2), hashes AS (SELECT doc_id, bit_or(CASE WHEN one THEN (1::UBIGINT << b::UBIGINT) ELSE 0::UBIGINT END) AS u FROM votes GROUP BY 1), signed AS (SELECT doc_id, CASE WHEN u > 9223372036854775807 THEN (u::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END AS simhash FROM hashes)"
 
 
+def _fuzzy(mode: str) -> str:
+    """Blocks with what removes them: SimHash of the long ones that exact
+    removal leaves, pairs within 3 bits, and the greedy rule over the hashes
+    with such pairs, one by one in order."""
+    repeat = "repeat" if mode == "both" else "false"
+    return f"""WITH RECURSIVE {BLOCKS}, state AS (SELECT rel_path, pos, block, words, {repeat} AS rep FROM marked),
+cand AS (SELECT rel_path, pos, {NORM.format('block')} AS t FROM state WHERE NOT rep AND words >= 10), w AS (SELECT rel_path, pos, t, string_split(t, ' ') AS w FROM cand),
+g AS (SELECT rel_path, pos, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) ELSE [t] END) AS g FROM w),
+h AS (SELECT rel_path, pos, ('0x'||substr(md5(g), 1, 16))::UBIGINT AS h FROM g), votes AS (SELECT rel_path, pos, b, 2 * sum(((h >> b) & 1)::INT) > count(*) AS one FROM h, range(0, 64) r(b) GROUP BY 1, 2, 3),
+hashed AS (SELECT rel_path, pos, bit_or(CASE WHEN one THEN (1::UBIGINT << b::UBIGINT) ELSE 0::UBIGINT END) AS u FROM votes GROUP BY 1, 2),
+first AS (SELECT u, min((rel_path, pos)) AS place FROM hashed GROUP BY 1),
+edges AS (SELECT a.u AS a, b.u AS b, b.place AS place FROM first a JOIN first b ON a.place < b.place WHERE bit_count(xor(a.u, b.u)) <= 3),
+nodes AS (SELECT b AS u, list(a) AS before, row_number() OVER (ORDER BY min(place)) AS i FROM edges GROUP BY 1),
+greedy AS (SELECT 0::BIGINT AS i, []::UBIGINT[] AS gone UNION ALL SELECT n.i, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, n.u) ELSE g.gone END FROM greedy g JOIN nodes n ON n.i = g.i + 1),
+gone AS (SELECT unnest(gone) AS u FROM (SELECT gone FROM greedy ORDER BY i DESC LIMIT 1)),
+near AS (SELECT rel_path, pos, (u IN (SELECT u FROM gone)) OR (rel_path, pos) <> place AS fuzzy FROM hashed JOIN first USING (u)),
+final AS (SELECT s.rel_path, s.pos, s.words, CASE WHEN s.rep THEN 'exact' WHEN n.fuzzy THEN 'fuzzy' END AS removed FROM state s LEFT JOIN near n USING (rel_path, pos))"""
+
+
 def _hashes(spark, d) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.normalised(F.col("text")).alias("t"))
     return dedup.simhash(docs, "doc_id", "t")
@@ -286,12 +334,12 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(_hashes(spark, d), 3)
 
 
-@query()
+@query(f"{_fuzzy('fuzzy')} SELECT rel_path, pos, removed FROM final")
 def fuzzy_dedup_blocks(spark, d):
     return dedup.deduplicate(_texts(spark, d), "fuzzy", delimiter="\n").select("rel_path", "pos", "removed")
 
 
-@query()
+@query(f"{_fuzzy('both')} SELECT count(*)::BIGINT AS total_blocks, count_if(removed = 'exact')::BIGINT AS removed_exact, count_if(removed = 'fuzzy')::BIGINT AS removed_fuzzy, coalesce(sum(CASE WHEN removed IS NOT NULL THEN words END), 0)::BIGINT AS words_removed FROM final")
 def both_dedup_stats(spark, d):
     return dedup.stats(dedup.deduplicate(_texts(spark, d), "both", delimiter="\n"))
 
@@ -301,21 +349,30 @@ def pack_by_size(spark, d):
     return folds.pack_by_size(_sized(spark, d), DOC_WORDS)
 
 
-@query(f"""WITH RECURSIVE {SIZED}, tagged AS (SELECT *, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS module FROM sized), mods AS (SELECT module, sum(word_count)::BIGINT AS word_count FROM tagged GROUP BY 1), {_fold(DOC_WORDS, 'mods', 'outers', 'module')},
+BY_MODULE = f"""tagged AS (SELECT *, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS module FROM sized), mods AS (SELECT module, sum(word_count)::BIGINT AS word_count FROM tagged GROUP BY 1), {_fold(DOC_WORDS, 'mods', 'outers', 'module')},
 inner_n AS (SELECT t.module, t.rel_path, t.word_count, o.chunk_index AS o, o.word_count > {DOC_WORDS} AS big, row_number() OVER (PARTITION BY t.module ORDER BY encode(rel_path)) AS i FROM tagged t JOIN outers o USING (module)),
 inners AS (SELECT module, rel_path, word_count, o, big, i, 1 AS s, word_count AS held FROM inner_n WHERE i = 1 UNION ALL SELECT n.module, n.rel_path, n.word_count, n.o, n.big, n.i, CASE WHEN n.big AND (p.held > {DOC_WORDS} OR p.held + n.word_count > {DOC_WORDS}) THEN p.s + 1 ELSE p.s END, CASE WHEN n.big AND (p.held > {DOC_WORDS} OR p.held + n.word_count > {DOC_WORDS}) THEN n.word_count ELSE p.held + n.word_count END FROM inners p JOIN inner_n n ON n.module = p.module AND n.i = p.i + 1),
-numbered AS (SELECT rel_path, word_count, dense_rank() OVER (ORDER BY o, s) AS chunk_index FROM inners)
-SELECT chunk_index::INT AS chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY encode(rel_path))::INT AS ord, rel_path, word_count FROM numbered""")
+numbered AS (SELECT rel_path, word_count, dense_rank() OVER (ORDER BY o, s) AS chunk_index FROM inners)"""
+
+
+def _balanced(source: str, target: int, most: int) -> str:
+    """Balanced repacking of (chunk_index, rel_path, word_count) as a recursion."""
+    return f"""t AS (SELECT count(*) AS n, sum(word_count) // {target} AS want FROM {source}), bal_n AS (SELECT rel_path, word_count, row_number() OVER (ORDER BY chunk_index, encode(rel_path)) AS i FROM {source}),
+bal AS (SELECT i, rel_path, word_count, 1 AS chunk_index, word_count AS held, (word_count >= want AND 1 < {target} AND i < n) AS closes FROM bal_n, t WHERE i = 1
+ UNION ALL SELECT x.i, x.rel_path, x.word_count, CASE WHEN x.new THEN x.c + 1 ELSE x.c END, CASE WHEN x.new THEN x.word_count ELSE x.h + x.word_count END,
+ (CASE WHEN x.new THEN x.word_count ELSE x.h + x.word_count END >= want AND (CASE WHEN x.new THEN x.c + 1 ELSE x.c END) < {target} AND x.i < n)
+ FROM (SELECT n.i, n.rel_path, n.word_count, p.chunk_index AS c, p.held AS h, (p.closes OR (p.held + n.word_count > {most} AND p.chunk_index < {target})) AS new FROM bal p JOIN bal_n n ON n.i = p.i + 1) x, t)"""
+
+
+PLACED = "SELECT chunk_index::INT AS chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY encode(rel_path))::INT AS ord, rel_path, word_count FROM"
+
+
+@query(f"WITH RECURSIVE {SIZED}, {BY_MODULE} {PLACED} numbered")
 def pack_by_module(spark, d):
     return folds.pack_by_module(_sized(spark, d), DOC_WORDS)
 
 
-@query(f"""{DOC_FOLD}, t AS (SELECT count(*) AS n, sum(word_count) // {CHUNKS} AS want FROM sized),
-bal AS (SELECT i, rel_path, word_count, 1 AS chunk_index, word_count AS held, (word_count >= want AND 1 < {CHUNKS} AND i < n) AS closes FROM packed, t WHERE i = 1
- UNION ALL SELECT x.i, x.rel_path, x.word_count, CASE WHEN x.new THEN x.c + 1 ELSE x.c END, CASE WHEN x.new THEN x.word_count ELSE x.h + x.word_count END,
- (CASE WHEN x.new THEN x.word_count ELSE x.h + x.word_count END >= want AND (CASE WHEN x.new THEN x.c + 1 ELSE x.c END) < {CHUNKS} AND x.i < n)
- FROM (SELECT n.i, n.rel_path, n.word_count, p.chunk_index AS c, p.held AS h, (p.closes OR (p.held + n.word_count > {DOC_WORDS * 10} AND p.chunk_index < {CHUNKS})) AS new FROM bal p JOIN packed_n n ON n.i = p.i + 1) x, t)
-SELECT chunk_index::INT AS chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY encode(rel_path))::INT AS ord, rel_path, word_count FROM bal""")
+@query(f"WITH RECURSIVE {SIZED}, {_fold(DOC_WORDS * 10)}, {_balanced('packed', CHUNKS, DOC_WORDS * 10)} {PLACED} bal")
 def pack_balanced(spark, d):
     return folds.pack_balanced(folds.pack_by_size(_sized(spark, d), DOC_WORDS * 10), CHUNKS, DOC_WORDS * 10)
 
@@ -531,19 +588,19 @@ def discovery_cascade(spark, d):
 # -- whole runs --------------------------------------------------------------
 
 
-@query()
+@query(f"{_fuzzy('both')}, kept AS (SELECT rel_path, sum(CASE WHEN removed IS NULL THEN words ELSE 0 END)::BIGINT AS n FROM final GROUP BY 1), sized AS (SELECT rel_path, coalesce(n, 0)::BIGINT AS word_count FROM docs LEFT JOIN kept USING (rel_path)), {BY_MODULE}, {_balanced('numbered', 50, DOC_WORDS)} {PLACED} bal")
 def pack_documents(spark, d):
     """Deduplicated texts packed by directory into balanced chunks."""
     o = PackOptions(max_words_per_chunk=DOC_WORDS, strategy="semantic", dedup="both", delimiter="\n", bundle="notebooklm", format="jsonl")
     return pack(_documents(spark, d), o).chunk_files
 
 
-@query()
+@query(f"WITH RECURSIVE changed AS (SELECT * FROM documents WHERE doc_id % 11 = 0 OR n_chars <> doc_id), {SIZED.replace('FROM documents', 'FROM changed')}, {_fold(DOC_WORDS)} {PLACED} packed")
 def pack_delta(spark, d):
     return pack(_documents(spark, d), PackOptions(max_words_per_chunk=DOC_WORDS, delta=True), manifest=_manifests(spark, d)[0].drop("etag").withColumn("etag", F.lit(None).cast("string"))).chunk_files
 
 
-@query()
+@query(f"WITH {PAGE} SELECT rel_path, raw_words, extracted_words, len(regexp_extract_all(article, '<h1>[^<]*[^<\\s][^<]*</h1>'))::INT AS n_headings FROM parsed UNION ALL SELECT source||'/'||lang||'/'||printf('%010d.txt', doc_id), len(regexp_extract_all(text, '\\S+'))::BIGINT, len(regexp_extract_all(text, '\\S+'))::BIGINT, NULL::INT FROM documents")
 def document_rows(spark, d):
     return document_table(_pages(spark, d).unionByName(_documents(spark, d))).select("rel_path", "raw_words", "extracted_words", F.size("headings").alias("n_headings"))
 
