@@ -27,14 +27,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, holds, read_table, sliced, turn_to
+from .common import durable, fresh_path, holds, read_table, shuffle_partitions, sliced, turn_to
 
 #: Symbols: bytes, the end of a word (and, in contexts, its start), the end of the text.
 CLOSE, END, SYMBOLS = 256, 257, 258
@@ -44,6 +44,8 @@ _B = 9  # bits of a symbol
 LOW = 2
 #: Keys of a task, as a rule; symbols counted at once.
 TASK_KEYS, CHUNK = 500_000, 4_000_000
+#: Parts that the contexts are counted in, at most.
+PARTS = 4096
 _SYMBOL = np.arange(256, dtype=_U)
 _SYMBOL[[32, 10]] = CLOSE, END  # no word has white space
 
@@ -245,27 +247,74 @@ def train(words: DataFrame, ends: int, order: int = 6, max_entries: int | None =
     return Trie(keys, counts, order)
 
 
-def key_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(k, n): the keys of all texts and how often they occur, as a durable table."""
+def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
+    """(k, n): the keys of all texts and how often they occur, as a durable
+    table.  Tasks send sorted keys and counts as arrays, one per part of the
+    contexts; a part's arrays are merged as they come.  The parts are more for
+    more ``words``."""
+    parts_ = min(PARTS, max(shuffle_partitions(texts.sparkSession), words // CHUNK))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        held, size = [], 0
         for b in sliced(batches):
             if len(b):
-                parts.append(stream_keys([tokens(t) for t in b.column("text").to_pylist()], order)[0])
-                size += len(parts[-1])
+                held.append(stream_keys([tokens(t) for t in b.column("text").to_pylist()], order)[0])
+                size += len(held[-1])
             if size >= CHUNK:
-                yield from rows(parts)
-                parts, size = [], 0
-        if parts:
-            yield from rows(parts)
+                yield sent(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield sent(np.concatenate(held))
+
+    def sent(keys: np.ndarray) -> pa.RecordBatch:
+        k, n = np.unique(keys, return_counts=True)
+        part = ((k >> _U(_B)) & _U((1 << _B * (LOW + 1)) - 1)) * _U(0x9E3779B97F4A7C15) >> _U(33)
+        part = (part % _U(parts_)).astype("int32")
+        at = np.argsort(part, kind="stable")
+        k, n, part = k[at], n[at].astype("int32"), part[at]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[first[1:], len(k)]
+        blobs = [[x[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)] for x in (k, n)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in blobs]], names=["part", "k", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size, known = [], 0, 0
+        for b in batches:
+            for k, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
+                got.append((np.frombuffer(k, _U), np.frombuffer(n, "int32").astype("int64")))
+                size += len(got[-1][0])
+                if size - known >= max(CHUNK, known):
+                    got = [_summed(got)]
+                    size = known = len(got[0][0])
+        if got:
+            k, n = _summed(got)
+            for lo in range(0, len(k), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 50_000].view("int64")), pa.array(n[lo : lo + 50_000])], names=["k", "n"])
+
+    dealt = texts.select("text").mapInArrow(count, "part int, k binary, n binary").repartitionById(parts_, F.col("part"))
+    return durable(dealt.mapInArrow(merge, "k long, n long"), "ppm-entries", slim=True)
+
+
+def _summed(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and the sums of their counts."""
+    k, n = (np.concatenate(x) for x in zip(*got, strict=True))
+    at = np.argsort(k)
+    k, n = k[at], n[at]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[first], np.add.reduceat(n, first)
 
-    def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, n = np.unique(np.concatenate(parts), return_counts=True)
-        for lo in range(0, len(k), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 50_000].view("int64")), pa.array(n[lo : lo + 50_000])], names=["k", "n"])
 
-    return durable(texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-entries")
+def _least(rows: DataFrame, column: str, most: int) -> tuple[int, int]:
+    """How many rows there are, and the least count that about ``most`` rows
+    reach at most, by quarters of a power of two."""
+    sizes = sorted(((r["b"], r["c"]) for r in rows.groupBy(F.floor(F.log2(column) * 4).alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    so_far, least = 0, 1 << 62
+    for b, c in sizes:
+        so_far += c
+        if so_far > most:
+            break
+        least = math.ceil(2 ** (b / 4) - 1e-9)
+    return sum(c for _, c in sizes), least
 
 
 def _low(entries: DataFrame, order: int) -> str:
@@ -370,19 +419,13 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
     ends = training.count()
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0) + ends, int(total["v"]) + (ends > 0)
-    entries = key_counts(training, order)
+    entries = key_counts(training, order, n)
     low = _low(entries, order)
-    sizes = sorted(((r["b"], r["c"]) for r in entries.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    distinct, so_far, least = sum(c for _, c in sizes), 0, 1 << 62
-    for b, c in sizes:  # the commonest keys, by quarters of a power of two, as far as ``held`` goes
-        so_far += c
-        if so_far > held:
-            break
-        least = math.ceil(2 ** (b / 4) - 1e-9)
+    distinct, least = _least(entries, "n", held)  # the commonest keys, as far as ``held`` goes
     uri = fresh_path(spark, "ppm-held")
     _priced(entries, distinct, low, order, least).write.parquet(uri)
     common = fresh_path(spark, "ppm-common")
-    words.orderBy(F.desc("c"), "word").limit(frequent).write.parquet(common)
+    words.where(F.col("c") >= _least(words, "c", frequent)[1]).write.parquet(common)
     end_base, one = math.log10((ends + 1) / (n + v + 1)), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,18 +438,15 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
             for lo in range(0, len(b), 1024):
                 part = b.slice(lo, 1024)
                 texts = [tokens(t) for t in part.column("text").to_pylist()]
-                size, base, known, others, times = [], [], [], [], []
-                for text in texts:
-                    c = Counter(text)
-                    tf = np.fromiter(c.values(), "float64", len(c))
-                    at = np.fromiter(map(places.get, c, repeat(-1)), "int64", len(c))
-                    held = at >= 0
-                    at, own = at[held], tf[held]
-                    size.append(int(tf.sum()) + 1)
-                    base.append(float(bases[at] @ own) + end_base)
-                    known.append(int(own.sum()) + one)
-                    others.append(list(compress(c, ~held)))
-                    times.append(tf[~held])
+                size = np.fromiter(map(len, texts), "int64", len(texts))
+                flat, own = list(chain.from_iterable(texts)), np.repeat(np.arange(len(texts)), size)
+                at = np.fromiter(map(places.get, flat, repeat(-1)), "int64", len(flat))
+                here = at >= 0
+                base = np.bincount(own[here], weights=bases[at[here]], minlength=len(texts)) + end_base
+                known = np.bincount(own[here], minlength=len(texts)) + one
+                far_words = list(compress(flat, ~here))
+                stops = np.r_[0, np.cumsum(size + one - known)].tolist()
+                others = [Counter(far_words[lo:hi]) for lo, hi in zip(stops[:-1], stops[1:], strict=True)]
                 k, starts = stream_keys(texts, order)
                 u, inv = np.unique(k, return_inverse=True)
                 at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
@@ -416,9 +456,9 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
                 asks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(far, starts, dtype="int64"))], pa.int32()), pa.array(k[far].view("int64")))
                 rare = pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0] + [len(x) for x in others]), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array(np.concatenate(times).astype("int64"))], fields=list(rare_type.value_type)),
+                    pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array([n for x in others for n in x.values()], pa.int64())], fields=list(rare_type.value_type)),
                 )
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare, asks], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare", "asks"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare, asks], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare", "asks"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     done = durable(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, base double, known long, score double, rare array<struct<word: binary, tf: long>>, asks array<long>"), "ppm-scores")
