@@ -23,7 +23,9 @@ def file_to_chunk(chunk_files: DataFrame, prefix: str = "docs_chunk_") -> DataFr
 
 def resolve(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Links of packed files with source_chunk and target_chunk (null: the
-    target is in no chunk)."""
+    target is in no chunk).  A page that most links name is one key of the
+    second join; its rows are all on the left of it, where adaptive execution
+    parts them."""
     src = chunks.select(F.col("path").alias("source_path"), F.col("chunk_id").alias("source_chunk"))
     dst = chunks.select(F.col("path").alias("target_path"), F.col("chunk_id").alias("target_chunk"))
     return found.join(src, "source_path").join(dst, "target_path", "left")
@@ -33,6 +35,12 @@ def unresolved(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("target_chunk").isNull()).select("source_path", "ord", "target_path", "anchor", "link_text")
 
 
+def totals(edges: DataFrame) -> DataFrame:
+    """One row: links, how many are resolved, and pairs of chunks that they join."""
+    pair = F.when(F.col("target_chunk").isNotNull(), F.struct("source_chunk", "target_chunk"))
+    return edges.agg(F.count("*").alias("links"), F.count("target_chunk").alias("resolved"), F.count_if(F.col("target_chunk").isNull()).alias("unresolved"), F.count_distinct(pair).alias("chunk_pairs"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(chunk_id, references_to, referenced_by, links): chunks in the order in
     which links first name them, and each chunk's resolved links in order."""

@@ -58,3 +58,14 @@ def pack_summary(chunks: DataFrame, excluded: int, max_chunks: int, most: int) -
     r = chunks.agg(F.count("*").alias("chunks"), F.sum("n_files").alias("files"), F.sum("total_words").alias("words"), F.min("total_words").alias("least"), F.max("total_words").alias("most"), F.count_if(F.col("total_words") > most).alias("over")).first()
     warnings = [f"{r['over']} chunk(s) exceed the word limit"] * bool(r["over"]) + [f"{r['chunks']} chunks exceed the limit of {max_chunks}"] * (r["chunks"] > max_chunks)
     return {"files": r["files"] or 0, "excluded": excluded, "chunks": r["chunks"], "words": r["words"] or 0, "average": (r["words"] or 0) / r["chunks"] if r["chunks"] else 0, "least": r["least"], "most": r["most"], "warnings": warnings}
+
+
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """One row: files of the manifest and their bytes."""
+    return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+def download_summary(manifest: DataFrame, downloaded: int, skipped: int) -> dict:
+    """What a fetch brought: files by what became of them, and the tree's size."""
+    t = manifest_totals(manifest).first()
+    return {"files": t["files"], "downloaded": downloaded, "skipped": skipped, "megabytes": round(t["bytes"] / (1 << 20), 1)}

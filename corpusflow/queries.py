@@ -17,7 +17,7 @@ from .functions.html import parse_pages
 from .operators import dedup, delta, filters, folds, links, report, score, split, tokens
 from .options import PackOptions
 from .plans.pack import document_table, pack
-from .sources import discovery, spa
+from .sources import crawl, discovery, spa
 from .sources.adapters import documents_as_files, pages_as_files
 from .tables import durable
 
@@ -522,9 +522,68 @@ def cross_ref_adjacency(spark, d):
     return a.select("chunk_id", F.array_join("references_to", ",").alias("references_to"), F.array_join("referenced_by", ",").alias("referenced_by"), F.size("links").alias("n_links"))
 
 
+@query(f"{EDGES} SELECT count(*)::BIGINT AS links, count(target_chunk)::BIGINT AS resolved, count_if(target_chunk IS NULL)::BIGINT AS unresolved, count(DISTINCT CASE WHEN target_chunk IS NOT NULL THEN source_chunk||' '||target_chunk END)::BIGINT AS chunk_pairs FROM edges")
+def cross_ref_totals(spark, d):
+    return links.totals(_edges(spark, d))
+
+
+def _linked(spark, d) -> DataFrame:
+    """The pages as a tree in which each tenth is a directory's index, and each
+    names the page of thrice its number plus one by a relative path, or one
+    that is not there."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    host, first = T.url_part(F.col("url"), 2), F.try_element_at(T.segments(T.url_part(F.col("url"), 3)), F.lit(1))
+    base = F.concat_ws("/", host, first, F.format_string("p%08d", "page_id"))
+    is_index = F.col("page_id") % 10 == 0
+    own = p.select("page_id", base.alias("base"), F.when(is_index, F.concat(base, F.lit("/index.html"))).otherwise(F.concat(base, F.lit(".html"))).alias("rel_path"), F.when(is_index, "../../../").otherwise("../../").alias("up"), "html")
+    to = own.select(F.col("page_id").alias("to"), F.when(is_index, F.concat("base", F.lit("/"))).otherwise(F.col("rel_path")).alias("target"))
+    j = own.withColumn("to", F.col("page_id") * 3 + 1).join(to, "to", "left")
+    link = F.concat(F.lit('<p><a href="'), "up", F.coalesce("target", F.lit("./no/../where.html")), F.lit('#part">see '), F.col("to").cast("string"), F.lit(" from "), F.col("page_id").cast("string"), F.lit(" here</a></p></article>"))
+    return j.select("rel_path", F.octet_length("html").cast("long").alias("size_bytes"), F.col("page_id").cast("double").alias("mtime"), F.replace("html", F.lit("</article>"), link).alias("content"))
+
+
+_DIR = "regexp_extract(pages.url, '^https?://([^/?#]*)', 1)||'/'||regexp_extract(pages.url, '^https?://[^/?#]*/+([^/?#]+)', 1)||printf('/p%08d', pages.page_id)"
+LINKED = f"""{PAGE_FOLD.replace("html FROM pages)", "replace(html, '</article>', '<p><a>see '||(3 * page_id + 1)||' from '||page_id||' here</a></p></article>') AS html FROM pages)").replace("printf('/p%08d.html', page_id) AS rel_path", "printf(CASE WHEN page_id % 10 = 0 THEN '/p%08d/index.html' ELSE '/p%08d.html' END, page_id) AS rel_path")},
+named AS (SELECT parsed.page_id, rel_path, {_DIR} AS dir, printf('docs_chunk_%02d', chunk_index) AS chunk_id, chunk_index, word_count, text FROM packed JOIN parsed USING (rel_path) JOIN pages ON pages.page_id = parsed.page_id),
+jumps AS (SELECT a.page_id, a.rel_path AS source_path, CASE WHEN b.page_id IS NULL THEN 'where.html' WHEN b.page_id % 10 = 0 THEN b.dir ELSE b.rel_path END AS target_path, 'see '||(3 * a.page_id + 1)||' from '||a.page_id||' here' AS link_text, a.chunk_id AS source_chunk, b.chunk_id AS target_chunk FROM named a LEFT JOIN named b ON b.page_id = 3 * a.page_id + 1)"""
+
+
+@query(f"{LINKED} SELECT source_path, target_path, '#part' AS anchor, link_text, source_chunk, target_chunk FROM jumps")
+def linked_pages(spark, d):
+    """Links of pages that lead to pages, through relative paths and indexes."""
+    p = durable(parse_pages(_linked(spark, d).select("rel_path", "content")).select("rel_path", "extracted_words", "links"), "parsed")
+    packed = folds.pack_by_size(p.select("rel_path", F.col("extracted_words").alias("word_count")), PAGE_WORDS)
+    found = links.links(p).where(F.startswith("link_text", F.lit("see ")))
+    return links.resolve(found, links.file_to_chunk(packed)).select("source_path", "target_path", "anchor", "link_text", "source_chunk", "target_chunk")
+
+
+@query(f"""{LINKED}, placed AS (SELECT n.chunk_index, row_number() OVER (PARTITION BY n.chunk_index ORDER BY encode(n.rel_path)) AS ord, n.rel_path, n.word_count, CASE WHEN target_chunk IS NULL THEN n.text ELSE replace(n.text, link_text, link_text||' [-> '||target_chunk||']') END AS text FROM named n JOIN jumps j ON j.page_id = n.page_id),
+sums AS (SELECT chunk_index, count(*) AS n, sum(word_count)::BIGINT AS w, (SELECT max(chunk_index) FROM placed) AS total, string_agg('- '||rel_path||' ('||word_count||' words)'||chr(10), '' ORDER BY ord) AS listed FROM placed GROUP BY 1) {_body("md", "'<!-- SOURCE: '||rel_path||' -->'||chr(10)||chr(10)||text")}""")
+def annotated_chunks(spark, d):
+    """Chunks whose texts name the chunk that a link leads to."""
+    return pack(_linked(spark, d), PackOptions(max_words_per_chunk=PAGE_WORDS, cross_refs=True)).bodies
+
+
 # -- discovery ---------------------------------------------------------------
 
 
+@query(f"WITH {URLS} SELECT url, host||'/'||ltrim(CASE WHEN path = '' OR path LIKE '%/' THEN path||'index.html' WHEN regexp_matches(path, '[.](html|md|txt)$') THEN path ELSE path||'.html' END, '/') AS path FROM p")
+def url_local_paths(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("url", crawl.local_path(F.col("url")).alias("path"))
+
+
+@query("WITH f AS (SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages), u AS (SELECT DISTINCT regexp_replace(root||replace(href, '&amp;', '&'), '#.*$', '') AS url FROM f WHERE href LIKE '/%') SELECT url, 1 AS depth FROM u WHERE url NOT IN (SELECT url FROM pages)")
+def crawl_frontier(spark, d):
+    """One step of a crawl that has fetched all pages."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("url", F.lit(0).alias("depth"), "html")
+    return crawl.next_frontier(p, p, 3)
+
+
+@query(f"SELECT count(*)::BIGINT AS files, sum(octet_length(encode(text)) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS bytes FROM documents WHERE doc_id % 13 <> 0")
+def manifest_totals(spark, d):
+    return report.manifest_totals(delta.merge(*_manifests(spark, d)))
+
+
 #: Pages that a generated list or map names at most, on average.
 LISTED = 500
 

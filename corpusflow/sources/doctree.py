@@ -9,8 +9,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
 SCHEMA = "rel_path string, size_bytes long, mtime double, content string"
 
@@ -54,8 +57,29 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
+def read_store(spark: SparkSession, root: str):
+    """The same table of a tree in any store that Spark reads: listed and read
+    by Spark, so large trees and remote ones are no matter; like all of its
+    readers it passes over names that begin with a dot or an underscore."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9+.-]+://[^/]*|^file:", "")
+    path = F.expr("substring_index(path, '://', -1)")  # file:/a and store://host/a
+    path = F.regexp_replace(F.when(F.contains("path", F.lit("://")), F.regexp_replace(path, "^[^/]*", "")).otherwise(F.col("path")), "^file:", "")
+    rel = F.expr("substring(p, length(b) + 2)")
+    rows = found.select(path.alias("p"), base.alias("b"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime"), "content")
+    return rows.select(rel.alias("rel_path"), "size_bytes", "mtime", decoded("content").alias("content"))
+
+
+@F.pandas_udf(StringType())
+def decoded(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else decode(b))
+
+
 def read_tree(spark: SparkSession, root: str):
-    """The tree's files; none at all is an error."""
+    """The tree's files; none at all is an error.  Trees that are not local are
+    read as ``read_store`` does."""
+    if "://" in root and not root.startswith("file://"):
+        return read_store(spark, root)
     spark.dataSource.register(TreeSource)
     files = spark.read.format("doctree").load(root)
     if not any(names for _, _, names in os.walk(root.removeprefix("file://"))):
