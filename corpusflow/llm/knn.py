@@ -100,7 +100,7 @@ def _top_k(spark, data: DataFrame, asked: DataFrame, k: int, rows_per_group: int
     of_data, of_query = summed(data), summed(asked)
     blocks = {g: -(-m // BLOCK) for g, (m, _, _) in of_query.items()}
     # own group first: each query against the data of its group, block by block
-    first = _solve(asked, data, near, blocks, {g: {g: None} for g in of_query}, p, k, spark)
+    first = _solve(asked, data, near, blocks, {g: {g: None} for g in of_query}, {g: of_data.get(g, (0,))[0] for g in of_query}, p, k, spark)
     first = durable(_ranked(first, k), "knn-first")
     kth = asked.select("id").distinct().join(first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score"), "id", "left")
 
@@ -121,7 +121,7 @@ def _top_k(spark, data: DataFrame, asked: DataFrame, k: int, rows_per_group: int
                 wanted[j] = bound
         need[g] = wanted
     radii = {g: v[1] for g, v in of_query.items()}
-    second = _solve(asked, data, near, blocks, need, p, k, spark, radii)
+    second = _solve(asked, data, near, blocks, need, _passing(data, near, need, p, radii), p, k, spark, radii)
     return _ranked(first.select("query_id", "vec_id", "score").unionByName(second), k)
 
 
@@ -131,14 +131,46 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _solve(asked: DataFrame, data: DataFrame, near, blocks: dict, need: dict, p: np.ndarray, k: int, spark, radii: dict | None = None) -> DataFrame:
-    """Queries of group g, in blocks, against the data vectors that ``need``
-    lets through to g, in chunks of the data's own hash."""
-    chunks = max(1, -(-data.count() // BLOCK))
+def _takes(need: dict) -> dict[int, list[tuple[int, float | None]]]:
+    """For each group of data the query groups that look at it, with their bounds."""
     takes: dict[int, list[tuple[int, float | None]]] = {}
     for g, wanted in need.items():
         for j, bound in wanted.items():
             takes.setdefault(j, []).append((g, bound))
+    return takes
+
+
+def _let_through(x: np.ndarray, at: np.ndarray, to: int, bound: float | None, p: np.ndarray, radii: dict | None) -> np.ndarray:
+    """Those of the rows ``at`` that may reach the bound of a query group."""
+    if bound is None or not np.isfinite(bound):
+        return at
+    norm = np.sqrt((x[at] ** 2).sum(axis=1))
+    return at[(x[at] @ p[to] + radii[to] * norm) * (1 + 1e-12) + 1e-6 >= bound]
+
+
+def _passing(data: DataFrame, near, need: dict, p: np.ndarray, radii: dict) -> dict[int, int]:
+    """How many data vectors each query group looks at."""
+    takes = _takes(need)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("x"))
+            home, n = near(x)[0] if len(b) else np.empty(0, int), {}
+            for j in np.unique(home).tolist():
+                at = np.flatnonzero(home == j)
+                for to, bound in takes.get(j, ()):
+                    n[to] = n.get(to, 0) + len(_let_through(x, at, to, bound, p, radii))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
+
+    return {r["g"]: r["n"] for r in data.select("x").mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}  # one row per pivot
+
+
+def _solve(asked: DataFrame, data: DataFrame, near, blocks: dict, need: dict, passing: dict, p: np.ndarray, k: int, spark, radii: dict | None = None) -> DataFrame:
+    """Queries of group g, in blocks, against the data vectors that ``need``
+    lets through to g, in chunks of the data's own hash: as many as the group's
+    vectors (``passing``) make, so queries are copied no further."""
+    chunks = {g: -(-passing.get(g, 0) // BLOCK) for g in need}
+    takes = _takes(need)
 
     def deal(is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +184,11 @@ def _solve(asked: DataFrame, data: DataFrame, near, blocks: dict, need: dict, p:
                     for g in np.unique(home).tolist():
                         at = np.flatnonzero(home == g)
                         if is_query:
-                            if need.get(g):
-                                out += [(i, g, int(h[i] % blocks[g]), c) for i in at.tolist() for c in range(chunks)]
+                            out += [(i, g, int(h[i] % blocks[g]), c) for i in at.tolist() for c in range(chunks.get(g, 0))]
                             continue
                         for to, bound in takes.get(g, ()):
-                            keep = at
-                            if bound is not None and np.isfinite(bound):
-                                norm = np.sqrt((x[at] ** 2).sum(axis=1))
-                                keep = at[(x[at] @ p[to] + radii[to] * norm) * (1 + 1e-12) + 1e-6 >= bound]
-                            out += [(i, to, q, int(h[i] % chunks)) for i in keep.tolist() for q in range(blocks[to])]
+                            keep = _let_through(x, at, to, bound, p, radii)
+                            out += [(i, to, q, int(h[i] % chunks[to])) for i in keep.tolist() for q in range(blocks[to])]
                     if out:
                         row, g_, q_, c_ = zip(*out, strict=True)
                         take = pa.array(row, pa.int64())
