@@ -51,7 +51,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, nor do vectors of different lengths with each other.
-    Rows that share a vec_id are vectors of their own and one node.  Rows
+    Rows that share a vec_id are vectors of their own, each with its own number
+    of links, and one node.  Rows
     without id have a null component.  Other columns are ignored; an empty
     table stays empty.  The number of pivots follows the rows and is at most
     ``most_pivots``; larger cells are more block pairs, not larger tasks.
@@ -63,7 +64,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
     good = usable("x") & F.exists("x", lambda v: v != 0) & F.col("id").isNotNull()
     # equal vectors: one row each
     rows = all_.where(F.coalesce(good, F.lit(False)))
-    same = durable(rows.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("times")), "vector-classes")
+    same = rows.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    same = durable(same.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     n = same.count()
     radius = math.acos(min(1.0, cosine))
     kind = dict(same.dtypes)["x"]
@@ -112,7 +114,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
                 for lo in range(0, len(b), 512):
                     part_ = b.slice(lo, 512)
                     home, near = cells(matrix(part_.column("x")))
-                    h = (part_.column("rep").to_numpy().astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype("int64")
+                    h = (part_.column("cls").to_numpy().astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype("int64")
                     out: list[tuple[int, int, int, int, int]] = []  # row, cell, left block, right block (visitors: below 0), own home block
                     for i, c in enumerate(home.tolist()):
                         mine = int(h[i] % n_home[c])
@@ -123,10 +125,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
                         out += [(i, c, o, -1 - v, -1) for o in range(int(n_home[c]))]
                     row, cell, left, right, own = zip(*out, strict=True)
                     take = pa.array(row, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in (cell, left, right, own)], *[part_.column(n).take(take) for n in ("rep", "times", "x")]], names=["cell", "left", "right", "home", "rep", "times", "x"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in (cell, left, right, own)], *[part_.column(n).take(take) for n in ("cls", "times", "x")]], names=["cell", "left", "right", "home", "cls", "times", "x"])
 
         def join(table: pa.Table) -> pa.Table:
-            rep, times, home = (table.column(c).to_numpy() for c in ("rep", "times", "home"))
+            rep, times, home = (table.column(c).to_numpy() for c in ("cls", "times", "home"))
             x = _unit(matrix(table.column("x")))
             left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
             one, other = np.flatnonzero(home == left), np.flatnonzero(home == right if right >= 0 else home < 0)
@@ -155,16 +157,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
             r, c = r[c > 0], c[c > 0]
             return pa.table({"a": pa.array(np.concatenate([r, e]), pa.int64()), "b": pa.array([None] * len(r) + f.tolist(), pa.int64()), "n": pa.array(c.tolist() + [None] * len(e), pa.int64())})
 
-        dealt = part.mapInArrow(deal, "cell int, left int, right int, home int, rep long, times long, x " + kind)
+        dealt = part.mapInArrow(deal, "cell int, left int, right int, home int, cls long, times long, x " + kind)
         done = durable(dealt.repartition(shuffle_partitions(spark), "cell", "left", "right").groupBy("cell", "left", "right").applyInArrow(join, "a long, b long, n long"), "vector-links")
         e, c = done.where(F.col("b").isNotNull()).select("a", "b"), done.where(F.col("n").isNotNull()).select("a", "n")
         links, counts = (e, c) if links is None else (links.unionByName(e), counts.unionByName(c))
     if links is None:
         out = all_.withColumn("n_links", F.lit(0).cast("long")).withColumn("root", F.col("id"))
     else:
-        found = components(links).withColumnRenamed("node", "rep")
-        total = counts.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        named = same.join(total, "rep", "left").join(found, "rep", "left")
+        # nodes are ids: those of the classes, and of rows with several vectors
+        one, other = same.select(F.col("cls").alias("a"), F.col("rep").alias("x")), same.select(F.col("cls").alias("b"), F.col("rep").alias("y"))
+        edges = links.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        torn = rows.groupBy("id").agg(F.min(F.xxhash64("x")).alias("lo"), F.max(F.xxhash64("x")).alias("hi")).where(F.col("lo") != F.col("hi")).select("id")
+        edges = edges.unionByName(rows.join(torn, "id").join(same, "x").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+        found = components(edges).withColumnRenamed("node", "rep")
+        total = counts.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
+        named = same.join(total, "cls", "left").join(found, "rep", "left")
         named = named.select("x", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
         tagged = all_.withColumn("x", F.when(F.coalesce(good, F.lit(False)), F.col("x")))
         out = tagged.join(named, "x", "left").select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "id").alias("root"))
