@@ -37,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing else has."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,12 +56,32 @@ def small_batches(spark: SparkSession) -> str:
     return old
 
 
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many durable tables this process has made: a mark for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the durable tables that were made after the mark, but for those
+    that ``keep`` reads: for when all that read them has been written."""
+    kept = {x.rsplit("/", 2)[-2] for x in keep.inputFiles()}
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[since:] = [x for x in _MADE[since:] if x.rsplit("/", 1)[-1] in kept]
+
+
 def durable(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
     Cuts the lineage; survives lost executors.  ``slim`` rows
     (no texts) pass Python in batches of the usual size."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _MADE.append(path)
     old = spark.conf.get(_BATCH) if slim else small_batches(spark)
     try:
         df.write.parquet(path)
@@ -145,8 +166,12 @@ def grouped(batches: Iterable, rows: int, column: str = "text", chars: int = 1 <
             yield texts[lo:], b.slice(lo)
 
 
+#: Characters of a key that is worth remembering.
+LONG_KEY = 256
+
+
 class Bounded(dict):
-    """A memo that computes what it lacks.  It holds two generations of at most
+    """A memo that computes what it lacks, and keeps it but for long keys.  It holds two generations of at most
     ``limit`` entries: what is used again moves from the old one to the new."""
 
     def __init__(self, make, limit: int = 250_000):
@@ -157,6 +182,8 @@ class Bounded(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONG_KEY:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

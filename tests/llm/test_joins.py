@@ -157,3 +157,19 @@ def test_top_k(spark, monkeypatch):
     few = df.where("vec_id < 3")
     assert top_k(few, few, 5).groupBy("query_id").agg(F.count("*").alias("n")).where("n = 2").count() == 3
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_vectors_of_one_id_and_of_other_lengths(spark):
+    rows = [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (5, [0.0, 2.0]), (7, [1.0, 0.01]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.001]), (11, [-1.0, -1.0])]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
+    # both rows of 3 are one node: 5 and 7 meet there
+    assert [(i, c) for i, _, c, _ in got] == [(3, 3), (3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (11, 11)]
+    assert sorted(n for i, n, *_ in got if i == 3) == [1, 1] and [kept for i, _, _, kept in got] == [True, True, False, False, True, False, True]
+
+
+def test_top_k_of_repeated_ids_and_other_lengths(spark):
+    rows = [(1, [2.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (4, [5.0, 5.0]), (4, [1.0, 0.0]), (6, [1.0, 1.0, 1.0]), (7, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, x array<double>")
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id in (2, 6)"), 2).collect())
+    # candidates are rows: (2, rank, vec, score)
+    assert got == [(2, 1, 4, 10), (2, 2, 1, 3), (6, 1, 7, 2)]

@@ -110,3 +110,53 @@ def test_written_shards_hold_null_and_repeated_keys(spark, tmp_path):
     got = {r.shard_id: (r.b or 0, r.n) for r in written.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()}
     assert got == sizes and all(b <= 1000 or n == 1 for b, n in got.values())
     assert Counter((r.doc_id, r.text) for r in written.collect()) == Counter(rows)
+
+
+def plain_mix(rows, weights, most, per_shard, per_target, seed):
+    """The mix word by word.  rows: (id, source, size, shard of a hash, place)."""
+    sources = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    words = {x: sum(r[2] for r in rows if r[1] == x) for x in sources}
+    goal = dict(zip(sources, targets([words[x] for x in sources], [weights[i % len(weights)] for i in range(len(sources))], sum(words.values()), most)))
+    block = max(1, int(min(g for g in goal.values() if g > 0) // per_target))
+    quota = dict(zip(sources, brute([goal[x] for x in sources], round(sum(goal.values()) / block), [int(most * words[x]) // block for x in sources])))
+    out = {}
+    for x in sources:
+        mine = [r for r in rows if r[1] == x]
+        shards = max(1, -(-len(mine) // per_shard))
+        dealt = defaultdict(list)
+        for r in mine:
+            dealt[r[3] % shards].append(r)
+        names = sorted(dealt)
+        room = [int(most * sum(r[2] for r in dealt[n])) for n in names]
+        seats = brute([sum(r[2] for r in dealt[n]) for n in names], min(quota[x], sum(m // block for m in room)), [m // block for m in room])
+        take = [block * n for n in seats]
+        left = quota[x] * block - sum(take)
+        for i in range(len(names)):
+            more = min(max(0, left), room[i] - take[i])
+            take[i], left = take[i] + more, left - more
+        for n, t in zip(names, take):
+            order = sorted(dealt[n], key=lambda r: r[4])
+            line = [r[0] for r in order for _ in range(r[2])]
+            times = Counter()
+            if line:
+                start = (seed(x, n) % max(1, len(line) // block)) * block
+                times.update(line[(start + i) % len(line)] for i in range(t % len(line)))
+                times.update({i: c * (t // len(line)) for i, c in Counter(line).items()})
+            for r in order:
+                out[r[0]] = times[r[0]]
+    return out
+
+
+def test_words_taken_are_the_mix_word_by_word(spark):
+    r = random.Random(8)
+    rows = [(i, "w " * r.choice([0, 1, 3, 9, 30, r.randint(0, 60)]), r.choice(["a", "b", "c", None, "d"])) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x.taken for x in mix(docs, rows_per_shard=9, blocks_per_target=40).collect()}
+    hashed = {x.doc_id: (x.s, (x.o, x.doc_id)) for x in docs.select("doc_id", F.xxhash64(F.lit(30), "doc_id").alias("s"), F.xxhash64(F.lit(29), "doc_id").alias("o")).collect()}
+
+    def seed(source, shard):
+        at = spark.createDataFrame([(source, shard)], "source string, shard long")
+        return at.select(F.xxhash64(F.lit(31), "source", "shard")).first()[0]
+
+    plain = plain_mix([(i, s, len(t.split()), *hashed[i]) for i, t, s in rows], (5, 2, 1), 3.0, 9, 40, seed)
+    assert got == plain
