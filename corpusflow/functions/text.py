@@ -65,7 +65,8 @@ def shingles(text: Column) -> Column:
 
 def simhash64(text: Column) -> Column:
     """SimHash of the text's three-word shingles: a bit is set where more
-    hashes have it than not.  For large tables see operators.dedup.simhash."""
+    hashes have it than not.  An expression, for a few rows; tables go through
+    operators.dedup.simhash."""
 
     def vote(h: Column) -> Column:
         def bit(i: Column) -> Column:

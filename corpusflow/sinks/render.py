@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.split import breadcrumbs, split_files
 
+# Fixed values, here and below: names of JSON keys, of files and their headers, as readers of the chunks expect them.
 SCHEMA_VERSION = "v1"
 RULE = "=" * 60
 
