@@ -222,10 +222,23 @@ def word_counts(texts: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(words: DataFrame, ends: int, order: int = 6, max_entries: int | None = None) -> Trie:
+def adaptive(docs: DataFrame, order: int = 6) -> DataFrame:
+    """(doc_id, score) of every row of ``docs`` (doc_id, text): the log10
+    probability of the text by a model that starts empty and learns as it
+    codes, so what repeats itself is short.  A null text is its end alone; rows
+    that share an id are scored apart; an empty table stays empty.  A symbol at
+    a time in Python: for selections, not for whole corpora."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([Adaptive(order).log10(t) for t in b.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def train(words: DataFrame, ends: int, order: int = 6) -> Trie:
     """The trie of (word, c) and so many ends of texts, in this process, each
-    word on its own; with ``max_entries`` a coarser one.  ``score`` does not use
-    it."""
+    word on its own: a small model for the caller.  ``score`` does not use it."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,9 +249,6 @@ def train(words: DataFrame, ends: int, order: int = 6, max_entries: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array(k.view("int64")), pa.array(n.astype("int64"))], names=["k", "n"])
 
     top = durable(words.mapInArrow(grams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-entries", slim=True)
-    while order and max_entries is not None and top.count() > max_entries:
-        order -= 1
-        top = durable(top.groupBy(F.col("k").bitwiseAND(F.lit((1 << _B * (order + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")), "ppm-entries", slim=True)
     got = top.toArrow()
     keys, counts = got.column("k").to_numpy().astype("int64").view(_U), got.column("n").to_numpy().astype("float64")
     if ends:
