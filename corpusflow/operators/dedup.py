@@ -98,14 +98,20 @@ def near_pairs(hashes: DataFrame, k: int = 3, hash_col: str = "simhash") -> Data
     return pairs.select("a", "b", T.hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
 
 
+#: Edges of the greedy rule that one task decides.
+FEW_EDGES = 500_000
+
+
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: (id, place), edges: (a, b) with a placed before b.  Returns the
     ids that go: a node goes when an earlier neighbour stays, and stays when
-    all earlier neighbours go.  Decided in rounds, all nodes at once."""
+    all earlier neighbours go.  Decided in rounds, all nodes at once, as long as
+    there are many edges; a bounded rest is decided in one task, so that a long
+    chain is not as many rounds."""
     open_ = edges.select("a", "b").distinct()
     gone = None
     open_ = durable(open_, "greedy")
-    while not open_.isEmpty():
+    while (left := open_.count()) > FEW_EDGES:
         # nothing earlier is open: it stays, and its later neighbours go
         stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         goes = durable(open_.join(stays, "a").select(F.col("b").alias("id")).distinct(), "greedy-gone")
@@ -113,9 +119,38 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = open_.join(stays, "a", "left_anti")
         rest = rest.join(goes.select(F.col("id").alias("b")), "b", "left_anti").join(goes.select(F.col("id").alias("a")), "a", "left_anti")
         open_ = durable(rest.select("a", "b"), "greedy")
+    if left:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+            ids = decided(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else np.empty(0, "int64")
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])
+
+        rest = durable(open_.coalesce(1).mapInArrow(run, f"id {dict(open_.dtypes)['a']}"), "greedy-gone")
+        gone = rest if gone is None else gone.unionByName(rest)
     return gone if gone is not None else nodes.select("id").limit(0)
 
 
+def decided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The nodes that go, of edges from earlier to later nodes: nodes are
+    decided once all their earlier neighbours are."""
+    later: dict[int, list[int]] = {}
+    waits: dict[int, int] = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        later.setdefault(x, []).append(y)
+        waits[y] = waits.get(y, 0) + 1
+    ready, gone = [x for x in later if x not in waits], set()
+    while ready:
+        x = ready.pop()
+        for y in later.get(x, ()):
+            if x not in gone:
+                gone.add(y)
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    return np.array(sorted(gone), "int64")
+
+
 def deduplicate(docs: DataFrame, mode: str = "both", k: int = 3, delimiter: str = "\n\n", least_words: int = T.MIN_BLOCK_WORDS) -> DataFrame:
     """Every block of (rel_path, text) with ``removed``: 'exact', 'fuzzy' or
     null.  Blocks under ``least_words`` always stay and stand for none."""

@@ -1,6 +1,7 @@
 """Input that is broken, trees in stores, and the plans around packing."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,16 @@ def test_distances(spark):
         assert {tuple(r) for r in dedup.near_pairs(h, k).collect()} == want
     with pytest.raises(ValueError):
         dedup.near_pairs(h, 64)
+
+
+@pytest.mark.parametrize("few", [0, 5, 10**6])
+def test_the_first_of_each_neighbourhood_stays(spark, monkeypatch, few):
+    monkeypatch.setattr(dedup, "FEW_EDGES", few)
+    r = random.Random(few)
+    edges = [(i, i + 1) for i in range(12)] + [tuple(sorted(r.sample(range(20, 60), 2))) for _ in range(70)]
+    gone = set()
+    for b in range(60):
+        if any(a not in gone for a, x in edges if x == b):
+            gone.add(b)
+    nodes = spark.range(60).select("id", F.col("id").alias("place"))
+    assert {x.id for x in dedup.first_independent(nodes, spark.createDataFrame(edges, "a long, b long")).collect()} == gone
