@@ -4,7 +4,9 @@ data."""
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -65,9 +67,10 @@ def made() -> int:
 
 
 def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete the durable tables that were made after the mark, but for those
-    that ``keep`` reads: for when all that read them has been written."""
-    kept = {x.rsplit("/", 2)[-2] for x in keep.inputFiles()}
+    """Delete the durable tables that were made after the mark, but for the last
+    one and those that ``keep`` reads: for when all that read them has been
+    written."""
+    kept = {x.rsplit("/", 2)[-2] for x in keep.inputFiles()} | {x.rsplit("/", 1)[-1] for x in _MADE[-1:]}
     for path in _MADE[since:]:
         if path.rsplit("/", 1)[-1] not in kept:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -107,6 +110,7 @@ def read_table(uri: str) -> pa.Table:
 
 
 _HELD: dict[str, list] = {}
+_OWNER = ""
 
 
 def holds(owner: str, *clear) -> None:
@@ -115,12 +119,21 @@ def holds(owner: str, *clear) -> None:
 
 
 def turn_to(owner: str) -> None:
-    """This worker does ``owner``'s work now: what other modules keep goes, so
-    that a worker holds one operator's tables at a time."""
+    """This worker does ``owner``'s work now: what other modules keep goes, and
+    what it took goes back to the system, so that a worker that lives through
+    many stages holds one operator's tables at a time."""
+    global _OWNER
+    if owner == _OWNER:
+        return
+    _OWNER = owner
     for other, clears in _HELD.items():
         if other != owner:
             for clear in clears:
                 clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -83,7 +83,7 @@ class Terms:
     """Counts of texts' terms by place in a vocabulary (sorted hashes).  Words
     that were met are remembered, about ``most`` of them."""
 
-    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 150_000):
+    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 80_000):
         self.vocabulary, self.most = vocabulary, most
         self._forget()
 
