@@ -15,8 +15,9 @@ LOG = logging.getLogger("corpusflow")
 
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corpusflow", description="Turn a tree of pages and texts into chunks.")
-    top.add_argument("-v", "--verbose", action="count", default=0, help="say more")
-    top.add_argument("-q", "--quiet", action="store_true", help="say nothing but errors")
+    said = top.add_mutually_exclusive_group()
+    said.add_argument("-v", "--verbose", action="store_true", help="say more")
+    said.add_argument("-q", "--quiet", action="store_true", help="say nothing but errors")
     top.add_argument("--config", help="JSON file with a section per command")
     commands = top.add_subparsers(dest="command", required=True)
     for name, text in (("pack", "pack all files"), ("sync", "pack what changed since the last run")):
@@ -31,6 +32,8 @@ def arguments() -> argparse.ArgumentParser:
         c.add_argument("--dedup-threshold", type=int)
         c.add_argument("--bundle", choices=O.PRESETS)
         c.add_argument("--prefix")
+        c.add_argument("--delimiter")
+        c.add_argument("--token-encoding")
         c.add_argument("--ignore", action="append")
         c.add_argument("--ignore-file")
         c.add_argument("--manifest")
@@ -43,7 +46,7 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(given: list[str] | None = None, spark=None) -> int:
     a = arguments().parse_args(given)
-    logging.basicConfig(level=logging.ERROR if a.quiet else logging.WARNING - 10 * min(a.verbose, 2), format="%(levelname)s %(message)s", stream=sys.stderr)
+    logging.basicConfig(level=logging.ERROR if a.quiet else logging.DEBUG if a.verbose else logging.INFO, format="%(levelname)s %(message)s", stream=sys.stderr)
     try:
         return run(a, spark)
     except (ValueError, OSError) as e:
@@ -80,7 +83,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
         print("\n".join(f"{k}: {v}" for k, v in done.summary.items()))
         if a.manifest:
             with open(a.manifest, "w", encoding="utf-8") as f:
-                f.write(manifest_json(done.manifest, a.base_url, ""))
+                f.write(manifest_json(done.manifest, a.base_url))
     else:
         packed = P.pack(files, o, ignore, manifest)
     if o.dry_run:
@@ -96,6 +99,11 @@ def run(a: argparse.Namespace, spark=None) -> int:
         side["llm-readiness.json"] = render.readiness_json(packed.scores)
     if packed.adjacency is not None:
         side["cross_refs.json"] = render.cross_refs_json(packed.adjacency, packed.edges.where(F.col("target_chunk").isNull()))
+    if packed.diff is not None:
+        side["delta_manifest.json"] = render.delta_json(packed.diff, packed.chunk_files, prefix=packed.options.prefix)
+    if packed.options.show_tokens:
+        for r in packed.tokens.orderBy("chunk_index").toLocalIterator():  # a row per chunk
+            print(f"{r['name']}: {r['words']:,} words, {r['tokens']:,} tokens")
     if packed.options.bundle:
         side["IMPORT_GUIDE.md"] = render.import_guide(packed.totals, packed.chunk_files, packed.docs, packed.options.bundle, packed.options.format)
     for name, body in side.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -167,7 +168,10 @@ def cross_refs_json(adjacency: DataFrame, unresolved: DataFrame) -> str:
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
-def delta_json(diff: DataFrame, chunk_files: DataFrame, timestamp: str, prefix: str = "docs_chunk_") -> str:
+def delta_json(diff: DataFrame, chunk_files: DataFrame, timestamp: str | None = None, prefix: str = "docs_chunk_") -> str:
+    """What changed and which chunks hold it; the time is now, in UTC, unless it
+    is given."""
+    timestamp = timestamp if timestamp is not None else datetime.now(timezone.utc).isoformat()
     keys = {s: [r["key"] for r in diff.where(F.col("status") == s).orderBy("key").toLocalIterator()] for s in ("added", "modified", "removed")}
     made = chunk_files.groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("ord", "rel_path"))).alias("f")).orderBy("chunk_index")
     chunks = [{"chunk": f"{prefix}{r['chunk_index']:02d}", "files": [x["rel_path"] for x in r["f"]]} for r in made.toLocalIterator()]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import json
 from collections.abc import Callable, Iterable
+from datetime import datetime, timezone
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
@@ -147,7 +148,9 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def manifest_json(manifest: DataFrame, base_url: str, last_run: str) -> str:
-    """The manifest as JSON text: a driver-side file, a row per file of a site."""
+def manifest_json(manifest: DataFrame, base_url: str, last_run: str | None = None) -> str:
+    """The manifest as JSON text: a driver-side file, a row per file of a site.
+    ``last_run`` is now, in UTC, unless it is given."""
+    last_run = last_run if last_run is not None else datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
     files = {r["key"]: {k: r[k] for k in ("url", "size_bytes", "etag", "last_modified", "local_path", "mtime")} for r in manifest.orderBy("key").toLocalIterator()}
     return json.dumps({"base_url": base_url, "last_run": last_run, "files": files}, indent=2, ensure_ascii=False)

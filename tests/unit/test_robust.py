@@ -94,7 +94,13 @@ def test_commands(spark, tree, tmp_path, capsys):
     assert command.main(["pack", str(tree), "-o", str(out), "--dry-run"], spark) == 0 and "Dry run" in capsys.readouterr().out
     manifest = tmp_path / "m.json"
     assert command.main(["-v", "sync", str(tree), "-o", str(out), "--manifest", str(manifest), "--base-url", "http://h/"], spark) == 0
-    assert set(json.loads(manifest.read_text())["files"]) == {"a.html", "b/c.txt"}
+    kept = json.loads(manifest.read_text())
+    assert set(kept["files"]) == {"a.html", "b/c.txt"} and kept["last_run"].endswith("Z") and kept["last_run"][10] == "T"
+    delta_ = json.loads((out / "delta_manifest.json").read_text())
+    assert delta_["added"] == ["a.html", "b/c.txt"] and delta_["timestamp"].endswith("+00:00") and len(delta_["chunks_generated"]) == 1
+    capsys.readouterr()
+    assert command.main(["-q", "pack", str(tree), "-o", str(out), "--show-tokens", "--token-encoding", "word_bpe_49k"], spark) == 0
+    assert "tokens" in capsys.readouterr().out
     assert command.main(["sync", str(tree), "-o", str(out), "--manifest", str(manifest)], spark) == 0
     assert command.main(["pack", str(tmp_path / "nothing"), "-o", str(out)], spark) == 1
 
