@@ -48,13 +48,13 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> str:
-    """From now on Arrow batches of at most BATCH_ROWS rows, so that a worker
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
+    """From now on Arrow batches of at most so many rows, so that a worker
     and the executor hold a few megabytes of text at once, not tens; returns
     the setting as it was."""
     old = spark.conf.get(_BATCH)
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if not 0 < int(old) <= rows:
+        spark.conf.set(_BATCH, str(rows))
     return old
 
 
@@ -78,14 +78,15 @@ def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
     _MADE[since:] = [x for x in _MADE[since:] if x.rsplit("/", 1)[-1] in kept]
 
 
-def durable(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+def durable(df: DataFrame, name: str, slim: bool = False, rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
     Cuts the lineage; survives lost executors.  ``slim`` rows
-    (no texts) pass Python in batches of the usual size."""
+    (no texts) pass Python in batches of the usual size, others in batches of at
+    most ``rows``."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     _MADE.append(path)
-    old = spark.conf.get(_BATCH) if slim else small_batches(spark)
+    old = spark.conf.get(_BATCH) if slim else small_batches(spark, rows)
     try:
         df.write.parquet(path)
     finally:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, holds, read_table, shuffle_partitions, sliced, turn_to
+from .common import durable, fresh_path, grouped, holds, read_table, shuffle_partitions, sliced, turn_to
 
 #: Symbols: bytes, the end of a word (and, in contexts, its start), the end of the text.
 CLOSE, END, SYMBOLS = 256, 257, 258
@@ -271,12 +271,12 @@ def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
                 held.append(stream_keys([tokens(t) for t in b.column("text").to_pylist()], order)[0])
                 size += len(held[-1])
             if size >= CHUNK:
-                yield sent(np.concatenate(held))
+                yield from sent(np.concatenate(held))
                 held, size = [], 0
         if held:
-            yield sent(np.concatenate(held))
+            yield from sent(np.concatenate(held))
 
-    def sent(keys: np.ndarray) -> pa.RecordBatch:
+    def sent(keys: np.ndarray) -> list[pa.RecordBatch]:
         k, n = np.unique(keys, return_counts=True)
         part = ((k >> _U(_B)) & _U((1 << _B * (LOW + 1)) - 1)) * _U(0x9E3779B97F4A7C15) >> _U(33)
         part = (part % _U(parts_)).astype("int32")
@@ -285,7 +285,8 @@ def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         ends = np.r_[first[1:], len(k)]
         blobs = [[x[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)] for x in (k, n)]
-        return pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in blobs]], names=["part", "k", "n"])
+        whole = pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in blobs]], names=["part", "k", "n"])
+        return [whole.slice(lo, 8) for lo in range(0, len(whole), 8)]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size, known = [], 0, 0
@@ -302,7 +303,7 @@ def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 50_000].view("int64")), pa.array(n[lo : lo + 50_000])], names=["k", "n"])
 
     dealt = texts.select("text").mapInArrow(count, "part int, k binary, n binary").repartitionById(parts_, F.col("part"))
-    return durable(dealt.mapInArrow(merge, "k long, n long"), "ppm-entries", slim=True)
+    return durable(dealt.mapInArrow(merge, "k long, n long"), "ppm-entries", rows=64)  # arrays are long rows
 
 
 def _summed(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -444,31 +445,29 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int =
         places, bases = _common(common)
         bases = np.log10((bases + 1) / (n + v + 1))
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-        for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.slice(lo, 1024)
-                texts = [tokens(t) for t in part.column("text").to_pylist()]
-                size = np.fromiter(map(len, texts), "int64", len(texts))
-                flat, own = list(chain.from_iterable(texts)), np.repeat(np.arange(len(texts)), size)
-                at = np.fromiter(map(places.get, flat, repeat(-1)), "int64", len(flat))
-                here = at >= 0
-                base = np.bincount(own[here], weights=bases[at[here]], minlength=len(texts)) + end_base
-                known = np.bincount(own[here], minlength=len(texts)) + one
-                far_words = list(compress(flat, ~here))
-                stops = np.r_[0, np.cumsum(size + one - known)].tolist()
-                others = [Counter(far_words[lo:hi]) for lo, hi in zip(stops[:-1], stops[1:], strict=True)]
-                k, starts = stream_keys(texts, order)
-                u, inv = np.unique(k, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-                here = keys[at] == u if len(keys) else np.zeros(len(u), bool)
-                prob = np.add.reduceat(np.where(here, probs[at] if len(keys) else 0.0, 0.0)[inv], starts)
-                far = ~here[inv]
-                asks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(far, starts, dtype="int64"))], pa.int32()), pa.array(k[far].view("int64")))
-                rare = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0] + [len(x) for x in others]), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array([n for x in others for n in x.values()], pa.int64())], fields=list(rare_type.value_type)),
-                )
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare, asks], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare", "asks"])
+        for texts, part in grouped(batches, 256):
+            texts = [tokens(t) for t in texts]
+            size = np.fromiter(map(len, texts), "int64", len(texts))
+            flat, own = list(chain.from_iterable(texts)), np.repeat(np.arange(len(texts)), size)
+            at = np.fromiter(map(places.get, flat, repeat(-1)), "int64", len(flat))
+            here = at >= 0
+            base = np.bincount(own[here], weights=bases[at[here]], minlength=len(texts)) + end_base
+            known = np.bincount(own[here], minlength=len(texts)) + one
+            far_words = list(compress(flat, ~here))
+            stops = np.r_[0, np.cumsum(size + one - known)].tolist()
+            others = [Counter(far_words[lo:hi]) for lo, hi in zip(stops[:-1], stops[1:], strict=True)]
+            k, starts = stream_keys(texts, order)
+            u, inv = np.unique(k, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+            here = keys[at] == u if len(keys) else np.zeros(len(u), bool)
+            prob = np.add.reduceat(np.where(here, probs[at] if len(keys) else 0.0, 0.0)[inv], starts)
+            far = ~here[inv]
+            asks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(far, starts, dtype="int64"))], pa.int32()), pa.array(k[far].view("int64")))
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0] + [len(x) for x in others]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array([w for x in others for w in x], pa.binary()), pa.array([n for x in others for n in x.values()], pa.int64())], fields=list(rare_type.value_type)),
+            )
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(prob), rare, asks], names=["row", "doc_id", "n_tokens", "base", "known", "score", "rare", "asks"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     done = durable(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, base double, known long, score double, rare array<struct<word: binary, tf: long>>, asks array<long>"), "ppm-scores")
