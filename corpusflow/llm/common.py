@@ -91,6 +91,7 @@ def durable(df: DataFrame, name: str, slim: bool = False, rows: int = BATCH_ROWS
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, old)
+        release()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -131,6 +132,11 @@ def turn_to(owner: str) -> None:
         if other != owner:
             for clear in clears:
                 clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc alone has it

@@ -153,7 +153,7 @@ def sample(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
 def train(labelled: DataFrame, sample_rows: int = 2400, seed: int = 3) -> Model | None:
     """Fit on (doc_id, text, lang), rows with null or empty text or null lang
     left out.  None without any row.  ``sample_rows`` bounds the rows that the
-    driver gets (8 KB of features each)."""
+    fitting task gets (8 KB of features each)."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +161,20 @@ def train(labelled: DataFrame, sample_rows: int = 2400, seed: int = 3) -> Model
             x = features(texts).astype("float16")
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sample(rows, sample_rows, seed).mapInArrow(count, "lang string, x binary").toArrow()
-    if not len(got):
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, x) for b in batches for lang, x in zip(b.column("lang").to_pylist(), b.column("x").to_pylist(), strict=True)]
+        if got:
+            got.sort()
+            x = np.frombuffer(b"".join(x for _, x in got), "float16").reshape(len(got), BUCKETS).astype("float32")
+            m = fit(x, [lang for lang, _ in got])
+            yield pa.RecordBatch.from_arrays([pa.array([m.langs]), *[pa.array([v.tobytes()], pa.binary()) for v in (m.weights, m.bias, m.trust)]], names=["langs", "weights", "bias", "trust"])
+
+    # one task fits the bounded sample; the model, a few hundred KB, comes to the driver
+    made = sample(rows, sample_rows, seed).mapInArrow(count, "lang string, x binary").repartition(1).mapInArrow(fitted, "langs array<string>, weights binary, bias binary, trust binary").collect()
+    if not made:
         return None
-    got = got.sort_by([("lang", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "float16").reshape(len(got), BUCKETS).astype("float32")
-    return fit(x, got.column("lang").to_pylist())
+    weights, bias, trust = (np.frombuffer(made[0][c], "float64") for c in ("weights", "bias", "trust"))
+    return Model(list(made[0]["langs"]), codewords(len(made[0]["langs"])), weights.reshape(BUCKETS, -1), bias, trust)
 
 
 def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.7) -> DataFrame:

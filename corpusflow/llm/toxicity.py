@@ -43,8 +43,8 @@ STEMS = (5,)
 _WIDTH = 1 + len(STEMS)
 #: Slices that document frequencies are added up in, and tasks per slice before the last.
 SLICES, SALTS = 16, 16
-#: Texts scored at once.
-GROUP = 128
+#: Texts scored at once, and postings added up at once.
+GROUP, POSTINGS = 128, 1 << 20
 #: A term that no example has counts as so many examples, dealt by the labels' ratio.
 PRIOR = 1.0
 
@@ -204,10 +204,14 @@ class Index:
         of = np.repeat(np.arange(q), np.diff(start))
         row = self.row[ids]
         rare = np.flatnonzero((row < 0) & (w > 0))
-        lo, hi = self.start[ids[rare]], self.start[ids[rare] + 1]
-        at = _reach(lo, hi)
         wide = self.blocks * self.block
-        s = np.bincount(np.repeat(of[rare] * wide, hi - lo) + self.post_e[at], weights=self.post_w[at] * np.repeat(w[rare], hi - lo), minlength=q * wide).astype("float64", copy=False).reshape(q, wide)
+        s = np.zeros((q, wide))
+        lo, hi = self.start[ids[rare]], self.start[ids[rare] + 1]
+        for i in np.array_split(np.arange(len(rare)), 1 + int((hi - lo).sum()) // POSTINGS):
+            at, n = _reach(lo[i], hi[i]), (hi - lo)[i]
+            first, last = (int(of[rare[i[0]]]), int(of[rare[i[-1]]]) + 1) if len(i) else (0, 0)
+            sums = np.bincount(np.repeat((of[rare[i]] - first) * wide, n) + self.post_e[at], weights=self.post_w[at] * np.repeat(w[rare[i]], n), minlength=(last - first) * wide)
+            s[first:last] += sums.reshape(last - first, wide)
         x = np.zeros((q, len(self.top)))
         x[of[row >= 0], row[row >= 0]] = w[row >= 0]
         bound = x @ self.top + s.reshape(q, self.blocks, self.block).max(axis=2)

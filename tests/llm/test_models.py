@@ -90,7 +90,9 @@ def test_one_language_is_always_it(spark):
     assert model.langs[int(model.decode(features(["xyz"]).astype(float))[0][0])] == "en"
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("postings", [1 << 20, 50])
+def test_nearest_is_exact(monkeypatch, postings):
+    monkeypatch.setattr(toxicity, "POSTINGS", postings)
     r = np.random.default_rng(3)
     weight = np.r_[r.random(39) * 5, 0.0]
     pick = lambda n: [np.sort(r.choice(40, r.integers(0, 9), replace=False)) for _ in range(n)]
