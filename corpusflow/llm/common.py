@@ -66,11 +66,11 @@ def made() -> int:
     return len(_MADE)
 
 
-def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Delete the durable tables that were made after the mark, but for the last
-    one and those that ``keep`` reads: for when all that read them has been
-    written."""
-    kept = {x.rsplit("/", 2)[-2] for x in keep.inputFiles()} | {x.rsplit("/", 1)[-1] for x in _MADE[-1:]}
+    one and those that ``keep`` reads: for when all that reads the others has
+    been written."""
+    kept = {x.rsplit("/", 2)[-2] for df in keep for x in df.inputFiles()} | {x.rsplit("/", 1)[-1] for x in _MADE[-1:]}
     for path in _MADE[since:]:
         if path.rsplit("/", 1)[-1] not in kept:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
