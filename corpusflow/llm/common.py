@@ -7,8 +7,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,31 +16,12 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Scope, fresh_path, owned, shared_dir
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session.  Only where that is unset and the master is local (tests, one
-    machine) a local folder is made and set; on a cluster that is an error."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusflow-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder that nothing else has."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Rows of an Arrow batch where rows hold whole texts or sets.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -58,34 +37,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
     return old
 
 
-_MADE: list[str] = []
-
-
-def made() -> int:
-    """How many durable tables this process has made: a mark for ``sweep``."""
-    return len(_MADE)
-
-
-def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete the durable tables that were made after the mark, but for the last
-    one and those that ``keep`` reads: for when all that reads the others has
-    been written."""
-    kept = {x.rsplit("/", 2)[-2] for df in keep for x in df.inputFiles()} | {x.rsplit("/", 1)[-1] for x in _MADE[-1:]}
-    for path in _MADE[since:]:
-        if path.rsplit("/", 1)[-1] not in kept:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _MADE[since:] = [x for x in _MADE[since:] if x.rsplit("/", 1)[-1] in kept]
-
-
 def durable(df: DataFrame, name: str, slim: bool = False, rows: int = BATCH_ROWS) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-    Cuts the lineage; survives lost executors.  ``slim`` rows
+    """Write ``df`` as a Parquet table in the shared folder and read it back; it
+    belongs to the open scope.  Cuts the lineage; survives lost executors.  ``slim`` rows
     (no texts) pass Python in batches of the usual size, others in batches of at
     most ``rows``."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    _MADE.append(path)
+    path = fresh_path(spark, name, named=False)
     old = spark.conf.get(_BATCH) if slim else small_batches(spark, rows)
     try:
         df.write.parquet(path)
@@ -209,3 +167,6 @@ class Bounded(dict):
             self.clear()
         self[key] = value
         return value
+
+
+__all__ = ["BATCH_ROWS", "LONG_KEY", "WORD", "Bounded", "Scope", "crc_mod", "durable", "fresh_path", "grouped", "holds", "owned", "read_table", "release", "shared_dir", "shuffle_partitions", "sliced", "small_batches", "split_of", "tokenizer_path", "turn_to"]
