@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.ipc as ipc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,8 +42,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
 STEMS = (5,)
 _WIDTH = 1 + len(STEMS)
-#: Slices that document frequencies are added up in, and tasks per slice before the last.
-SLICES, SALTS = 16, 16
+#: Slices that document frequencies are added up in, and tasks whose arrays of a slice one task adds up.
+SLICES, FAN = 16, 64
 #: Texts scored at once, and postings added up at once.
 GROUP, POSTINGS = 128, 1 << 20
 #: A term that no example has counts as so many examples, dealt by the labels' ratio.
@@ -355,7 +356,9 @@ def _write_vocabulary(sampled: DataFrame) -> str:
 def _write_frequencies(docs: DataFrame, vocabulary: str) -> str:
     """(slice, n, counts): numbers of documents, and of those that have each
     term of a slice of the vocabulary, over all whole texts.  A task sends one
-    array per slice; a slice's arrays are added up in two steps."""
+    array per slice; a task adds up the arrays of a slice from at most ``FAN``
+    tasks, twice, and the last step those of the rest: the tasks that add up
+    grow with those that read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("toxicity")
@@ -364,28 +367,26 @@ def _write_frequencies(docs: DataFrame, vocabulary: str) -> str:
         for texts, _ in grouped(batches, GROUP):
             n += len(texts)
             np.add.at(seen, terms.counts(texts)[1], 1)
-        parts = np.array_split(seen, SLICES)
-        salt = int(seen.sum() + n) % SALTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "salt", "n", "counts"])
+        cut = np.array_split(seen, SLICES)
+        group = TaskContext.get().partitionId() // FAN
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["slice", "group", "n", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple[int, int], list] = {}
         for b in batches:
-            for slice_, n, raw in zip(*(b.column(c).to_pylist() for c in ("slice", "n", "counts")), strict=True):
-                x = np.frombuffer(raw, "int64")
-                if slice_ in total:
-                    total[slice_][0] += n
-                    total[slice_][1] += x
-                else:
-                    total[slice_] = [n, x.copy()]
+            for slice_, group, n, raw in zip(*(b.column(c).to_pylist() for c in ("slice", "group", "n", "counts")), strict=True):
+                held = total.setdefault((slice_, group), [0, 0])
+                held[0] += n
+                held[1] = held[1] + np.frombuffer(raw, "int64")
         rows = sorted(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x[0] for _, x in rows], pa.int64()), pa.array([x[1].tobytes() for _, x in rows], pa.binary())], names=["slice", "n", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([x[0] for _, x in rows], pa.int64()), pa.array([x[1].tobytes() for _, x in rows], pa.binary())], names=["slice", "group", "n", "counts"])
 
-    schema = "slice int, n long, counts binary"
-    sent = docs.select("text").mapInArrow(count, "slice int, salt int, n long, counts binary")
-    once = sent.repartition(SLICES, "slice", "salt").mapInArrow(add, schema)
+    schema = "slice int, group int, n long, counts binary"
+    sums = docs.select("text").mapInArrow(count, schema).repartition("slice", "group").mapInArrow(add, schema)
+    sums = sums.withColumn("group", F.expr(f"group div {FAN}").cast("int")).repartition("slice", "group").mapInArrow(add, schema)
+    sums = sums.withColumn("group", F.lit(0)).repartition(SLICES, "slice").mapInArrow(add, schema)
     uri = fresh_path(docs.sparkSession, "toxicity-frequencies")
-    once.repartition(SLICES, "slice").mapInArrow(add, schema).write.parquet(uri)
+    sums.drop("group").write.parquet(uri)
     return uri
 
 
@@ -414,7 +415,8 @@ def _write_scorer(sampled: DataFrame, vocabulary: str, frequencies: str, k: int,
         got.sort(key=lambda r: r[0])
         start, ids, tfs = np.r_[0, np.cumsum([len(r[2]) for r in got])], np.concatenate([r[2] for r in got]), np.concatenate([r[3] for r in got])
         made = fit((start, ids, tfs), np.array([r[1] for r in got]), np.array([r[0] for r in got], "int64"), _idf(vocabulary, frequencies), k, ratio)
-        fs, path = _fs(f"{base}-{uuid.uuid4().hex}.arrow")
+        fs, path = _fs(f"{base}/{uuid.uuid4().hex}.arrow")
+        fs.create_dir(path.rsplit("/", 1)[0])
         arrays = [*[(n, getattr(made.index, n)) for n in _ARRAYS], ("votes", made.votes), ("share", made.share)]
         with fs.open_output_stream(path) as out:
             for _, x in arrays:
@@ -424,7 +426,7 @@ def _write_scorer(sampled: DataFrame, vocabulary: str, frequencies: str, k: int,
         yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     done = durable(sampled.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, "path string"), "toxicity-model")
-    return f"{base.rsplit('/', 1)[0]}/{done.first()['path'].rsplit('/', 1)[1]}"
+    return f"{base}/{done.first()['path'].rsplit('/', 1)[1]}"
 
 
 @lru_cache(maxsize=1)
