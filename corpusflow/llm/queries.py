@@ -88,11 +88,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3.0).drop("first_taken")
 
 
+def op11_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import rolling_features
+
+    return rolling_features(_table(spark, sf_dir, "documents"), windows=(3600, 21600))
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing, op11_rolling)
 }
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
@@ -124,4 +130,12 @@ WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op11_rolling": """
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+h AS (SELECT doc_id, source, lang, length(text)::BIGINT AS n, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM documents, t),
+e AS (SELECT row_number() OVER () AS r, doc_id, source, lang, n, (60 * floor((doc_id + h % 4000) / 6))::BIGINT AS event_s FROM h),
+j AS (SELECT a.r, w.window_s::BIGINT AS window_s, b.n, b.lang, b.r AS o FROM e a, (VALUES (3600), (21600)) w(window_s) JOIN e b ON b.source IS NOT DISTINCT FROM a.source AND b.event_s >= a.event_s - w.window_s AND b.event_s < a.event_s),
+g AS (SELECT r, window_s, count(*) AS n_events, coalesce(sum(n), 0)::BIGINT AS sum_chars, count(DISTINCT lang) AS n_langs, list_sort(list(n) FILTER (n IS NOT NULL)) AS l FROM j GROUP BY 1, 2)
+SELECT e.doc_id, w.window_s::BIGINT AS window_s, e.event_s, coalesce(g.n_events, 0)::BIGINT AS n_events, coalesce(g.sum_chars, 0)::BIGINT AS sum_chars, coalesce(g.n_langs, 0)::BIGINT AS n_langs, l[(len(l) + 1) // 2]::BIGINT AS median_chars, l[(75 * len(l) + 99) // 100]::BIGINT AS high_chars
+FROM e CROSS JOIN (VALUES (3600), (21600)) w(window_s) LEFT JOIN g ON g.r = e.r AND g.window_s = w.window_s""",
 }
