@@ -94,11 +94,24 @@ def op11_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_features(_table(spark, sf_dir, "documents"), windows=(3600, 21600))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, best=2000)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .leaks import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing, op11_rolling)
+    f.__name__: f
+    for f in (op1_sharding, op2_packing, op3_toxicity, op4_ngram_join, op5_lm_scoring, op6_embedding_join, op7_token_files, op8_language, op9_top_k, op10_mixing, op11_rolling, op12_collocations, op13_decontamination)
 }
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
@@ -138,4 +151,30 @@ j AS (SELECT a.r, w.window_s::BIGINT AS window_s, b.n, b.lang, b.r AS o FROM e a
 g AS (SELECT r, window_s, count(*) AS n_events, coalesce(sum(n), 0)::BIGINT AS sum_chars, count(DISTINCT lang) AS n_langs, list_sort(list(n) FILTER (n IS NOT NULL)) AS l FROM j GROUP BY 1, 2)
 SELECT e.doc_id, w.window_s::BIGINT AS window_s, e.event_s, coalesce(g.n_events, 0)::BIGINT AS n_events, coalesce(g.sum_chars, 0)::BIGINT AS sum_chars, coalesce(g.n_langs, 0)::BIGINT AS n_langs, l[(len(l) + 1) // 2]::BIGINT AS median_chars, l[(75 * len(l) + 99) // 100]::BIGINT AS high_chars
 FROM e CROSS JOIN (VALUES (3600), (21600)) w(window_s) LEFT JOIN g ON g.r = e.r AND g.window_s = w.window_s""",
+    "op12_collocations": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT row_number() OVER () AS p, lang, s FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d)),
+u AS (SELECT p, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT p, lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p)),
+t AS (SELECT lang, count(*)::BIGINT AS n FROM u GROUP BY 1),
+v AS (SELECT lang, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d FROM u WINDOW o AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, a AS phrase FROM v UNION ALL SELECT lang, 2, a||' '||b FROM v WHERE b IS NOT NULL UNION ALL SELECT lang, 3, a||' '||b||' '||c FROM v WHERE c IS NOT NULL UNION ALL SELECT lang, 4, a||' '||b||' '||c||' '||d FROM v WHERE d IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, x.i AS cut, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+  FROM c JOIN range(1, 4) x(i) ON x.i < c.k JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:x.i], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[x.i + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT c.lang, array_to_string(c.w[j.j:j.j + m.m - 1], ' ') AS phrase, max(c.a) AS most FROM c, range(2, 4) m(m), range(1, 4) j(j) WHERE m.m < c.k AND j.j + m.m - 1 <= c.k GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 80 * b.a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT q.lang, q.rank::BIGINT AS rank, q.phrase, q.a::BIGINT AS a, q.l::BIGINT AS l, q.r::BIGINT AS r, t.n, q.score FROM q JOIN t USING (lang) WHERE q.rank <= 2000""",
+    "op13_decontamination": r"""
+WITH low AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT kind, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT id, least(10, len(w)) AS k, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g FROM w WHERE kind = 1 AND len(w) > 0),
+d AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w JOIN (SELECT DISTINCT k FROM b) ON len(w) >= k WHERE kind = 0),
+m AS (SELECT d.r, d.i, d.k, b.id FROM d JOIN b ON b.k = d.k AND b.g = d.g),
+h AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM m)) GROUP BY 1),
+x AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, id::VARCHAR AS s FROM m WHERE id IS NOT NULL) GROUP BY 1)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(x.n_items, 0)::BIGINT AS n_items, sha256(coalesce(x.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN x USING (r) WHERE w.kind = 0""",
 }
