@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -239,7 +240,7 @@ def _lists(state: dict, told: pa.Table, length: int) -> Lists:
     ids = _unpacked(state["ids"], state["n"], "int32")
     found = None
     for k in range(1, length + 1):
-        rows = told.filter(pa.compute.equal(told.column("length"), k)).to_pylist()
+        rows = told.filter(pc.equal(told.column("length"), k)).to_pylist()
         local = np.concatenate([np.empty(0, "int32"), *(_unpacked(r["local"], r["m"], "int32") for r in rows)])
         gids = np.concatenate([np.empty(0, "int64"), *(_unpacked(r["gid"], r["m"], "int64") for r in rows)])
         if k == 1:
