@@ -188,7 +188,7 @@ def _told(part: int, parts: int, block: np.ndarray, local: np.ndarray, group: np
     order = np.argsort(block, kind="stable")
     block, local, mine = block[order], local[order], mine[order]
     blocks, starts = np.unique(block, return_index=True)
-    ends = np.append(starts[1:], len(block))
+    ends = np.append(starts, len(block))[1:]
     rows = [dict(block=int(x), m=int(hi - lo), local=_packed(local[lo:hi].astype("int32")), gid=_packed(mine[lo:hi])) for x, lo, hi in zip(blocks, starts, ends, strict=True)]
     rows.append(dict(gids=gid[kept], totals=totals[kept], **{k: f(np.flatnonzero(kept)) for k, f in facts.items()}))
     return pa.Table.from_pydict({n: pa.array([r.get(n) for r in rows], kind) for n, kind in _TOLD_TYPES}, schema=_TOLD_SCHEMA)
@@ -243,6 +243,8 @@ def _lists(state: dict, told: pa.Table, length: int) -> Lists:
         rows = told.filter(pc.equal(told.column("length"), k)).to_pylist()
         local = np.concatenate([np.empty(0, "int32"), *(_unpacked(r["local"], r["m"], "int32") for r in rows)])
         gids = np.concatenate([np.empty(0, "int64"), *(_unpacked(r["gid"], r["m"], "int64") for r in rows)])
+        order = np.argsort(local)  # parts come in any order; numbers of longer lists follow from this one
+        local, gids = local[order], gids[order]
         if k == 1:
             at = np.flatnonzero(ids)
             found = Lists.of(at, ids[at] - 1, int(ids.max(initial=0)), local, gids)

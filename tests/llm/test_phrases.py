@@ -86,6 +86,32 @@ def test_nothing_and_longer_phrases(spark):
     assert asked(spark, rows, least=4, longest=6) == plain(rows, 4, 6, 2000)
 
 
+def test_parts_come_in_any_order():
+    """A block's lists are numbered alike however what it is told is ordered."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusflow.llm.phrases import _lists
+
+    r = random.Random(5)
+    ids = np.array([r.choice([0, 1, 2, 3, 4, 5]) for _ in range(400)], "int32")
+    state = {"ids": _packed(ids), "n": len(ids), "context": 0}
+    base = _lists(state, told(pa, np, [(1, [0, 1, 2, 3, 4], [50, 40, 30, 20, 10])]), 1).extended()[2]
+    rows = [(1, [4, 0], [10, 50]), (1, [2, 1], [30, 40]), (1, [3], [20])]
+    pairs = [(2, [i], [1000 + i]) for i in range(0, len(base), 2)]
+    found = []
+    for _ in range(5):
+        r.shuffle(rows)
+        r.shuffle(pairs)
+        x = _lists(state, told(pa, np, rows + pairs), 2)
+        found.append((x.at.tolist(), x.gids[x.code].tolist(), x.extended()[2].tolist()))
+    assert found[0][0] and all(f == found[0] for f in found)
+
+
+def told(pa, np, rows):
+    return pa.table({"length": pa.array([k for k, _, _ in rows], pa.int32()), "m": pa.array([len(x) for _, x, _ in rows], pa.int32()), "local": [_packed(np.array(x, "int32")) for _, x, _ in rows], "gid": [_packed(np.array(x, "int64")) for _, _, x in rows]})
+
+
 def test_packed():
     import numpy as np
 
