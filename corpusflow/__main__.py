@@ -1,4 +1,5 @@
-"""``python -m corpusflow pack|sync TREE -o FOLDER``: the plans as commands."""
+"""``python -m corpusflow pack|sync TREE -o FOLDER`` and ``download|sync URL -o
+FOLDER``: the plans as commands."""
 
 from __future__ import annotations
 
@@ -6,7 +7,9 @@ import argparse
 import json
 import logging
 import os
+import shutil
 import sys
+import uuid
 
 from . import options as O
 
@@ -39,11 +42,27 @@ def arguments() -> argparse.ArgumentParser:
         c.add_argument("--manifest")
         c.add_argument("--base-url", default="")
         c.add_argument("--no-index", dest="with_index", action="store_false", default=None)
+        if name == "sync":
+            _fetching(c)
+            c.add_argument("--chunks-dir", help="of a URL: where the chunks go (the folder's chunks, by default)")
         for flag in ("no-extract", "show-tokens", "dry-run", "context-header", "cross-refs", "score", "legacy-headers", "delta"):
             c.add_argument(f"--{flag}", action="store_true", default=None)
+    c = commands.add_parser("download", help="fetch a site")
+    c.add_argument("tree", metavar="url")
+    c.add_argument("-o", "--output", required=True)
+    c.add_argument("--manifest")
+    _fetching(c)
     return top
 
 
+def _fetching(c: argparse.ArgumentParser) -> None:
+    c.add_argument("--depth", type=int, default=0, help="steps from the URL at most (0: any)")
+    c.add_argument("--delay", type=int, default=0, help="milliseconds between two fetches of a host")
+    c.add_argument("--include-extensions", default="html,md,txt")
+    c.add_argument("--fetcher", help="module:name of a function (url, etag, last_modified) -> Response, in place of HTTP")
+    c.add_argument("--renderer", help="the same, of one that runs a page's scripts")
+
+
 def main(given: list[str] | None = None, spark=None) -> int:
     a = arguments().parse_args(given)
     logging.basicConfig(level=logging.ERROR if a.quiet else logging.DEBUG if a.verbose else logging.INFO, format="%(levelname)s %(message)s", stream=sys.stderr)
@@ -61,7 +80,8 @@ def run(a: argparse.Namespace, spark=None) -> int:
     from .plans import pack as P
     from .plans.sync import sync
     from .sinks import render
-    from .sources.discovery import load_manifest, manifest_json
+    from .sinks.files import replace_file
+    from .sources.discovery import load_manifest, save_manifest
     from .sources.doctree import read_tree
 
     config = None
@@ -71,10 +91,17 @@ def run(a: argparse.Namespace, spark=None) -> int:
     own = {k: v for k, v in vars(a).items() if k in O.PackOptions.__dataclass_fields__}
     o = O.load_options(config, a.command, **own)
     ignore = None
-    if a.ignore_file:
+    if getattr(a, "ignore_file", None):
         with open(a.ignore_file, encoding="utf-8") as f:
             ignore = f.read()
     spark = spark or SparkSession.builder.getOrCreate()
+    if "://" in a.tree and a.tree.split("://")[0] in ("http", "https") and a.command != "pack":
+        fetch_site(a, spark)
+        if a.command == "download":
+            return 0
+        a.base_url, a.tree, a.output = a.tree, a.output, a.chunks_dir or os.path.join(a.output, "chunks")
+        o = O.load_options(config, a.command, **own | {"ignore": [*(a.ignore or ()), "/chunks/", "/.*"]})
+        os.makedirs(a.output, exist_ok=True)
     files = read_tree(spark, a.tree)
     manifest = load_manifest(spark, a.manifest) if a.manifest and os.path.exists(a.manifest) else None
     if a.command == "sync":
@@ -82,8 +109,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
         packed = done.packed
         print("\n".join(f"{k}: {v}" for k, v in done.summary.items()))
         if a.manifest:
-            with open(a.manifest, "w", encoding="utf-8") as f:
-                f.write(manifest_json(done.manifest, a.base_url))
+            save_manifest(done.manifest, os.path.abspath(a.manifest), a.base_url)
     else:
         packed = P.pack(files, o, ignore, manifest)
     if o.dry_run:
@@ -107,11 +133,48 @@ def run(a: argparse.Namespace, spark=None) -> int:
     if packed.options.bundle:
         side["IMPORT_GUIDE.md"] = render.import_guide(packed.totals, packed.chunk_files, packed.docs, packed.options.bundle, packed.options.format)
     for name, body in side.items():
-        with open(os.path.join(a.output, name), "w", encoding="utf-8") as f:
-            f.write(body)
+        replace_file(os.path.join(os.path.abspath(a.output), name), iter([body]))
     print(json.dumps(P.report.pack_summary(packed.totals, files.count() - packed.docs.count(), packed.options.max_chunks, packed.options.max_words_per_chunk)))
     return 0
 
 
+def fetch_site(a: argparse.Namespace, spark) -> None:
+    """The site as files of the folder, and its pages as a table beside them,
+    whose validators the next run sends along."""
+    from importlib import import_module
+
+    from pyspark.sql import functions as F
+
+    from .plans.crawl import CrawlOptions
+    from .plans.download import download
+    from .sinks.files import write_files
+    from .sources.fetch import by_host, http_get
+
+    def named(spec: str | None):
+        if not spec:
+            return None
+        module, _, name = spec.partition(":")
+        return by_host(getattr(import_module(module), name), delay=a.delay / 1000)
+
+    folder = os.path.abspath(a.output)
+    os.makedirs(folder, exist_ok=True)
+    table = os.path.join(folder, ".pages")
+    previous = spark.read.parquet(table) if os.path.exists(os.path.join(table, "_SUCCESS")) else None
+    options = CrawlOptions(depth=a.depth, include=tuple(x.strip() for x in a.include_extensions.split(",") if x.strip()))
+    got = download(spark, a.tree, named(a.fetcher) or by_host(http_get, delay=a.delay / 1000), options=options, previous=previous, render=named(a.renderer), scope_depth=a.depth, log=LOG.info)
+    write_files(got.files.select(F.col("rel_path").alias("name"), F.col("content").alias("body")), folder)
+    fresh = os.path.join(folder, f".pages-{uuid.uuid4().hex}")
+    got.pages.where(F.col("body").isNotNull()).select("url", "etag", "last_modified", "body").write.parquet(fresh)
+    if os.path.exists(table):
+        os.rename(table, f"{fresh}-old")
+    os.rename(fresh, table)
+    shutil.rmtree(f"{fresh}-old", ignore_errors=True)
+    if a.manifest and a.command == "download":
+        from .sources.discovery import save_manifest
+
+        save_manifest(got.manifest, os.path.abspath(a.manifest), a.tree)
+    print("\n".join(f"{k}: {v}" for k, v in got.summary.items()))
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -6,9 +6,14 @@ near block goes only because of an earlier block that stays itself.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from hashlib import md5
 from itertools import combinations
+from math import comb
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..tables import durable
+from .graph import components
 
 
 def blocks(docs: DataFrame, delimiter: str = "\n\n") -> DataFrame:
@@ -66,89 +72,262 @@ def simhashes(texts: list[str]) -> np.ndarray:
     return out
 
 
-def band_plan(n: int, k: int) -> list[tuple[int, ...]]:
-    """Which of ``m`` slices of the 64 bits are keys together: two hashes
-    within ``k`` bits agree on at least m-k slices.  More rows, longer keys,
-    as long as there are not too many of them."""
-    m = k + 1
-    while m < min(64, k + (4 if k < 16 else 1)) and (1 << (64 * (m - k) // m)) < 4 * max(1, n):
-        m += 1
-    return [(m, *c) for c in combinations(range(m), m - k)]
-
-
-def _slice_mask(m: int, chosen: tuple[int, ...]) -> int:
-    mask = 0
-    for j in chosen:
-        lo, hi = 64 * j // m, 64 * (j + 1) // m
-        mask |= ((1 << (hi - lo)) - 1) << lo
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
-def near_pairs(hashes: DataFrame, k: int = 3, hash_col: str = "simhash") -> DataFrame:
-    """(a, b, distance) of distinct hash values a < b within ``k`` bits, by
-    keys that they must share.  From 64 bits on everything is near: an error."""
+@dataclass(frozen=True)
+class Plan:
+    """How near hashes meet: in cells of equal bits under a mask, where one of
+    them may also be in the cells of the keys that are ``radius`` (0 or 1) bits
+    away; or, without masks, as all pairs of ``blocks`` blocks."""
+
+    masks: tuple[int, ...] = ()
+    radius: int = 0
+    blocks: int = 1
+
+    def rows(self) -> int:
+        """Rows that a hash is in at most."""
+        return self.blocks if not self.masks else len(self.masks) + self.radius * sum(1 + m.bit_count() for m in self.masks)
+
+
+#: Hashes of a block of the all-pairs plan, and members of a cell that a task takes whole.
+BLOCK, CELL = 1 << 16, 1 << 13
+#: What comparing two hashes costs, in rows that are dealt.
+PAIR_COST = 0.001
+
+
+def _slices(m: int) -> list[int]:
+    cuts = [64 * j // m for j in range(m + 1)]
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
+
+
+def plan_for(n: int, k: int) -> Plan:
+    """The plan with the least estimated work for n evenly spread hashes.  Two
+    hashes within k bits agree on m-k of m slices; of k // 2 + 1 slices they
+    differ by at most one bit in one; and in blocks all pairs are compared."""
+    found = [Plan((), 0, max(1, -(-n // BLOCK)))]
+    for m in range(k + 1, min(64, k + 4) + 1):
+        slices = _slices(m)
+        if comb(m, m - k) <= 64:
+            found.append(Plan(tuple(reduce(or_, c) for c in combinations(slices, m - k))))
+    found.append(Plan(tuple(_slices(k // 2 + 1)), 1))
+
+    def cost(p: Plan) -> float:
+        pairs = n if not p.masks else n * sum((1 + p.radius * m.bit_count()) / 2.0 ** m.bit_count() for m in p.masks)
+        return p.rows() + PAIR_COST * pairs
+
+    return min(found, key=cost)
+
+
+_PAIRS = "a long, b long, distance int"
+
+
+def _near(batches: Iterator[pa.RecordBatch], plan: Plan, k: int) -> Iterator[pa.RecordBatch]:
+    """Near pairs of rows (h, own, cell, part, x, y) that lie together by cell,
+    own rows first.  A pair comes from the first mask under which it meets, once."""
+    masks = np.array(plan.masks, "uint64")
+
+    def pairs(h: np.ndarray, own: np.ndarray, cell: np.ndarray, one: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, lag = np.flatnonzero(own | one if not plan.radius else own), 1
+        while len(at := at[at + lag < ends[at]]):
+            for lo in range(0, len(at), 1 << 20):
+                i = at[lo : lo + (1 << 20)]
+                j = i + lag
+                u, v = h[i].view("uint64"), h[j].view("uint64")
+                near = np.bitwise_count(u ^ v) <= k
+                near &= (own[i] != own[j]) & (h[i] < h[j]) if plan.radius else one[i] | (own[i] != own[j])
+                i, j, u, v = i[near], j[near], u[near], v[near]
+                if len(i):
+                    x, c, first = u ^ v, cell[i], np.ones(len(i), bool)
+                    for n, m in enumerate(masks[:-1]):
+                        first &= (c <= n) | (np.bitwise_count(x & m) > plan.radius)
+                    a, b, x = h[i][first], h[j][first], x[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.bitwise_count(x).astype("int32"))], names=["a", "b", "distance"])
+            lag += 1
+
+    held: dict[str, np.ndarray] | None = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "own", "cell", "part", "x", "y")}
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+        if held is None or not len(held["h"]):
+            continue
+        change = np.zeros(len(held["h"]), bool)
+        for c in ("cell", "part", "x", "y"):
+            change[1:] |= held[c][1:] != held[c][:-1]
+        starts = np.r_[0, np.flatnonzero(change)]
+        done = len(held["h"]) if b is None else starts[-1]  # the last cell may go on
+        if done:
+            bounds = np.r_[starts[starts < done], done]
+            ends = np.repeat(bounds[1:], np.diff(bounds))
+            yield from pairs(*(held[c][:done] for c in ("h", "own", "cell")), held["x"][:done] == held["y"][:done], ends)
+            held = {c: v[done:] for c, v in held.items()}
+
+
+def _block_pairs(hashes: DataFrame, plan: Plan, k: int) -> DataFrame:
+    """All pairs of blocks, each compared by one task."""
+    n = plan.blocks
+    block = F.pmod(F.xxhash64("h"), F.lit(n)).cast("int")
+    dealt = hashes.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("h", F.least("_b", "_o").cast("int").alias("x"), F.greatest("_b", "_o").cast("int").alias("y"), (F.col("_b") <= F.col("_o")).alias("own"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        h, own, one = t.column("h").to_numpy(), t.column("own").to_numpy(), t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        left, right = (h, h) if one else (h[own], h[~own])
+        out: list[np.ndarray] = []
+        for lo in range(0, len(left), 64):
+            part = left[lo : lo + 64]
+            i, j = np.nonzero(np.bitwise_count(part.view("uint64")[:, None] ^ right.view("uint64")[None, :]) <= k)
+            a, b = part[i], right[j]
+            if one:
+                a, b = a[part[i] < right[j]], b[part[i] < right[j]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), "int64")
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "distance": pa.array(np.bitwise_count((a ^ b).view("uint64")).astype("int32"))})
+
+    return dealt.groupBy("x", "y").applyInArrow(compare, _PAIRS)
+
+
+def near_pairs(hashes: DataFrame, k: int = 3, hash_col: str = "simhash", plan: Plan | None = None) -> DataFrame:
+    """(a, b, distance) of distinct hash values a < b within ``k`` bits; null
+    hashes are near nothing.  From 64 bits on everything is near: an error.
+
+    Hashes meet by the plan for their number and distance (``plan_for``); cells
+    that many share are cut into blocks, of which every two meet; tasks compare
+    what meets in numpy, so only near pairs become rows, each once.  At k = 3
+    a hash is in a few rows, at 8 in some 70, and where distances are so large
+    that no key rules anything out (16 of 64 bits) in one per block of 65536."""
     if not 0 <= k < 64:
         raise ValueError("the distance must be from 0 to 63 bits")
-    distinct = durable(hashes.select(F.col(hash_col).alias("h")).distinct(), "simhashes")
-    plan = band_plan(distinct.count(), k)
-    masks = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(_slice_mask(p[0], p[1:])).cast("long").alias("mask")) for i, p in enumerate(plan)])
-    keyed = distinct.select("h", F.explode(masks).alias("m")).select("h", F.col("m.band").alias("band"), F.col("h").bitwiseAND(F.col("m.mask")).alias("part"))
-    left, right = keyed.withColumnRenamed("h", "a"), keyed.withColumnRenamed("h", "b")
-    pairs = left.join(right, ["band", "part"]).where((F.col("a") < F.col("b")) & (T.hamming(F.col("a"), F.col("b")) <= k))
-    return pairs.select("a", "b", T.hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
+    distinct = durable(hashes.select(F.col(hash_col).alias("h")).where(F.col(hash_col).isNotNull()).distinct(), "simhashes")
+    p = plan or plan_for(distinct.count(), k)
+    if not p.masks:
+        return _block_pairs(distinct, p, k)
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    keys = []
+    for i, m in enumerate(p.masks):
+        masked = F.col("h").bitwiseAND(F.lit(signed(m)).cast("long"))
+        keys.append(F.struct(F.lit(True).alias("own"), F.lit(i).alias("cell"), masked.alias("part")))
+        if p.radius:
+            bits = [0, *(1 << j for j in range(64) if m >> j & 1)]
+            keys += [F.struct(F.lit(False).alias("own"), F.lit(i).alias("cell"), masked.bitwiseXOR(F.lit(signed(x)).cast("long")).alias("part")) for x in bits]
+    celled = distinct.select("h", F.inline(F.array(*keys)))
+    # cells of many members: blocks of each side, every two of which meet
+    large = celled.groupBy("cell", "part").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    celled = celled.join(large, ["cell", "part"], "left").withColumn("_n", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
+    b = F.pmod(F.xxhash64("h"), F.col("_n")).cast("int")
+    other = celled.withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    if p.radius:
+        own, x, y = F.col("own"), F.when(F.col("own"), F.col("_b")).otherwise(F.col("_o")), F.when(F.col("own"), F.col("_o")).otherwise(F.col("_b"))
+    else:
+        own, x, y = F.col("_b") <= F.col("_o"), F.least("_b", "_o"), F.greatest("_b", "_o")
+    dealt = other.select("h", own.alias("own"), "cell", "part", x.alias("x"), y.alias("y"))
+    dealt = dealt.repartition("cell", "part", "x", "y").sortWithinPartitions("cell", "part", "x", "y", F.desc("own"))
+    return dealt.mapInArrow(lambda batches: _near(batches, p, k), _PAIRS)
 
 
 #: Edges of the greedy rule that one task decides.
-FEW_EDGES = 500_000
+FEW_EDGES = 2_000_000
 
 
 def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes: (id, place), edges: (a, b) with a placed before b.  Returns the
-    ids that go: a node goes when an earlier neighbour stays, and stays when
-    all earlier neighbours go.  Decided in rounds, all nodes at once, as long as
-    there are many edges; a bounded rest is decided in one task, so that a long
-    chain is not as many rounds."""
-    open_ = edges.select("a", "b").distinct()
+    """nodes: (id, and place where there is one), edges: (a, b) with a placed
+    before b.  Returns the ids that go: a node goes when an earlier neighbour
+    stays, and stays when all earlier neighbours go.
+
+    Where there are many edges their components are found first (rounds by the
+    logarithm of their length); each one of at most ``FEW_EDGES`` edges is
+    decided whole by a task.  A larger one is cut by place into ranges of so
+    many edges; a task decides all of its range that does not wait for another,
+    so there are as many rounds as ranges wait for each other, however long the
+    chains within them are."""
+    open_ = durable(edges.select("a", "b").distinct(), "greedy")
+    total = open_.count()
+    if not total:
+        return nodes.select("id").limit(0)
+    if total <= FEW_EDGES:
+        return _decide(open_.coalesce(1))
+    of = components(open_).select(F.col("node").alias("b"), "component")
+    tagged = durable(open_.join(of, "b"), "greedy-components")
+    held = durable(tagged.groupBy("component").agg(F.count("*").alias("n")), "greedy-sizes")
+    giants = held.where(F.col("n") > FEW_EDGES)
+    small = tagged.join(giants, "component", "left_anti")
+    gone = durable(_decide(small.repartition(-(-total // max(1, FEW_EDGES)), "component").select("a", "b")), "greedy-gone")
+    rest = tagged.join(giants, "component", "left_semi").select("a", "b")
+    if giants.isEmpty():
+        return gone
+    return gone.unionByName(_by_ranges(nodes, durable(rest, "greedy-giants"), total))
+
+
+def _decide(edges: DataFrame) -> DataFrame:
+    """The nodes that go; every component lies within one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        ids = decided(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else np.empty(0, "int64")
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])
+
+    return durable(edges.mapInArrow(run, "id long"), "greedy-gone")
+
+
+def _by_ranges(nodes: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """The nodes that go, of edges too many for one task: ranges of later nodes
+    by place, in rounds."""
+    place = F.col("place") if "place" in nodes.columns else F.col("id")
+    later = edges.join(nodes.select(F.col("id").alias("b"), place.alias("_p")), "b")
+    parts = -(-total // max(1, FEW_EDGES // 2))
+    ranged = durable(later.repartitionByRange(parts, "_p").select("a", "b", F.spark_partition_id().alias("part")), "greedy-ranges")
+    inner = ranged.select(F.col("b").alias("a"), F.col("part").alias("home")).distinct()
+    # earlier nodes that are nobody's later one stay; others are decided in their range
+    open_ = durable(ranged.join(inner, "a", "left").select("a", "b", "part", "home", F.when(F.col("home").isNull(), F.lit(True)).alias("stays")), "greedy-open")
     gone = None
-    open_ = durable(open_, "greedy")
-    while (left := open_.count()) > FEW_EDGES:
-        # nothing earlier is open: it stays, and its later neighbours go
-        stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        goes = durable(open_.join(stays, "a").select(F.col("b").alias("id")).distinct(), "greedy-gone")
-        gone = goes if gone is None else gone.unionByName(goes)
-        rest = open_.join(stays, "a", "left_anti")
-        rest = rest.join(goes.select(F.col("id").alias("b")), "b", "left_anti").join(goes.select(F.col("id").alias("a")), "a", "left_anti")
-        open_ = durable(rest.select("a", "b"), "greedy")
-    if left:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
-            ids = decided(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else np.empty(0, "int64")
-            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])
-
-        rest = durable(open_.coalesce(1).mapInArrow(run, f"id {dict(open_.dtypes)['a']}"), "greedy-gone")
-        gone = rest if gone is None else gone.unionByName(rest)
+    while True:
+
+        def run(t: pa.Table) -> pa.Table:
+            a, b, part = (t.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "part"))
+            home, stays = (t.column(c).to_pylist() for c in ("home", "stays"))
+            known = {x: s for x, s in zip(a.tolist(), stays, strict=True) if s is not None}
+            found = settled(a, b, known, {x for x, h in zip(a.tolist(), home, strict=True) if h is not None and h != part[0]})
+            return pa.table({"id": pa.array(list(found), pa.int64()), "stays": pa.array(list(found.values()), pa.bool_())})
+
+        now = durable(open_.groupBy("part").applyInArrow(run, "id long, stays boolean"), "greedy-settled")
+        if now.isEmpty():
+            break
+        fresh = now.where(~F.col("stays")).select("id")
+        gone = fresh if gone is None else gone.unionByName(fresh)
+        rest = open_.join(now.select(F.col("id").alias("b")), "b", "left_anti")
+        told = now.select(F.col("id").alias("a"), F.col("stays").alias("_s"))
+        open_ = durable(rest.join(told, "a", "left").select("a", "b", "part", "home", F.coalesce("stays", "_s").alias("stays")), "greedy-open")
     return gone if gone is not None else nodes.select("id").limit(0)
 
 
-def decided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The nodes that go, of edges from earlier to later nodes: nodes are
-    decided once all their earlier neighbours are."""
+def settled(a: np.ndarray, b: np.ndarray, known: dict[int, bool], foreign: set[int]) -> dict[int, bool]:
+    """Whether later nodes stay, of those that can be told: ``known`` are
+    earlier nodes' answers, ``foreign`` ones may still be open elsewhere."""
     later: dict[int, list[int]] = {}
     waits: dict[int, int] = {}
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         later.setdefault(x, []).append(y)
         waits[y] = waits.get(y, 0) + 1
-    ready, gone = [x for x in later if x not in waits], set()
+    answer, ready = dict(known), list(known)
+    for x in later:  # what waits for nobody stays
+        if x not in waits and x not in answer and x not in foreign:
+            answer[x] = True
+            ready.append(x)
+    found: dict[int, bool] = {}
     while ready:
         x = ready.pop()
         for y in later.get(x, ()):
-            if x not in gone:
-                gone.add(y)
             waits[y] -= 1
-            if not waits[y]:
+            if y not in found and (answer[x] or not waits[y]):
+                found[y] = answer[y] = not answer[x]
                 ready.append(y)
-    return np.array(sorted(gone), "int64")
+    return found
+
+
+def decided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The nodes that go, of edges from earlier to later nodes."""
+    return np.array(sorted(x for x, stays in settled(a, b, {}, set()).items() if not stays), "int64")
 
 
 def deduplicate(docs: DataFrame, mode: str = "both", k: int = 3, delimiter: str = "\n\n", least_words: int = T.MIN_BLOCK_WORDS) -> DataFrame:
@@ -169,7 +348,7 @@ def deduplicate(docs: DataFrame, mode: str = "both", k: int = 3, delimiter: str
     e = near.join(at, "a").join(to, "b")
     swap = F.col("pa") < F.col("pb")
     edges = e.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"))
-    gone = first_independent(first.select(F.col("simhash").alias("id")), edges).withColumnRenamed("id", "simhash").withColumn("gone", F.lit(True))
+    gone = first_independent(first.select(F.col("simhash").alias("id"), "place"), edges).withColumnRenamed("id", "simhash").withColumn("gone", F.lit(True))
     state = hashed.join(first, "simhash").join(gone.distinct(), "simhash", "left")
     fuzzy = F.coalesce(F.col("gone"), F.lit(False)) | (F.struct("rel_path", "pos") != F.col("place"))
     state = state.select("rel_path", "pos", fuzzy.alias("fuzzy"))
@@ -197,4 +376,4 @@ def stats(marked: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["blocks", "deduplicate", "first_independent", "first_of_equal", "near_pairs", "simhash", "stats", "texts"]
+__all__ = ["blocks", "deduplicate", "first_independent", "first_of_equal", "near_pairs", "plan_for", "simhash", "stats", "texts"]

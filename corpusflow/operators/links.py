@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+try:
+    import ahocorasick
+except ImportError:  # texts are searched for one by one
+    ahocorasick = None
 
 
 def links(parsed: DataFrame) -> DataFrame:
@@ -57,17 +66,80 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.select("chunk_id", F.coalesce("references_to", empty).alias("references_to"), F.coalesce("referenced_by", empty).alias("referenced_by"), F.coalesce("links", F.array().cast(dict(mine.dtypes)["links"])).alias("links"))
 
 
+def first_places(text: str, wanted: list[str]) -> dict[str, int]:
+    """Where each of the texts first stands, of those that do: one pass of an
+    Aho-Corasick automaton over all of them, or one search each without it."""
+    if ahocorasick is None or len(wanted) < 8:
+        return {w: at for w in wanted if (at := text.find(w)) >= 0}
+    automaton = ahocorasick.Automaton()
+    for w in wanted:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    found: dict[str, int] = {}
+    for end, w in automaton.iter(text):
+        if w not in found:
+            found[w] = end + 1 - len(w)
+    return found
+
+
+def marked(text: str, marks: list[tuple[str | None, str | None]]) -> str:
+    """The text with `` [-> chunk]`` after the first place of each link text, one
+    after the other: (link text, chunk) in order; a text is marked once, empty
+    ones never, and neither are links without a chunk.
+
+    All texts are looked for at once in the text as it was.  A mark that was set
+    since within a place breaks it, and the next one counts.  Link texts that
+    marks themselves may contain or complete are looked for in the text as it
+    is by then."""
+    todo = [(w.strip(), chunk) for w, chunk in marks if w and w.strip() and chunk is not None]
+    signs = "\n".join({f" [-> {chunk}]" for _, chunk in todo})
+    touchy = {w for w, _ in todo if "]" in w or " [" in w or w in signs}
+    first = first_places(text, list(dict.fromkeys(w for w, _ in todo if w not in touchy)))
+    cuts: list[int] = []  # places of marks, ascending
+    signs_at: dict[int, list[str]] = {}  # the latest first
+    done: set[str] = set()
+
+    def as_it_is() -> str:
+        out, lo = [], 0
+        for c in cuts:
+            out += [text[lo:c], *reversed(signs_at[c])]
+            lo = c
+        return "".join([*out, text[lo:]])
+
+    for i, (w, chunk) in enumerate(todo):
+        if w in done:
+            continue
+        if w in touchy:
+            now = as_it_is()
+            at = now.find(w)
+            if at >= 0:  # go on from the text as it is
+                end = at + len(w)
+                return marked_on(f"{now[:end]} [-> {chunk}]{now[end:]}", todo[i + 1 :], done | {w})
+            continue
+        at = first.get(w, -1)
+        while at >= 0 and bisect_right(cuts, at) < bisect_left(cuts, at + len(w)):
+            at = text.find(w, at + 1)
+        if at < 0:
+            continue
+        done.add(w)
+        end = at + len(w)
+        if end not in signs_at:
+            insort(cuts, end)
+            signs_at[end] = []
+        signs_at[end].append(f" [-> {chunk}]")
+    return as_it_is()
+
+
+def marked_on(text: str, todo: list[tuple[str, str]], done: set[str]) -> str:
+    return marked(text, [(w, chunk) for w, chunk in todo if w not in done])
+
+
+@F.pandas_udf(StringType())
+def _annotated(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or m is None else marked(t, [(x["link_text"], x["target_chunk"]) for x in m]) for t, m in zip(texts, marks, strict=True)])
+
+
 def annotate(text, marks):
-    """The text with `` [-> chunk]`` after the first occurrence of each link
-    text; ``marks`` is an array of (link_text, target_chunk) in order, of
-    resolved links; a text is marked once, empty ones never."""
-    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("done"))
-
-    def step(acc, m):
-        lt = F.trim(m["link_text"])
-        at = F.call_function("locate", lt, acc["text"])
-        skip = m["target_chunk"].isNull() | (lt == "") | F.array_contains(acc["done"], lt) | (at == 0)
-        new = F.concat(F.call_function("left", acc["text"], at - 1 + F.length(lt)), F.lit(" [-> "), m["target_chunk"], F.lit("]"), F.call_function("substring", acc["text"], at + F.length(lt)))
-        return F.when(skip, acc).otherwise(F.struct(new.alias("text"), F.array_append(acc["done"], lt).alias("done")))
-
-    return F.aggregate(marks, start, step, lambda acc: acc["text"])
+    """``marked`` of a column; ``marks`` is an array of (link_text,
+    target_chunk) in order; without marks the text is as it was."""
+    return _annotated(text, marks)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.text import let
+from pyspark.sql.types import ArrayType, StringType
 
 _ITEM = re.compile(r"\s*(?:[-*+]|\d+\.)\s")
 FENCE = "```"
@@ -69,41 +69,57 @@ def pieces(text: str | None, most: int) -> list[tuple[str, int]]:
     return [*out, ("\n\n".join(parts), begin)]
 
 
+def standing(headings: list[dict], offsets: list[int]) -> Iterator[list[str]]:
+    """Texts of the headings above each of ascending positions, by level.  One
+    pass: a heading ends those of its own and deeper levels, so what stands is a
+    stack of ascending levels."""
+    stack: list[dict] = []
+    at = 0
+    for offset in offsets:
+        while at < len(headings) and headings[at]["char_offset"] <= offset:
+            while stack and stack[-1]["level"] >= headings[at]["level"]:
+                stack.pop()
+            stack.append(headings[at])
+            at += 1
+        yield [h["text"] for h in stack]
+
+
+def crumbs(headings: list[dict] | None, offsets: list[int], first: bool = True) -> list[list[str]]:
+    """The breadcrumb of each piece of a file; a first piece with nothing above
+    it has that of the file's first heading."""
+    if not headings:
+        return [[] for _ in offsets]
+    out = list(standing(headings, offsets))
+    if first and out and not out[0]:
+        out[0] = next(standing(headings, [headings[0]["char_offset"]]))
+    return out
+
+
 def split_files(docs: DataFrame, most: int) -> DataFrame:
     """docs: (rel_path, text, headings).  (rel_path, sub_ord from 1, sub_total,
-    text, char_offset, headings) of every piece; only files with headings are cut."""
+    text, char_offset, breadcrumb) of every piece; only files with headings are
+    cut.  A file's headings are walked once, along with its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, ord_, total, text, offset = [], [], [], [], []
+            row, ord_, total, text, offset, crumb = [], [], [], [], [], []
             for i, (t, h) in enumerate(zip(b.column("text").to_pylist(), b.column("headings").to_pylist(), strict=True)):
                 found = pieces(t, most if h else 0)
+                above = crumbs(h, [at for _, at in found])
                 for j, (piece, at) in enumerate(found, 1):
-                    for column, x in zip((row, ord_, total, text, offset), (i, j, len(found), piece, at), strict=True):
+                    for column, x in zip((row, ord_, total, text, offset, crumb), (i, j, len(found), piece, at, above[j - 1]), strict=True):
                         column.append(x)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("rel_path").take(take), pa.array(ord_, pa.int32()), pa.array(total, pa.int32()), pa.array(text, pa.string()), pa.array(offset, pa.int32()), b.column("headings").take(take)], names=["rel_path", "sub_ord", "sub_total", "text", "char_offset", "headings"])
-
-    kind = dict(docs.dtypes)["headings"]
-    return docs.select("rel_path", "text", "headings").mapInArrow(run, f"rel_path string, sub_ord int, sub_total int, text string, char_offset int, headings {kind}")
+            yield pa.RecordBatch.from_arrays([b.column("rel_path").take(pa.array(row, pa.int64())), pa.array(ord_, pa.int32()), pa.array(total, pa.int32()), pa.array(text, pa.string()), pa.array(offset, pa.int32()), pa.array(crumb, pa.list_(pa.string()))], names=["rel_path", "sub_ord", "sub_total", "text", "char_offset", "breadcrumb"])
 
+    return docs.select("rel_path", "text", "headings").mapInArrow(run, "rel_path string, sub_ord int, sub_total int, text string, char_offset int, breadcrumb array<string>")
 
-def active_headings(headings: Column, offset: Column) -> Column:
-    """Headings above a position, by level: of each level the last before it
-    that no higher one has followed.  As a heading ends all deeper ones, these
-    are the headings that no later one of the same or a higher level undoes."""
-    def standing(before: Column) -> Column:
-        n = F.size(before)
-        kept = F.filter(before, lambda h, i: ~F.exists(F.slice(before, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda g: g["level"] <= h["level"]))
-        return F.array_sort(F.transform(kept, lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"), h["char_offset"].alias("char_offset"))))
 
-    return let(F.filter(headings, lambda h: h["char_offset"] <= offset), standing)
+@F.pandas_udf(ArrayType(StringType()))
+def _crumb(headings: pd.Series, offsets: pd.Series, ords: pd.Series) -> pd.Series:
+    return pd.Series([crumbs(None if h is None else list(h), [int(at)], n == 1)[0] for h, at, n in zip(headings, offsets, ords, strict=True)])
 
 
 def breadcrumbs(split: DataFrame) -> DataFrame:
-    """Adds ``breadcrumb`` (heading texts): of the piece's begin, or for the
-    first piece, if nothing is above it, of the file's first heading."""
-    here = active_headings(F.col("headings"), F.col("char_offset"))
-    first = active_headings(F.col("headings"), F.try_element_at("headings", F.lit(1))["char_offset"])
-    chosen = F.when((F.size(here) == 0) & (F.col("sub_ord") == 1) & (F.size("headings") > 0), first).otherwise(here)
-    return split.withColumn("breadcrumb", F.transform(chosen, lambda h: h["text"]))
+    """Adds ``breadcrumb`` to single pieces (headings, char_offset, sub_ord), as
+    ``split_files`` does to a file's."""
+    return split.withColumn("breadcrumb", _crumb("headings", "char_offset", "sub_ord"))

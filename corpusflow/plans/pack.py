@@ -85,7 +85,7 @@ def pack(files: DataFrame, options: PackOptions, ignore_file: str | None = None,
         marks = out.edges.where(F.col("target_chunk").isNotNull()).join(chunk_files.select(F.col("rel_path").alias("source_path"), "chunk_index", F.col("ord").alias("file")), "source_path")
         marks = marks.groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("file", "ord", "link_text", "target_chunk"))).alias("marks"))
         marked_up = out.bodies.join(marks, "chunk_index", "left")
-        out.bodies = marked_up.withColumn("body", F.when(F.col("marks").isNull(), F.col("body")).otherwise(links.annotate(F.col("body"), F.col("marks")))).drop("marks")
+        out.bodies = marked_up.withColumn("body", links.annotate(F.col("body"), F.col("marks"))).drop("marks")
     if o.show_tokens:
         out.tokens = tokens.token_counts(out.bodies.select("chunk_index", "name", F.col("body").alias("text")), o.token_encoding)
     return out

@@ -205,7 +205,7 @@ def split_pieces(spark, d):
 
 @query(f"{PIECES} SELECT rel_path, sub_ord, char_offset, CASE WHEN title <> '' AND (title_end <= char_offset OR sub_ord = 1) THEN title ELSE '' END AS breadcrumb FROM pieces JOIN titled USING (rel_path)")
 def heading_breadcrumbs(spark, d):
-    return split.breadcrumbs(split.split_files(_parsed(spark, d).select("rel_path", "text", "headings"), 100)).select("rel_path", "sub_ord", "char_offset", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
+    return split.split_files(_parsed(spark, d).select("rel_path", "text", "headings"), 100).select("rel_path", "sub_ord", "char_offset", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
 
 
 def _rendered(spark, d, **options) -> DataFrame:
@@ -334,6 +334,18 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(_hashes(spark, d), 3)
 
 
+@query(f"WITH {HASHES}, d AS (SELECT DISTINCT simhash AS h FROM signed) SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM d a JOIN d b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 16")
+def near_dup_pairs_16(spark, d):
+    """Distances at which no key rules anything out."""
+    return dedup.near_pairs(_hashes(spark, d), 16)
+
+
+@query(f"WITH {HASHES}, d AS (SELECT DISTINCT simhash AS h FROM signed) SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM d a JOIN d b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 8")
+def near_dup_pairs_8(spark, d):
+    """Distances at which hashes look for keys one bit away."""
+    return dedup.near_pairs(_hashes(spark, d), 8)
+
+
 @query(f"{_fuzzy('fuzzy')} SELECT rel_path, pos, removed FROM final")
 def fuzzy_dedup_blocks(spark, d):
     return dedup.deduplicate(_texts(spark, d), "fuzzy", delimiter="\n").select("rel_path", "pos", "removed")

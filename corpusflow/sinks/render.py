@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.split import breadcrumbs, split_files
+from ..operators.split import split_files
+from .files import write_files
 
 # Fixed values, here and below: names of JSON keys, of files and their headers, as readers of the chunks expect them.
 SCHEMA_VERSION = "v1"
@@ -22,9 +23,9 @@ def parts(chunk_files: DataFrame, docs: DataFrame, most: int, urls: DataFrame |
     """One row per file, or per piece of a file that has headings: what the
     writers need.  docs: (rel_path, text, headings); null headings: the file is
     written without context."""
-    pieces = breadcrumbs(split_files(docs.select("rel_path", "text", "headings"), most))
+    pieces = split_files(docs.select("rel_path", "text", "headings"), most)
     pieces = pieces.join(docs.select("rel_path", F.col("headings").isNotNull().alias("context")), "rel_path")
-    out = chunk_files.join(pieces.drop("headings", "char_offset"), "rel_path")
+    out = chunk_files.join(pieces.drop("char_offset"), "rel_path")
     if urls is not None:
         out = out.join(urls, "rel_path", "left")
     else:
@@ -106,28 +107,9 @@ def _with_headers(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def write(chunks: DataFrame, folder: str) -> DataFrame:
-    """Write (name, body) rows as files of ``folder``, each under a name of its
-    own attempt first; returns (name, bytes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        import pyarrow.fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        fs.create_dir(base, recursive=True)
-        for b in batches:
-            sizes = []
-            for name, body in zip(b.column("name").to_pylist(), b.column("body").to_pylist(), strict=True):
-                raw = body.encode("utf-8", "replace")
-                own = f"{base}/.{name}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(own) as f:
-                    f.write(raw)
-                fs.move(own, f"{base}/{name}")
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(sizes, pa.int64())], names=["name", "bytes"])
-
-    return chunks.select("name", "body").mapInArrow(run, "name string, bytes long")
+    """Write (name, body) rows as files of ``folder``, all or none; returns
+    (name, bytes)."""
+    return write_files(chunks, folder)
 
 
 def import_guide(totals: DataFrame, chunk_files: DataFrame, headings: DataFrame | None = None, preset: str = "notebooklm", form: str = "md") -> str:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..sinks.files import replace_file
 from ..tables import durable
 
 Fetch = Callable[[str], bytes | None]
@@ -148,9 +149,25 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def manifest_json(manifest: DataFrame, base_url: str, last_run: str | None = None) -> str:
-    """The manifest as JSON text: a driver-side file, a row per file of a site.
-    ``last_run`` is now, in UTC, unless it is given."""
+def _manifest_lines(manifest: DataFrame, base_url: str, last_run: str | None) -> Iterator[str]:
+    """The manifest as JSON, an entry at a time."""
     last_run = last_run if last_run is not None else datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
-    files = {r["key"]: {k: r[k] for k in ("url", "size_bytes", "etag", "last_modified", "local_path", "mtime")} for r in manifest.orderBy("key").toLocalIterator()}
-    return json.dumps({"base_url": base_url, "last_run": last_run, "files": files}, indent=2, ensure_ascii=False)
+    yield f'{{\n  "base_url": {json.dumps(base_url, ensure_ascii=False)},\n  "last_run": {json.dumps(last_run)},\n  "files": {{'
+    comma = ""
+    for r in manifest.orderBy("key").toLocalIterator():
+        entry = json.dumps({k: r[k] for k in ("url", "size_bytes", "etag", "last_modified", "local_path", "mtime")}, indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        yield f"{comma}\n    {json.dumps(r['key'], ensure_ascii=False)}: {entry}"
+        comma = ","
+    yield "\n  }\n}" if comma else "}\n}"
+
+
+def manifest_json(manifest: DataFrame, base_url: str, last_run: str | None = None) -> str:
+    """The manifest as JSON text.  ``last_run`` is now, in UTC, unless it is given."""
+    return "".join(_manifest_lines(manifest, base_url, last_run))
+
+
+def save_manifest(manifest: DataFrame, path: str, base_url: str = "", last_run: str | None = None) -> None:
+    """The manifest's file, an entry at a time, in place of the old one at once:
+    who reads meanwhile has one of both whole, and so has who comes after a
+    failure."""
+    replace_file(path, _manifest_lines(manifest, base_url, last_run))
