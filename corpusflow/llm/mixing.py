@@ -73,7 +73,7 @@ def sainte_lague(claims: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray
 
 
 def _order(seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size")]
+    return [F.xxhash64(F.lit(seed), "doc_id", "_print"), F.col("doc_id"), F.col("size")]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 29, rows_per_shard: int = 2_000, blocks_per_target: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -91,10 +91,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     The number of sources must fit the driver (one row each); shards follow
     the number of documents, so a source with a third of all rows has a third
-    of all shards.
+    of all shards.  Documents are dealt to shards by id and text, so one id, or
+    none, on a third of all rows is spread like any; texts are measured whole,
+    however long.  An empty table stays empty.  ``keep`` may not name a column
+    of the result.
     """
+    if taken := sorted({"doc_id", "source", "size", "source_size", "target", "taken", "first_taken"} & {*keep}):
+        raise ValueError(f"columns of the result: {', '.join(taken)}")
+    if inner := sorted({"text", "_print", "shard", "shards", "quota", "start", "stock", "words", "whole", "part", "from", "_s", "_k"} & {*keep}):
+        kept = {c: f"_keep{i}" for i, c in enumerate(keep)}
+        renamed = docs.select("doc_id", "source", "text", *(F.col(c).alias(kept[c]) for c in keep))
+        mixed = mix(renamed, weights, share, most, seed, rows_per_shard, blocks_per_target, tuple(kept.values()))
+        return mixed.withColumnsRenamed({v: k for k, v in kept.items()}) if inner else mixed
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = durable(docs.select("doc_id", "source", size.alias("size"), *keep), "mix-sizes")
+    slim = durable(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_print"), *keep), "mix-sizes")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     total = sum(r["size"] for r in per_source)
@@ -106,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     spark = docs.sparkSession
     sources = spark.createDataFrame(plan, "source string, source_size long, target double, quota long, shards int")
     rows = slim.join(sources.withColumnRenamed("source", "_source"), slim["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards").cast("long")))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "_print"), F.col("shards").cast("long")))
     stock = rows.groupBy("source", "shard").agg(F.sum("size").alias("stock"), F.first("quota").alias("quota"))
 
     def deal(shards: pd.DataFrame) -> pd.DataFrame:

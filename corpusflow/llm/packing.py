@@ -254,7 +254,7 @@ def pack(sized: DataFrame, capacity: int = 2048, schemes=SCHEMES, rows_per_salt:
     width = max(hist.values(), default=0) + 1
     keys = runs[:, 0] * width + runs[:, 1]
     salts = max(64, max(hist.values(), default=0) // rows_per_salt)
-    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *(c for c in ("ids_crc32",) if c in sized.columns)), F.lit(salts)).cast("int"))
     base = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     base = base.select("length", "_salt", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     own = W.partitionBy("length", "_salt").orderBy("doc_id", "piece")

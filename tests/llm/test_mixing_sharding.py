@@ -55,6 +55,25 @@ def test_mix(rough, none):
     assert mix(none).count() == 0
 
 
+def test_a_hot_id_is_spread(spark):
+    """A third of the rows with one id, a third with none: no shard has much
+    more than another."""
+    rows = [((i, 7, None)[i % 3], f"text {i} " * (1 + i % 5), "a") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs, rows_per_shard=100)
+    assert sum(r.taken for r in got.collect()) == pytest.approx(sum(len(t.split()) for _, t, _ in rows), rel=0.01)
+    shards = docs.select(F.pmod(F.xxhash64(F.lit(30), "doc_id", F.xxhash64("text")), F.lit(60)).alias("s")).groupBy("s").count().toPandas()["count"]
+    assert len(shards) == 60 and shards.max() <= 2 * shards.median()
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(i, f"w {i}", "a", i, "k") for i in range(30)], "doc_id long, text string, source string, start long, shard string")
+    got = mix(docs, keep=("start", "shard"))
+    assert got.columns[-2:] == ["start", "shard"] and sorted(r.start for r in got.collect()) == list(range(30))
+    with pytest.raises(ValueError, match="taken"):
+        mix(docs.withColumn("taken", F.lit(1)), keep=("taken",))
+
+
 def test_capped_source_reaches_its_target(spark):
     rows = [(i, "w " * 7, "a") for i in range(60)] + [(100 + i, "w " * 50, "b") for i in range(60)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_shard=2, blocks_per_target=100).where("source = 'a'").collect()
@@ -152,7 +171,7 @@ def test_words_taken_are_the_mix_word_by_word(spark):
     rows = [(i, "w " * r.choice([0, 1, 3, 9, 30, r.randint(0, 60)]), r.choice(["a", "b", "c", None, "d"])) for i in range(160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {x.doc_id: x.taken for x in mix(docs, rows_per_shard=9, blocks_per_target=40).collect()}
-    hashed = {x.doc_id: (x.s, (x.o, x.doc_id)) for x in docs.select("doc_id", F.xxhash64(F.lit(30), "doc_id").alias("s"), F.xxhash64(F.lit(29), "doc_id").alias("o")).collect()}
+    hashed = {x.doc_id: (x.s, (x.o, x.doc_id)) for x in docs.select("doc_id", F.xxhash64(F.lit(30), "doc_id", F.xxhash64("text")).alias("s"), F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")).alias("o")).collect()}
 
     def seed(source, shard):
         at = spark.createDataFrame([(source, shard)], "source string, shard long")
