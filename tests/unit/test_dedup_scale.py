@@ -82,17 +82,17 @@ def rounds_of(spark, monkeypatch, edges, n, few):
 
 def test_a_chain_is_not_as_many_rounds(spark, monkeypatch):
     """A chain far above the limit of a task, with links that skip one node."""
-    n = 3000
+    n = 400
     edges = [(i, i + 1) for i in range(n - 1)] + [(i, i + 2) for i in range(0, n - 2, 3)]
-    got, rounds = rounds_of(spark, monkeypatch, edges, n, 1500)
+    got, rounds = rounds_of(spark, monkeypatch, edges, n, 250)
     assert got == greedy(edges, n) and rounds <= 8
 
 
 def test_small_components_take_no_rounds(spark, monkeypatch):
     r = random.Random(2)
-    edges = [tuple(sorted(r.sample(range(20 * c, 20 * c + 20), 2))) for c in range(60) for _ in range(25)]
-    got, rounds = rounds_of(spark, monkeypatch, edges, 1200, 200)
-    assert got == greedy(edges, 1200) and rounds == 0
+    edges = [tuple(sorted(r.sample(range(20 * c, 20 * c + 20), 2))) for c in range(20) for _ in range(25)]
+    got, rounds = rounds_of(spark, monkeypatch, edges, 400, 200)
+    assert got == greedy(edges, 400) and rounds == 0
 
 
 def test_giants_and_small_ones(spark, monkeypatch):
@@ -119,6 +119,16 @@ def test_settled_by_parts(seed):
     assert {b for b in later if not known[b]} == greedy(edges, 60) and later <= set(known)
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """A chain in the order of its numbers, whose links shrink to a fraction a round."""
+    from corpusflow.operators import graph
+
+    names, kept = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: (names.append(name), kept(df, name))[1])
+    got = {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(5, 700)], "a long, b long")).collect()}
+    assert got == {i: 5 for i in range(5, 701)} and names.count("firsts") <= 7
+
+
 def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (7, 7)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 90, 90: 90}
