@@ -16,9 +16,11 @@ from .functions import text as T
 from .functions.html import parse_pages
 from .operators import dedup, delta, filters, folds, links, report, score, split, tokens
 from .options import PackOptions
+from .plans.crawl import crawl as crawled
 from .plans.pack import document_table, pack
 from .sources import crawl, discovery, spa
 from .sources.adapters import documents_as_files, pages_as_files
+from .sources.fetch import from_table
 from .tables import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,6 +593,23 @@ def crawl_frontier(spark, d):
     return crawl.next_frontier(p, p, 3)
 
 
+#: The pages that link to each other as one site, and every URL that its anchors name.
+SITE_PAGES = f"""WITH RECURSIVE own AS (SELECT page_id, html, 'http://mirror.example/'||{_DIR}||CASE WHEN page_id % 10 = 0 THEN '/' ELSE '.html' END AS url FROM pages),
+reach AS (SELECT page_id, 0 AS depth FROM own WHERE page_id NOT IN (SELECT 3 * page_id + 1 FROM own) UNION ALL SELECT o.page_id, r.depth + 1 FROM reach r JOIN own o ON o.page_id = 3 * r.page_id + 1),
+named AS (SELECT 'http://mirror.example'||split_part(unnest(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)), '#', 1) AS url, depth + 1 AS depth FROM own JOIN reach USING (page_id)
+  UNION ALL SELECT 'http://mirror.example/where.html', depth + 1 FROM reach WHERE 3 * page_id + 1 NOT IN (SELECT page_id FROM own)),
+every AS (SELECT url, depth, 200 AS status FROM own JOIN reach USING (page_id) UNION ALL SELECT url, depth, 404 FROM named WHERE url NOT IN (SELECT url FROM own))"""
+
+
+@query(f"{SITE_PAGES} SELECT url, min(depth)::INT AS depth, status FROM every GROUP BY 1, 3")
+def crawl_closure(spark, d):
+    """A crawl of the pages as a site of one host, from the pages that no other
+    names; the fetcher reads the table."""
+    site = _linked(spark, d).select(F.concat(F.lit("http://mirror.example/"), F.regexp_replace("rel_path", "index.html$", "")).alias("url"), F.col("content").alias("body"), F.col("mtime").alias("page_id"))
+    seeds = site.join(site.select((3 * F.col("page_id") + 1).alias("page_id")), "page_id", "left_anti")
+    return crawled(seeds.select("url"), from_table(site)).select("url", "depth", "status")
+
+
 @query(f"SELECT count(*)::BIGINT AS files, sum(octet_length(encode(text)) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS bytes FROM documents WHERE doc_id % 13 <> 0")
 def manifest_totals(spark, d):
     return report.manifest_totals(delta.merge(*_manifests(spark, d)))
