@@ -95,14 +95,16 @@ def run(a: argparse.Namespace, spark=None) -> int:
         with open(a.ignore_file, encoding="utf-8") as f:
             ignore = f.read()
     spark = spark or SparkSession.builder.getOrCreate()
+    fetched = False
     if "://" in a.tree and a.tree.split("://")[0] in ("http", "https") and a.command != "pack":
         fetch_site(a, spark)
         if a.command == "download":
             return 0
-        a.base_url, a.tree, a.output = a.tree, a.output, a.chunks_dir or os.path.join(a.output, "chunks")
-        o = O.load_options(config, a.command, **own | {"ignore": [*(a.ignore or ()), "/chunks/", "/.*"]})
+        a.base_url, a.tree, a.output, fetched = "", a.output, a.chunks_dir or os.path.join(a.output, "chunks"), True
         os.makedirs(a.output, exist_ok=True)
-    files = read_tree(spark, a.tree)
+    files = read_tree(spark, os.path.abspath(a.tree) if "://" not in a.tree else a.tree)
+    if fetched:  # neither the pages' table nor the chunks of the last run are the site's
+        files = files.where(~F.startswith("rel_path", F.lit(".")) & ~F.startswith("rel_path", F.lit(os.path.relpath(a.output, a.tree) + "/")))
     manifest = load_manifest(spark, a.manifest) if a.manifest and os.path.exists(a.manifest) else None
     if a.command == "sync":
         done = sync(files, o, manifest, a.base_url)
@@ -124,7 +126,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
     if packed.scores is not None:
         side["llm-readiness.json"] = render.readiness_json(packed.scores)
     if packed.adjacency is not None:
-        side["cross_refs.json"] = render.cross_refs_json(packed.adjacency, packed.edges.where(F.col("target_chunk").isNull()))
+        replace_file(os.path.join(os.path.abspath(a.output), "cross_refs.json"), render.cross_refs_lines(packed.edges))
     if packed.diff is not None:
         side["delta_manifest.json"] = render.delta_json(packed.diff, packed.chunk_files, prefix=packed.options.prefix)
     if packed.options.show_tokens:

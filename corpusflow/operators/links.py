@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 try:
     import ahocorasick
@@ -66,6 +70,55 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.select("chunk_id", F.coalesce("references_to", empty).alias("references_to"), F.coalesce("referenced_by", empty).alias("referenced_by"), F.coalesce("links", F.array().cast(dict(mine.dtypes)["links"])).alias("links"))
 
 
+#: Entries of a block of a chunk's adjacency.
+BLOCK = 10_000
+
+
+def adjacency_blocks(edges: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(kind, chunk_id, block, entries): the adjacency in blocks of at most
+    ``most`` entries, which follow each other by ``block``.  kind: to (chunks
+    that the chunk references, as other), by (chunks that reference it) and link
+    (its resolved links); entries are (source_path, ord, other, target_path,
+    anchor, link_text), the latter three of links alone, in order of first naming.
+
+    Rows are dealt by ranges of (kind, chunk, order), so a chunk that is named
+    from everywhere is many blocks of several tasks, and no array holds it whole."""
+    e = edges.where(F.col("target_chunk").isNotNull())
+    none = F.lit(None).cast("string")
+
+    def pairs(kind: str, of: str, other: str) -> DataFrame:
+        first = e.groupBy(F.col(of).alias("chunk_id"), F.col(other).alias("other")).agg(F.min(F.struct("source_path", "ord")).alias("at"))
+        return first.select(F.lit(kind).alias("kind"), "chunk_id", "at.source_path", "at.ord", "other", *(none.alias(c) for c in ("target_path", "anchor", "link_text")))
+
+    own = e.select(F.lit("link").alias("kind"), F.col("source_chunk").alias("chunk_id"), "source_path", "ord", F.col("target_chunk").alias("other"), "target_path", "anchor", "link_text")
+    rows = pairs("to", "source_chunk", "target_chunk").unionByName(pairs("by", "target_chunk", "source_chunk")).unionByName(own)
+    order = ("kind", "chunk_id", "source_path", "ord", "other")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    entry = StructType([StructField(c, kinds[c]) for c in ("source_path", "ord", "other", "target_path", "anchor", "link_text")])
+    out = StructType([StructField("kind", StringType()), StructField("chunk_id", kinds["chunk_id"]), StructField("block", LongType()), StructField("entries", ArrayType(entry))])
+    arrow = to_arrow_schema(out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n = TaskContext.get().partitionId() << 32, 0
+        key, held = None, []
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"kind": key[0], "chunk_id": key[1], "block": first + n, "entries": held}], schema=arrow)
+
+        for b in batches:
+            for r in b.to_pylist():
+                here = (r.pop("kind"), r.pop("chunk_id"))
+                if held and (here != key or len(held) >= most):
+                    yield block()
+                    held, n = [], n + 1
+                key = here
+                held.append(r)
+        if held:
+            yield block()
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, out)
+
+
 def first_places(text: str, wanted: list[str]) -> dict[str, int]:
     """Where each of the texts first stands, of those that do: one pass of an
     Aho-Corasick automaton over all of them, or one search each without it."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import links
 from ..operators.split import split_files
 from .files import write_files
 
@@ -141,6 +142,54 @@ def readiness_json(scores: DataFrame) -> str:
     return json.dumps({"summary": {"total_chunks": len(rows), "avg_score": round(mean, 3), "grades": grades}, "chunks": chunks}, indent=2)
 
 
+def cross_refs_lines(edges: DataFrame, most: int = links.BLOCK) -> Iterator[str]:
+    """cross_refs.json of edges (as ``links.resolve`` gives them), a block of a
+    chunk's adjacency at a time: what is held at once is one block."""
+    blocks = links.adjacency_blocks(edges, most)
+    kinds = (("to", "references_to"), ("by", "referenced_by"), ("link", "links"))
+    rank = F.create_map(*(x for i, (k, _) in enumerate(kinds) for x in (F.lit(k), F.lit(i))))[F.col("kind")]
+    at, kind, more = None, None, False
+    yield "{"
+
+    def upto(name: str | None) -> Iterator[str]:
+        """Close the open list, and give those up to ``name`` that have no entry."""
+        nonlocal kind
+        names = [n for _, n in kinds]
+        if kind is not None:
+            yield "\n    ]" if more else "]"
+        for n in names[names.index(kind) + 1 if kind else 0 : names.index(name) + 1 if name else None]:
+            yield f"{',' if n != names[0] else ''}\n    {json.dumps(n)}: ["
+            if n != name:
+                yield "]"
+        kind = name
+
+    for r in blocks.withColumn("_rank", rank).orderBy("chunk_id", "_rank", "block").toLocalIterator():
+        if r["chunk_id"] != at:
+            if at is not None:
+                yield from upto(None)
+                yield "\n  },"
+            at = r["chunk_id"]
+            yield f"\n  {json.dumps(at, ensure_ascii=False)}: {{"
+        name = dict(kinds)[r["kind"]]
+        if name != kind:
+            yield from upto(name)
+            more = False
+        for x in r["entries"]:
+            made = x["other"] if name != "links" else {"source_file": x["source_path"], "target_file": x["target_path"], "target_chunk": x["other"], "anchor": x["anchor"], "link_text": x["link_text"]}
+            yield ("," if more else "") + "\n      " + json.dumps(made, indent=2, ensure_ascii=False).replace("\n", "\n      ")
+            more = True
+    if at is not None:
+        yield from upto(None)
+        yield "\n  },"
+    yield '\n  "unresolved": ['
+    comma = ""
+    for r in links.unresolved(edges).orderBy("source_path", "ord").toLocalIterator():
+        made = {"source_file": r["source_path"], "target_file": r["target_path"], "anchor": r["anchor"], "link_text": r["link_text"]}
+        yield f"{comma}\n    " + json.dumps(made, indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        comma = ","
+    yield "\n  ]\n}" if comma else "]\n}"
+
+
 def cross_refs_json(adjacency: DataFrame, unresolved: DataFrame) -> str:
     out: dict = {}
     for r in adjacency.orderBy("chunk_id").toLocalIterator():

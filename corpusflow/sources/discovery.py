@@ -99,17 +99,22 @@ def child_in_scope(child: Column, base: Column) -> Column:
 def walk_sitemaps(maps: DataFrame, start: str, base: str, depth: int = MAX_DEPTH) -> DataFrame:
     """maps: (url, body), the sitemaps at hand.  All page URLs below ``start``
     that sit in urlsets, following indexes at most ``depth`` deep, each map
-    once.  Maps are parsed once; a broken one ends its own branch alone."""
+    once.  Maps are parsed once; a broken one ends its own branch alone.  Each
+    level's frontier is a table, so the plan does not grow with the depth."""
     spark = maps.sparkSession
     read = durable(maps.select("url", sitemap("body").alias("m")).where(F.col("m.root").isNotNull()), "sitemaps")
-    frontier = spark.createDataFrame([(start,)], "url string")
-    seen, pages = frontier, None
+    frontier = seen = spark.createDataFrame([(start,)], "url string")
+    pages = None
     for level in range(depth + 1):
         here = frontier.join(read, "url")
         found = here.where(F.col("m.root") == "urlset").select(F.lit(level).alias("level"), F.col("url").alias("map"), F.posexplode("m.locs").alias("at", "url"))
         pages = found if pages is None else pages.unionByName(found)
+        if level == depth:
+            break
         children = here.where(F.col("m.root") == "sitemapindex").select(F.explode("m.locs").alias("url")).distinct()
-        frontier = children.where(child_in_scope(F.col("url"), F.lit(base))).join(seen, "url", "left_anti")
+        frontier = durable(children.where(child_in_scope(F.col("url"), F.lit(base))).join(seen, "url", "left_anti"), "sitemap-frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return pages.groupBy("url").agg(F.min(F.struct("level", "map", "at")).alias("ord"))
 
