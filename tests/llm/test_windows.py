@@ -29,7 +29,8 @@ def test_quantile_follows_its_rank(seed):
             assert q.value() == (held[-(-num * len(held) // den) - 1] if held else None)
         assert q.low.total + q.high.total == len(held)
         for h in (q.low, q.high):
-            assert len(h.order) == len(h.counts) <= 2 * max(33, sum(c > 0 for c in h.counts.values())) + 2
+            assert h.dead == sum(c == 0 for c in h.counts.values()) and len(h.order) == len(h.counts)
+            assert h.dead <= 65 or 2 * h.dead <= len(h.order) + 1  # tombstones do not pile up
 
 
 def test_event_time(spark):
