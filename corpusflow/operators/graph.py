@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import durable
+from ..tables import Scope, durable
 
 
 def components(links: DataFrame, seed: int = 3) -> DataFrame:
@@ -18,8 +18,13 @@ def components(links: DataFrame, seed: int = 3) -> DataFrame:
     between the pointers and those within one are dropped.  In such an order
     only every third node of a chain is first among its neighbours, so links
     shrink to a fraction in each round, of a chain in the order of its numbers
-    too, and stars vanish at once.  The links of a round are written to the
-    shared folder."""
+    too, and stars vanish at once.  The tables of a
+    round go once the next one's are there."""
+    with Scope(links.sparkSession) as own:
+        return _contracted(links, seed, own)
+
+
+def _contracted(links: DataFrame, seed: int, own: Scope) -> DataFrame:
     both = links.where(F.col("a") != F.col("b")).select("a", "b")
     open_ = durable(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     known = None
@@ -42,7 +47,10 @@ def components(links: DataFrame, seed: int = 3) -> DataFrame:
         pa_, pb = up.select(F.col("v").alias("a"), F.col("p").alias("x")), up.select(F.col("v").alias("b"), F.col("p").alias("y"))
         drawn = open_.join(pa_, "a").join(pb, "b").where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
         open_ = durable(drawn.distinct(), "links")
+        own.clear(open_, known)
     if known is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     least = known.groupBy("component").agg(F.min("node").alias("least"))
-    return durable(known.join(least, "component").select("node", F.col("least").alias("component")), "components")
+    out = durable(known.join(least, "component").select("node", F.col("least").alias("component")), "components")
+    own.clear(out)
+    return out
