@@ -83,6 +83,7 @@ def run(a: argparse.Namespace, spark=None) -> int:
     from .sinks.files import replace_file
     from .sources.discovery import load_manifest, save_manifest
     from .sources.doctree import read_tree
+    from .tables import durable
 
     config = None
     if a.config:
@@ -105,7 +106,9 @@ def run(a: argparse.Namespace, spark=None) -> int:
     files = read_tree(spark, os.path.abspath(a.tree) if "://" not in a.tree else a.tree)
     if fetched:  # neither the pages' table nor the chunks of the last run are the site's
         files = files.where(~F.startswith("rel_path", F.lit(".")) & ~F.startswith("rel_path", F.lit(os.path.relpath(a.output, a.tree) + "/")))
-    manifest = load_manifest(spark, a.manifest) if a.manifest and os.path.exists(a.manifest) else None
+    manifest = None
+    if a.manifest and os.path.exists(a.manifest):  # a table: the file is replaced before the changes are told
+        manifest = durable(load_manifest(spark, os.path.abspath(a.manifest)), "manifest-before")
     if a.command == "sync":
         done = sync(files, o, manifest, a.base_url)
         packed = done.packed
@@ -148,7 +151,7 @@ def fetch_site(a: argparse.Namespace, spark) -> None:
     from pyspark.sql import functions as F
 
     from .plans.crawl import CrawlOptions
-    from .plans.download import download
+    from .plans.download import as_files, download
     from .sinks.files import write_files
     from .sources.fetch import by_host, http_get
 
@@ -164,7 +167,8 @@ def fetch_site(a: argparse.Namespace, spark) -> None:
     previous = spark.read.parquet(table) if os.path.exists(os.path.join(table, "_SUCCESS")) else None
     options = CrawlOptions(depth=a.depth, include=tuple(x.strip() for x in a.include_extensions.split(",") if x.strip()))
     got = download(spark, a.tree, named(a.fetcher) or by_host(http_get, delay=a.delay / 1000), options=options, previous=previous, render=named(a.renderer), scope_depth=a.depth, log=LOG.info)
-    write_files(got.files.select(F.col("rel_path").alias("name"), F.col("content").alias("body")), folder)
+    fresh_files = as_files(got.pages.where(~F.col("unchanged")))  # others keep their time
+    write_files(fresh_files.select(F.col("rel_path").alias("name"), F.col("content").alias("body")), folder)
     fresh = os.path.join(folder, f".pages-{uuid.uuid4().hex}")
     got.pages.where(F.col("body").isNotNull()).select("url", "etag", "last_modified", "body").write.parquet(fresh)
     if os.path.exists(table):
