@@ -3,6 +3,7 @@
 A fetcher is a function of DataFrames: from (url, etag, last_modified), the
 validators of what is already there, to ``FETCHED``.  ``by_host`` makes one of
 a function for one URL, ``from_table`` of a table that has the pages already.
+One with ``asks_hosts`` false visits no host: a crawl has nobody to spare.
 """
 
 from __future__ import annotations
@@ -111,4 +112,5 @@ def from_table(pages: DataFrame) -> Fetcher:
         status = F.when(F.col("_p").isNull(), 404).when(same, 304).otherwise(200)
         return j.select("url", status.cast("int").alias("status"), F.col("_p.etag").alias("etag"), F.col("_p.last_modified").alias("last_modified"), F.when(status == 200, F.col("_p.body")).alias("body"), F.lit(None).cast("string").alias("error"))
 
+    fetch.asks_hosts = False
     return fetch

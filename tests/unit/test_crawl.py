@@ -66,6 +66,14 @@ def test_crawl_is_a_search_by_steps(spark, depth, per_host):
     assert where[f"{S}/"] == "s.example/index.html" and where.get(f"{S}/a/c", "s.example/a/c.html") == "s.example/a/c.html"
 
 
+def test_a_table_gives_a_step_a_round(spark, tmp_path):
+    """No host is visited, so a step is not cut into rounds of a host's URLs."""
+    pages = {f"{S}/": "".join(f'<a href="/p{i}.html">p</a>' for i in range(50)), **{f"{S}/p{i}.html": "" for i in range(50)}}
+    base = str(tmp_path / "crawl")
+    got = crawl(seeds(spark, f"{S}/"), from_table(table(spark, pages)), base, CrawlOptions(per_host=3))
+    assert told(got) == plain(pages, [f"{S}/"]) and Rounds(spark, base).done() == 2
+
+
 def test_a_list_is_not_followed(spark):
     got = crawl(seeds(spark, f"{S}/", f"{S}/nowhere"), from_table(table(spark)), options=CrawlOptions(follow=False))
     assert told(got) == {f"{S}/": (0, 200), f"{S}/nowhere": (0, 404)}
