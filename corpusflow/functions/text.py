@@ -22,18 +22,30 @@ BINARY_EXTENSIONS = (
 )
 
 
+def squeezed(text: Column) -> Column:
+    """White space runs to one blank, trimmed."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+
+
+def squeezed_words(text: Column) -> Column:
+    """Words of a squeezed text, by the blanks between them; null: 0."""
+    n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + (text != "").cast("int")
+    return F.coalesce(n, F.lit(0)).cast("long")
+
+
 def word_count(text: Column) -> Column:
-    """Words of the text; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+    """Words of the text; null: 0.  The blanks are counted, as a negated class
+    that matches nearly every character costs Java seven times as much."""
+    return squeezed_words(squeezed(text))
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_extract(text, f"(?s)[^{SPACE}](?:.*[^{SPACE}])?", 0)
 
 
 def normalised(text: Column) -> Column:
     """Lower case, white space runs to one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "))
+    return squeezed(F.lower(text))
 
 
 def blocks(text: Column, delimiter: str = "\n\n") -> Column:
