@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import _fs, durable, fresh_path, grouped, holds, read_table, small_batches, turn_to
+from .common import _fs, durable, fresh_path, grouped, holds, read_table, release, small_batches, turn_to
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are terms of their own.
@@ -344,9 +344,12 @@ def _write_vocabulary(sampled: DataFrame) -> str:
     """The distinct hashes of the sample's terms, as a table; its place."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         terms = Terms()
         for texts, _ in grouped(batches, GROUP):
             yield pa.RecordBatch.from_arrays([pa.array(terms.hashes(texts).view("int64"))], names=["h"])
+        del terms
+        release()
 
     uri = fresh_path(sampled.sparkSession, "toxicity-vocabulary")
     sampled.select("text").mapInArrow(explode, "h long").distinct().write.parquet(uri)
@@ -367,6 +370,8 @@ def _write_frequencies(docs: DataFrame, vocabulary: str) -> str:
         for texts, _ in grouped(batches, GROUP):
             n += len(texts)
             np.add.at(seen, terms.counts(texts)[1], 1)
+        del terms  # the worker may wait beside others until it gets another task
+        release()
         cut = np.array_split(seen, SLICES)
         group = TaskContext.get().partitionId() // FAN
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["slice", "group", "n", "counts"])
@@ -405,6 +410,7 @@ def _write_scorer(sampled: DataFrame, vocabulary: str, frequencies: str, k: int,
     base = fresh_path(sampled.sparkSession, "toxicity-index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         terms, got = Terms(_vocabulary(vocabulary)), []
         for texts, b in grouped(batches, GROUP):
             start, ids, tfs = terms.counts(texts)
@@ -414,7 +420,9 @@ def _write_scorer(sampled: DataFrame, vocabulary: str, frequencies: str, k: int,
             return
         got.sort(key=lambda r: r[0])
         start, ids, tfs = np.r_[0, np.cumsum([len(r[2]) for r in got])], np.concatenate([r[2] for r in got]), np.concatenate([r[3] for r in got])
-        made = fit((start, ids, tfs), np.array([r[1] for r in got]), np.array([r[0] for r in got], "int64"), _idf(vocabulary, frequencies), k, ratio)
+        label, doc_id = np.array([r[1] for r in got]), np.array([r[0] for r in got], "int64")
+        got.clear()
+        made = fit((start, ids, tfs), label, doc_id, _idf(vocabulary, frequencies), k, ratio)
         fs, path = _fs(f"{base}/{uuid.uuid4().hex}.arrow")
         fs.create_dir(path.rsplit("/", 1)[0])
         arrays = [*[(n, getattr(made.index, n)) for n in _ARRAYS], ("votes", made.votes), ("share", made.share)]
@@ -423,6 +431,8 @@ def _write_scorer(sampled: DataFrame, vocabulary: str, frequencies: str, k: int,
                 batch = pa.record_batch([pa.array(x)], names=["x"])
                 with ipc.new_stream(out, batch.schema) as file:
                     file.write_batch(batch)
+        del made, arrays, x, batch, start, ids, tfs, terms
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
     done = durable(sampled.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, "path string"), "toxicity-model")
@@ -480,5 +490,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 30, most_toxic:
                 shown = [[{"doc_id": int(index.doc_id[e]), "cosine": float(c), "toxic": int(index.label[e])} for e, c in zip(f, x, strict=True) if c > 0] for f, x in zip(found.tolist(), cos.tolist(), strict=True)]
                 s, near = s[own], pa.array([shown[i] for i in own.tolist()], kind)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(s, pa.float64()), near], names=[*columns, "score", "evidence"])
+        _load.cache_clear()
+        _vocabulary.cache_clear()
+        scorer = terms = index = None
+        release()
 
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(score, schema)
