@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 _ITEM = re.compile(r"\s*(?:[-*+]|\d+\.)\s")
 FENCE = "```"
+#: Files whose pieces a task holds at once.
+SLICE = 128
 
 
 def _kind(paragraph: str) -> str:
@@ -101,7 +103,8 @@ def split_files(docs: DataFrame, most: int) -> DataFrame:
     cut.  A file's headings are walked once, along with its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, lo in ((b, lo) for b in batches for lo in range(0, len(b), SLICE)):
+            b = whole.slice(lo, SLICE)
             row, ord_, total, text, offset, crumb = [], [], [], [], [], []
             for i, (t, h) in enumerate(zip(b.column("text").to_pylist(), b.column("headings").to_pylist(), strict=True)):
                 found = pieces(t, most if h else 0)

@@ -77,15 +77,13 @@ def pack(files: DataFrame, options: PackOptions, ignore_file: str | None = None,
         out.edges = links.resolve(links.links(docs), links.file_to_chunk(chunk_files, o.prefix))
         out.adjacency = links.adjacency(out.edges)
     context = o.context_header or (o.score and o.legacy_headers)
-    shown = docs if context else docs.withColumn("headings", F.lit(None).cast(dict(docs.dtypes)["headings"]))
     urls = delta.url_map(docs, manifest) if manifest is not None else None
-    out.parts = render.parts(chunk_files, shown, o.max_words_per_chunk, urls, out.scores)
-    out.bodies = render.bodies(out.parts, o.format, o.with_index, o.header_tag, o.prefix)
+    out.parts = render.parts(chunk_files, docs, o.max_words_per_chunk, urls, out.scores, context)
+    out.bodies = render.bodies(out.parts, o.format, o.with_index, o.header_tag, o.prefix, context=context)
     if out.edges is not None:
         marks = out.edges.where(F.col("target_chunk").isNotNull()).join(chunk_files.select(F.col("rel_path").alias("source_path"), "chunk_index", F.col("ord").alias("file")), "source_path")
         marks = marks.groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("file", "ord", "link_text", "target_chunk"))).alias("marks"))
-        marked_up = out.bodies.join(marks, "chunk_index", "left")
-        out.bodies = marked_up.withColumn("body", links.annotate(F.col("body"), F.col("marks"))).drop("marks")
+        out.bodies = links.annotate_chunks(out.bodies.join(marks, "chunk_index", "left"))
     if o.show_tokens:
         out.tokens = tokens.token_counts(out.bodies.select("chunk_index", "name", F.col("body").alias("text")), o.token_encoding)
     return out

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators import links
@@ -20,13 +21,18 @@ SCHEMA_VERSION = "v1"
 RULE = "=" * 60
 
 
-def parts(chunk_files: DataFrame, docs: DataFrame, most: int, urls: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+def parts(chunk_files: DataFrame, docs: DataFrame, most: int, urls: DataFrame | None = None, scores: DataFrame | None = None, context: bool = True) -> DataFrame:
     """One row per file, or per piece of a file that has headings: what the
     writers need.  docs: (rel_path, text, headings); null headings: the file is
-    written without context."""
-    pieces = split_files(docs.select("rel_path", "text", "headings"), most)
-    pieces = pieces.join(docs.select("rel_path", F.col("headings").isNotNull().alias("context")), "rel_path")
-    out = chunk_files.join(pieces.drop("char_offset"), "rel_path")
+    written without context.  Without ``context`` that is so for every file:
+    none is cut, and no text passes through Python."""
+    if context:
+        pieces = split_files(docs.select("rel_path", "text", "headings"), most).drop("char_offset")
+        pieces = pieces.join(docs.select("rel_path", F.col("headings").isNotNull().alias("context")), "rel_path")
+    else:
+        one, text = F.lit(1), F.coalesce("text", F.lit(""))
+        pieces = docs.select("rel_path", one.alias("sub_ord"), one.alias("sub_total"), text.alias("text"), F.array().cast("array<string>").alias("breadcrumb"), F.lit(False).alias("context"))
+    out = chunk_files.join(pieces, "rel_path")
     if urls is not None:
         out = out.join(urls, "rel_path", "left")
     else:
@@ -75,17 +81,16 @@ def _index(form: str, total: int) -> Column:
     return F.concat(F.lit("Chunk "), n, F.lit(f" of {total:02d}\nFiles in this chunk "), held, listed, F.lit(f"\n{RULE}\n\n"))
 
 
-def bodies(rows: DataFrame, form: str = "md", with_index: bool = True, tag: str = "context-v1", prefix: str = "docs_chunk_", total: int | None = None) -> DataFrame:
-    """(chunk_index, name, body) of every chunk file.  A chunk is bounded by its
-    words, so its parts fit one row."""
+def bodies(rows: DataFrame, form: str = "md", with_index: bool = True, tag: str = "context-v1", prefix: str = "docs_chunk_", total: int | None = None, context: bool = True) -> DataFrame:
+    """(chunk_index, name, body) of every chunk file; ``context`` as for
+    ``parts``.  A chunk is bounded by its words, so its parts fit one row."""
     if form == "jsonl":
         lines = jsonl(rows).groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("ord", "sub_ord", "line"))).alias("x"))
         out = lines.select("chunk_index", F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n")).alias("body"))
     else:
-        headed = _with_headers(rows, tag)
         source = F.concat(F.lit("<!-- SOURCE: "), "rel_path", F.lit(" -->\n\n")) if form == "md" else F.concat(F.lit("=== SOURCE: "), "rel_path", F.lit(" ===\n\n"))
-        text = F.concat(F.when(F.col("context"), F.col("header")).otherwise(source), "text")
-        chunk = headed.select("chunk_index", F.struct("ord", "sub_ord", text.alias("text")).alias("part"), F.when(F.col("sub_ord") == 1, F.struct("ord", "rel_path", "word_count")).alias("file"))
+        text = F.concat(F.when(F.col("context"), _header(tag)).otherwise(source) if context else source, "text")
+        chunk = rows.select("chunk_index", F.struct("ord", "sub_ord", text.alias("text")).alias("part"), F.when(F.col("sub_ord") == 1, F.struct("ord", "rel_path", "word_count")).alias("file"))
         chunk = chunk.groupBy("chunk_index").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.array_sort(F.collect_list("file")).alias("files"), F.sum("file.word_count").alias("total_words"))
         body = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
         n = total if total is not None else chunk.count()
@@ -93,18 +98,14 @@ def bodies(rows: DataFrame, form: str = "md", with_index: bool = True, tag: str
     return out.select("chunk_index", F.concat(T.chunk_id(F.col("chunk_index"), prefix), F.lit(f".{form}")).alias("name"), "body")
 
 
-def _with_headers(rows: DataFrame, tag: str) -> DataFrame:
-    columns = ["rel_path", "url", "sub_ord", "sub_total", "words", "breadcrumb", "readiness"]
-    keep = list(rows.columns)
-    types = dict(rows.dtypes)
+def _header(tag: str) -> Column:
+    """``context_header`` of each part; its text stays out of Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [b.column(c).to_pylist() for c in columns]
-            made = [context_header(dict(zip(columns, r, strict=True)), tag) for r in zip(*own, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(made, pa.string())], names=[*keep, "header"])
+    @F.arrow_udf(StringType())
+    def made(rows: pa.Array) -> pa.Array:
+        return pa.array([context_header(r, tag) for r in rows.to_pylist()], pa.string())
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", header string")
+    return made(F.struct("rel_path", "url", "sub_ord", "sub_total", "words", "breadcrumb", "readiness"))
 
 
 def write(chunks: DataFrame, folder: str) -> DataFrame:
