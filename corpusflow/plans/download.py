@@ -65,8 +65,8 @@ def _mapped(spark: SparkSession, file: str, url: str, fetch: Fetcher) -> DataFra
     maps = durable(_bodies(spark, fetch, [file]), "sitemaps")
     seen = maps
     for _ in range(discovery.MAX_DEPTH):
-        read = maps.select(discovery.sitemap("body").alias("m")).where(F.col("m.root") == "sitemapindex")
-        children = read.select(F.explode("m.locs").alias("url")).distinct().where(discovery.child_in_scope(F.col("url"), F.lit(url)))
+        read = discovery.read_sitemaps(maps, "url").where(F.col("root") == "sitemapindex")
+        children = read.select(F.explode("locs").alias("url")).distinct().where(discovery.child_in_scope(F.col("url"), F.lit(url)))
         children = children.join(seen.select("url"), "url", "left_anti")
         if children.isEmpty():
             break

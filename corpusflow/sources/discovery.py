@@ -13,9 +13,10 @@ from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..sinks.files import replace_file
@@ -62,31 +63,46 @@ def ordered_distinct(rows: DataFrame, within: list[str], order: list[str]) -> Da
     return first.select(*within, F.col("first").alias("ord"), "url")
 
 
-@F.pandas_udf(StructType([StructField("root", StringType()), StructField("locs", ArrayType(StringType()))]))
-def sitemap(bodies: pd.Series) -> pd.DataFrame:
+def sitemap(body: str | None) -> tuple[str | None, list[str]]:
     """Kind of a sitemap (urlset or sitemapindex) and the trimmed, non-empty
     <loc> texts of its items; neither for anything else, broken XML included."""
+    try:
+        root = ElementTree.fromstring(body or "")
+    except (ElementTree.ParseError, ValueError):
+        return None, []
+    kind = root.tag.removeprefix(SITEMAP_SPACE)
+    item = {"urlset": "url", "sitemapindex": "sitemap"}.get(kind)
+    if item is None or kind == root.tag:
+        return None, []
+    found = (x.findtext(f"{SITEMAP_SPACE}loc") for x in root.findall(f"{SITEMAP_SPACE}{item}"))
+    return kind, [x.strip() for x in found if x and x.strip()]
 
-    def one(body: str | None) -> tuple[str | None, list[str]]:
-        try:
-            root = ElementTree.fromstring(body or "")
-        except (ElementTree.ParseError, ValueError):
-            return None, []
-        kind = root.tag.removeprefix(SITEMAP_SPACE)
-        item = {"urlset": "url", "sitemapindex": "sitemap"}.get(kind)
-        if item is None or kind == root.tag:
-            return None, []
-        found = (x.findtext(f"{SITEMAP_SPACE}loc") for x in root.findall(f"{SITEMAP_SPACE}{item}"))
-        return kind, [x.strip() for x in found if x and x.strip()]
 
-    return pd.DataFrame([one(b) for b in bodies], columns=["root", "locs"])
+#: Maps whose items a task holds at once.
+SLICE = 16
+
+
+def read_sitemaps(bodies: DataFrame, key: str) -> DataFrame:
+    """bodies: (key, body).  (key, root, locs), as ``sitemap`` has them, of all
+    that are sitemaps.  Each body is read once, by one worker a task: a column
+    function would be evaluated again in every filter and field that names it."""
+    kind = dict(bodies.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), SLICE):
+                part = b.slice(lo, SLICE)
+                found = [sitemap(x) for x in part.column("body").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([r for r, _ in found], pa.string()), pa.array([x for _, x in found], pa.list_(pa.string()))], names=[key, "root", "locs"])
+
+    return bodies.select(key, "body").mapInArrow(run, f"`{key}` {kind}, root string, locs array<string>").where(F.col("root").isNotNull())
 
 
 def sitemap_urls(bodies: DataFrame) -> DataFrame:
     """bodies: (site, body) of urlsets.  (site, ord, url).  What is no urlset,
     or broken, has no URLs."""
-    read = bodies.select("site", sitemap("body").alias("m")).where(F.col("m.root") == "urlset")
-    return ordered_distinct(read.select("site", F.posexplode("m.locs").alias("at", "url")), ["site"], ["at"])
+    read = read_sitemaps(bodies, "site").where(F.col("root") == "urlset")
+    return ordered_distinct(read.select("site", F.posexplode("locs").alias("at", "url")), ["site"], ["at"])
 
 
 def child_in_scope(child: Column, base: Column) -> Column:
@@ -102,16 +118,16 @@ def walk_sitemaps(maps: DataFrame, start: str, base: str, depth: int = MAX_DEPTH
     once.  Maps are parsed once; a broken one ends its own branch alone.  Each
     level's frontier is a table, so the plan does not grow with the depth."""
     spark = maps.sparkSession
-    read = durable(maps.select("url", sitemap("body").alias("m")).where(F.col("m.root").isNotNull()), "sitemaps")
+    read = durable(read_sitemaps(maps, "url"), "sitemaps")
     frontier = seen = spark.createDataFrame([(start,)], "url string")
     pages = None
     for level in range(depth + 1):
         here = frontier.join(read, "url")
-        found = here.where(F.col("m.root") == "urlset").select(F.lit(level).alias("level"), F.col("url").alias("map"), F.posexplode("m.locs").alias("at", "url"))
+        found = here.where(F.col("root") == "urlset").select(F.lit(level).alias("level"), F.col("url").alias("map"), F.posexplode("locs").alias("at", "url"))
         pages = found if pages is None else pages.unionByName(found)
         if level == depth:
             break
-        children = here.where(F.col("m.root") == "sitemapindex").select(F.explode("m.locs").alias("url")).distinct()
+        children = here.where(F.col("root") == "sitemapindex").select(F.explode("locs").alias("url")).distinct()
         frontier = durable(children.where(child_in_scope(F.col("url"), F.lit(base))).join(seen, "url", "left_anti"), "sitemap-frontier")
         if frontier.isEmpty():
             break
