@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, grouped, holds, read_table, shuffle_partitions, sliced, turn_to
+from .common import durable, fresh_path, grouped, holds, read_parts, read_table, release, shuffle_partitions, sliced, turn_to
 
 #: Symbols: bytes, the end of a word (and, in contexts, its start), the end of the text.
 CLOSE, END, SYMBOLS = 256, 257, 258
@@ -42,10 +42,10 @@ _U = np.uint64
 _B = 9  # bits of a symbol
 #: Contexts of at most so many symbols are held whole.
 LOW = 2
-#: Keys of a task, as a rule; symbols counted at once.
-TASK_KEYS, CHUNK = 500_000, 4_000_000
-#: Parts that the contexts are counted in, at most.
-PARTS = 4096
+#: Keys of a task, as a rule; symbols counted at once; words of a long text that are spelled at once.
+TASK_KEYS, CHUNK, PIECE = 500_000, 4_000_000, 1 << 17
+#: Words of all texts for a part of the counts, as a rule; keys and counts sent or summed at once; parts at most.
+PART_WORDS, STEP, PARTS = 1_000_000, 1 << 19, 1 << 14
 _SYMBOL = np.arange(256, dtype=_U)
 _SYMBOL[[32, 10]] = CLOSE, END  # no word has white space
 
@@ -92,6 +92,18 @@ def stream_keys(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.nd
     return k[real], starts - order * np.arange(len(parts))
 
 
+def _group_keys(texts: list[str | None], order: int) -> Iterator[np.ndarray]:
+    """Keys of the texts, in arrays of bounded size for a long text on its own."""
+    if len(texts) > 1:
+        yield stream_keys([tokens(t) for t in texts], order)[0]
+        return
+    words = tokens(texts[0])
+    for lo in range(0, max(1, len(words)), PIECE):
+        before = words[max(0, lo - order) : lo]  # at least ``order`` symbols, where there are
+        k = stream_keys([before + words[lo : lo + PIECE]], order)[0]
+        yield k[sum(map(len, before)) + len(before) : None if lo + PIECE >= len(words) else -1]
+
+
 def _real(keys: np.ndarray, d: int) -> np.ndarray:
     """Keys with a context as long as d: the d-th symbol back is the start at most."""
     if d < 2:
@@ -202,10 +214,11 @@ def word_counts(texts: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     """(word binary, c long) over the tokens of all texts, without the ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("ppm-counts")
         seen: Counter = Counter()
         n = 0
-        for b in sliced(batches):
-            for text in b.column("text").to_pylist():
+        for texts, _ in grouped(batches, 256):
+            for text in texts:
                 words = tokens(text)
                 seen.update(words)
                 n += len(words)
@@ -260,41 +273,58 @@ def train(words: DataFrame, ends: int, order: int = 6) -> Trie:
 def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
     """(k, n): the keys of all texts and how often they occur, as a durable
     table.  Tasks send sorted keys and counts as arrays, one per part of the
-    contexts; a part's arrays are merged as they come.  The parts are more for
-    more ``words``."""
-    parts_ = min(PARTS, max(shuffle_partitions(texts.sparkSession), words // CHUNK))
+    keys; a part's arrays are merged as they come.  The parts are more for
+    more ``words``, and a key's hash tells its part, so that no context is more
+    than its share of one."""
+    parts_ = min(PARTS, max(shuffle_partitions(texts.sparkSession), words // PART_WORDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in sliced(batches):
-            if len(b):
-                held.append(stream_keys([tokens(t) for t in b.column("text").to_pylist()], order)[0])
-                size += len(held[-1])
-            if size >= CHUNK:
-                yield from sent(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            yield from sent(np.concatenate(held))
-
-    def sent(keys: np.ndarray) -> list[pa.RecordBatch]:
-        k, n = np.unique(keys, return_counts=True)
-        part = ((k >> _U(_B)) & _U((1 << _B * (LOW + 1)) - 1)) * _U(0x9E3779B97F4A7C15) >> _U(33)
-        part = (part % _U(parts_)).astype("int32")
-        at = np.argsort(part, kind="stable")
-        k, n, part = k[at], n[at].astype("int32"), part[at]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ends = np.r_[first[1:], len(k)]
-        blobs = [[x[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)] for x in (k, n)]
-        whole = pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in blobs]], names=["part", "k", "n"])
-        return [whole.slice(lo, 8) for lo in range(0, len(whole), 8)]
+        turn_to("ppm-counts")
+        yield from counted(batches)
+        release()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = np.empty(CHUNK, _U), 0
+        for some, _ in grouped(batches, 256):
+            for k in _group_keys(some, order):
+                while len(k):
+                    more = k[: CHUNK - size]
+                    held[size : size + len(more)] = more
+                    size, k = size + len(more), k[len(more) :]
+                    if size == CHUNK:
+                        yield from sent(held)
+                        size = 0
+        yield from sent(held[:size])
+
+    def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorts the keys where they are."""
+        keys.sort()
+        starts = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+        for lo in range(0, len(starts), STEP):
+            first = starts[lo : lo + STEP]
+            k, n = keys[first], np.diff(np.r_[first, starts[lo + STEP] if lo + STEP < len(starts) else len(keys)]).astype("int32")
+            part = _part(k, parts_)
+            at = np.argsort(part, kind="stable")
+            k, n, part = k[at], n[at], part[at]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[first[1:], len(k)].tolist()
+            for i in range(0, len(first), 32):
+                spans = list(zip(first[i : i + 32].tolist(), ends[i : i + 32], strict=True))
+                blobs = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (k, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[first[i : i + 32]]), *blobs], names=["part", "k", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("ppm-counts")
+        yield from merged(batches)
+        release()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size, known = [], 0, 0
         for b in batches:
             for k, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
                 got.append((np.frombuffer(k, _U), np.frombuffer(n, "int32").astype("int64")))
                 size += len(got[-1][0])
-                if size - known >= max(CHUNK, known):
+                if size - known >= max(STEP, known):
                     got = [_summed(got)]
                     size = known = len(got[0][0])
         if got:
@@ -306,6 +336,16 @@ def key_counts(texts: DataFrame, order: int, words: int = 0) -> DataFrame:
     return durable(dealt.mapInArrow(merge, "k long, n long"), "ppm-entries", rows=64)  # arrays are long rows
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, by a hash of the whole key."""
+    h = keys * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    h >>= _U(33)
+    h %= _U(parts)
+    return h.astype("int32")
+
+
 def _summed(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and the sums of their counts."""
     k, n = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -359,6 +399,7 @@ def _priced(entries: DataFrame, size: int, low: str, order: int, least: int) ->
     """(k, p): the log10 probabilities of the keys with at least ``least`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("ppm-trie")
         got = [(b.column("k").to_numpy().view(_U), b.column("n").to_numpy()) for b in batches]
         if got:
             k, n = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -373,6 +414,7 @@ def _asked(entries: DataFrame, size: int, low: str, order: int, asked: DataFrame
     """(row, p): sums of the log10 probabilities of the keys in ``asked`` (row, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("ppm-trie")
         got, tables, wait, size = [], None, [], 0
         for b in batches:
             row, k, n = (b.column(x).to_numpy() for x in ("row", "k", "n"))
@@ -405,13 +447,18 @@ def _asked(entries: DataFrame, size: int, low: str, order: int, asked: DataFrame
 @lru_cache(maxsize=1)
 def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
     """The held keys, sorted, and their log10 probabilities; once per worker."""
-    t = read_table(uri)
-    k, p = t.column("k").to_numpy().view(_U), t.column("p").to_numpy()
+    k, p = read_parts(uri, {"k": "int64", "p": "float64"})
+    k = k.view(_U)
     at = np.argsort(k)
-    return k[at], p[at]
+    k = k[at]
+    p = p[at]
+    del at
+    release()
+    return k, p
 
 
-holds("ppm", _low_tables.cache_clear, _common.cache_clear, _load.cache_clear)
+holds("ppm-trie", _low_tables.cache_clear)
+holds("ppm", _common.cache_clear, _load.cache_clear)
 
 
 def score(docs: DataFrame, training: DataFrame, order: int = 6, frequent: int = 1 << 17, held: int = 4_000_000) -> DataFrame:

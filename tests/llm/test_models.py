@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +344,80 @@ def test_order_of_words_matters(spark):
     docs = spark.createDataFrame([(1, text), (2, "six three eight one five two seven four")], "doc_id long, text string")
     got = {r.doc_id: r for r in score(docs, spark.createDataFrame([(text,)] * 3, "text string")).collect()}
     assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 1
+
+
+class Tasks:
+    """Stands for a DataFrame and keeps what its tasks would run."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.run = spark, []
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, function, _):
+        self.run.append(function)
+        return self
+
+    def repartitionById(self, *_):
+        return self
+
+
+@pytest.fixture
+def counting(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "durable", lambda df, *_, **__: df)
+    return lambda words=0: ppm.key_counts(Tasks(spark), 6, words).run
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_counting_long_texts_takes_little_memory(counting):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 80_000).tolist())) for _ in range(20)]
+    batch, got = pa.RecordBatch.from_pydict({"text": texts}), []
+
+    def run():
+        for b in counting()[0](iter([batch])):
+            got.append(sum(len(k) // 8 for k in b.column("k").to_pylist()))
+
+    assert peak(run) < 300
+    assert sum(got) > 1_000_000
+
+
+def test_merging_a_parts_counts_takes_little_memory(counting):
+    keys = np.arange(100_000, dtype="uint64") * 977
+    batch = pa.RecordBatch.from_pydict({"part": [0], "k": [keys.tobytes()], "n": [np.full(len(keys), 3, "int32").tobytes()]})
+    k, n = [], []
+
+    def run():
+        for b in counting()[1](batch for _ in range(60)):
+            k.extend(b.column("k").to_pylist())
+            n.extend(b.column("n").to_pylist())
+
+    assert peak(run) < 100
+    assert k == keys.tolist() and set(n) == {180}
+
+
+def test_a_frequent_context_is_not_one_part(counting):
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(map(chr, x)) + "eee" for x in rng.integers(97, 123, (50_000, 2)).tolist())
+    parts = Counter()
+    for b in counting(10**8)[0](iter([pa.RecordBatch.from_pydict({"text": [text]})])):
+        for part, k in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), strict=True):
+            parts[part] += len(k) // 8
+    assert max(parts.values()) < 0.08 * sum(parts.values())
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "a", "One  two\nthree é five a b c d e f g h i j k l m n o p q r s"])
+def test_keys_of_a_text_in_pieces(monkeypatch, text):
+    whole = ppm.stream_keys([tokens(text)], 6)[0].tolist()
+    for piece in (1, 2, 5, 100):
+        monkeypatch.setattr(ppm, "PIECE", piece)
+        assert np.concatenate(list(ppm._group_keys([text], 6))).tolist() == whole
