@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +24,9 @@ from pyspark.sql import Window as W
 from .common import WORD, durable
 
 
+_SOURCES = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("shards", pa.int32())])
+
+
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of ``total`` by weight, none above ``most`` times its size; what
     is cut off is shared again by weight among the rest."""
@@ -114,7 +118,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     quota = sainte_lague(np.array(goal), round(sum(goal) / block), caps) if per_source else np.zeros(0, "int64")
     plan = [(r["source"], r["size"], float(g), int(q), max(1, -(-r["docs"] // rows_per_shard))) for r, g, q in zip(per_source, goal, quota, strict=True)]
     spark = docs.sparkSession
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, quota long, shards int")
+    # a list of rows would go through Python workers of its own kind, which wait beside the others for the rest of the session
+    sources = spark.createDataFrame(pa.Table.from_pylist([dict(zip(_SOURCES.names, x, strict=True)) for x in plan], _SOURCES))
     rows = slim.join(sources.withColumnRenamed("source", "_source"), slim["source"].eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "_print"), F.col("shards").cast("long")))
     stock = rows.groupBy("source", "shard").agg(F.sum("size").alias("stock"), F.first("quota").alias("quota"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import durable, tokenizer_path
-from .tokens import encode_texts, ids_crc32
+from .tokens import MEMO, encode_texts, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -217,7 +217,7 @@ def best_plan(histogram: dict[int, int], capacity: int, schemes=SCHEMES) -> tupl
     return best
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0, memo: int = MEMO) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces:
     whole if it has at most ``capacity`` ids, else cut every ``capacity``.
     A null text is empty; a document without ids at all gives no piece."""
@@ -228,7 +228,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             for lo in range(0, len(b), 1024):
                 rows = []
                 own, texts = (b.column(c)[lo : lo + 1024].to_pylist() for c in ("doc_id", "text"))
-                for doc_id, ids in zip(own, encode_texts(texts, path), strict=True):
+                for doc_id, ids in zip(own, encode_texts(texts, path, memo), strict=True):
                     if end_id is not None:
                         ids = np.concatenate([ids, np.array([end_id], ids.dtype)])
                     for j, at in enumerate(range(0, len(ids), capacity)):
@@ -274,9 +274,9 @@ def pack(sized: DataFrame, capacity: int = 2048, schemes=SCHEMES, rows_per_salt:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0, schemes=SCHEMES) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0, schemes=SCHEMES, memo: int = MEMO) -> DataFrame:
     """Tokenise, cut and pack every whole text of ``docs`` (doc_id, text).
     Null text: empty (its end id alone).  Rows that share an id keep their own
     pieces.  Other columns are ignored.  The pieces, without their ids, are
     written once to the shared folder."""
-    return pack(durable(pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity, schemes)
+    return pack(durable(pieces(docs, capacity, tokenizer, end_id, memo), "pieces"), capacity, schemes)

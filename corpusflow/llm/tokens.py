@@ -32,13 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bounded, _fs, durable, fresh_path, holds, shuffle_partitions, tokenizer_path, turn_to
+from .common import Bounded, _fs, durable, fresh_path, holds, release, shuffle_partitions, tokenizer_path, turn_to
 
 
 _MARKS = frozenset(",.")
 
 
 _MEMOS: list[Bounded] = []
+#: Parts in a generation of a memo, about 300 bytes each; a memo has two generations, a worker two memos.  Fewer cost
+#: time, and are for stages that share their executors with what others left.
+MEMO, SMALL_MEMO = 250_000, 64_000
 
 
 def _forget() -> None:
@@ -72,6 +75,8 @@ def _encoder(path: str):
     spec = json.loads(tok.to_str())
     pre = json.dumps(spec.get("pre_tokenizer") or {})
     norm = json.dumps(spec.get("normalizer") or {})
+    del spec
+    release()  # the file's text and the tables it was read from
     drops_blanks = '"Removed"' in pre and "[^\\\\s" in pre and "Prepend" not in norm
     if not drops_blanks:
         return ids, dtype
@@ -84,10 +89,10 @@ def _encoder(path: str):
             return normal[word[:-1]] + normal[word[-1]] if word[-1:] in _MARKS and word[-2:-1].isalpha() else ids(word)
         return np.array([t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(mapped))], dtype=dtype).tobytes()
 
-    normal = Bounded(letters)
+    normal = Bounded(letters, MEMO)
     sure = all(letters(w) == ids(w) for w in ("the", "words", "schön", "été", "año", "слово", "言葉", "ꙮaa", "so,", "été."))
     lowers = '"Lowercase"' in norm and '"NFC"' in norm
-    other = Bounded(ids)
+    other = Bounded(ids, MEMO)
     normal = normal if sure else other
     _MEMOS.extend((normal, other))
     nfc = unicodedata.is_normalized
@@ -101,10 +106,12 @@ def _encoder(path: str):
     return by_part, dtype
 
 
-def encode_texts(texts: Iterable[str | None], path: str | None = None) -> Iterator[np.ndarray]:
-    """Ids of each whole text (None: empty)."""
+def encode_texts(texts: Iterable[str | None], path: str | None = None, memo: int = MEMO) -> Iterator[np.ndarray]:
+    """Ids of each whole text (None: empty).  ``memo`` bounds what is remembered, not the result."""
     turn_to("tokens")
     encode, dtype = _encoder(path or tokenizer_path())
+    for held in _MEMOS:
+        held.limit = memo
     for text in texts:
         yield np.frombuffer(encode(text or ""), dtype)
 

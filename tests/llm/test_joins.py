@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,26 @@ def test_top_k_of_repeated_ids_and_other_lengths(spark):
     got = sorted(tuple(r) for r in top_k(df, df.where("vec_id in (2, 6)"), 2).collect())
     # candidates are rows: (2, rank, vec, score)
     assert got == [(2, 1, 4, 10), (2, 2, 1, 3), (6, 1, 7, 2)]
+
+
+def test_tasks_let_go_of_their_tables(spark, monkeypatch):
+    class Table:
+        columns = ["doc_id", "text"]
+
+        def select(self, *_):
+            return self
+
+        def withColumn(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    monkeypatch.setattr(ngram_join, "read_table", lambda uri: {"c": pa.table({"h": [1, 2]}), "b": pa.table({"w": pa.array([0], pa.int32()), "b": [-1]})}[uri])
+    words = " ".join(map(str, range(40_000)))  # more than a generation of hashed words
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [words, "a b c"], "_h": pa.array([3, 70], pa.int64())})
+    for task in (ngram_join._features(Table(), 3, Rule(9, 10), "c"), ngram_join._maybe(Table(), "doc_id", "b", lambda b: [b], "")):
+        rows = [b.column("doc_id").to_pylist() for b in task(iter([batch]))]
+        assert rows in ([[1, 2]], [[1]])
+        assert not ngram_join._WORDS and not ngram_join._WORDS.old
+        assert ngram_join._common.cache_info().currsize == ngram_join._bitmap.cache_info().currsize == 0

@@ -179,3 +179,10 @@ def test_words_taken_are_the_mix_word_by_word(spark):
 
     plain = plain_mix([(i, s, len(t.split()), *hashed[i]) for i, t, s in rows], (5, 2, 1), 3.0, 9, 40, seed)
     assert got == plain
+
+
+def test_sources_come_without_python_workers(spark):
+    docs = spark.sql("select id as doc_id, concat('s', id % 3) as source, 'a b c' as text from range(30)")
+    mixed = mix(docs)
+    assert "ExistingRDD" not in mixed._jdf.queryExecution().toString()
+    assert mixed.count() == 30

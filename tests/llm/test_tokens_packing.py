@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -5,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from corpusflow.llm import tokens
 from corpusflow.llm.packing import best_plan, configurations, group_lengths, pack, pack_documents, plan
 from corpusflow.llm.tokens import TokenFile, _finer, encode_texts, read_token_files, write_token_files
 from corpusflow.llm.common import tokenizer_path
@@ -173,3 +175,15 @@ def test_one_length_with_all_rows_is_spread(spark):
     rows = spark.range(500).selectExpr("id as doc_id", "0 as piece", "cast(7 as long) as length")
     got = pack(rows, 20, rows_per_salt=5).groupBy("sequence_id").count().collect()
     assert len(got) == 250 and all(r["count"] == 2 for r in got)
+
+
+def test_memos_hold_a_bounded_number_of_parts():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(x) for x in itertools.islice(itertools.product(letters, repeat=4), 300_000)]
+    texts = [" ".join(words[lo : lo + 1000]) for lo in range(0, len(words), 1000)]
+    tokens._forget()
+    first = [ids.tobytes() for ids in encode_texts(texts[:3])]
+    assert sum(len(ids) for ids in encode_texts(texts, memo=tokens.SMALL_MEMO)) > len(words)
+    assert all(len(memo) + len(memo.old) <= 130_000 for memo in tokens._MEMOS)
+    assert [ids.tobytes() for ids in encode_texts(texts[:3])] == first
+    tokens._forget()
