@@ -166,5 +166,12 @@ def readiness(noise: Column, boundary: Column, depth: Column) -> Column:
     return F.lit(0.4) * (1 - noise) + F.lit(0.3) * boundary.cast("double") + F.lit(0.3) * deep
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded as SQL's round_even: of the scaled double, halves to the even
+    side.  The shortest decimal, as ``bround`` has it, sees 0.8250000000000001,
+    where sums of binary fractions mean 0.825, as no half."""
+    return F.rint(x * 10**digits) / 10**digits
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 0.8, "A").when(score >= 0.5, "B").otherwise("C")

@@ -38,7 +38,7 @@ def parts(chunk_files: DataFrame, docs: DataFrame, most: int, urls: DataFrame |
     else:
         out = out.withColumn("url", F.lit(None).cast("string"))
     if scores is not None:
-        s = scores.select("chunk_index", F.struct(F.bround("score", 2).alias("score"), "grade", F.bround("noise_ratio", 3).alias("noise_ratio")).alias("readiness"))
+        s = scores.select("chunk_index", F.struct(T.half_even(F.col("score"), 2).alias("score"), "grade", T.half_even(F.col("noise_ratio"), 3).alias("noise_ratio")).alias("readiness"))
         out = out.join(s, "chunk_index", "left")
     else:
         out = out.withColumn("readiness", F.lit(None).cast("struct<score: double, grade: string, noise_ratio: double>"))

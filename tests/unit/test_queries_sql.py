@@ -37,3 +37,16 @@ def test_odd_pages(spark, odd, name):
     got = entry.queries()[name](spark, odd)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, rows))
+
+
+def test_headers_of_halves(spark, tmp_path):
+    """Scores and noise that are halves of the last digit shown, but for what binary fractions add."""
+    pages = [(i, f"https://a.example.com/x/{i}", f"<html><body><nav> {'menu ' * (4000 - n)}</nav> <article><h1>Title</h1> <p>{'word ' * (n - 1)}</p></article></body></html>") for i, n in enumerate((3750, 3718, 3314, 3700))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = c.execute(entry.oracle_sql()["context_headers"])
+        names, rows = [x[0] for x in want.description], want.fetchall()
+    assert len(rows) == 4
+    got = entry.queries()["context_headers"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(rows)
