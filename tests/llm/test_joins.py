@@ -197,3 +197,21 @@ def test_tasks_let_go_of_their_tables(spark, monkeypatch):
         assert rows in ([[1, 2]], [[1]])
         assert not ngram_join._WORDS and not ngram_join._WORDS.old
         assert ngram_join._common.cache_info().currsize == ngram_join._bitmap.cache_info().currsize == 0
+
+
+def test_repeated_signatures_are_found_by_their_hashes(spark, monkeypatch):
+    """All that two rows have, next to nothing else, and few bytes to deal."""
+    monkeypatch.setattr(ngram_join, "PART", 5000)
+    r = np.random.default_rng(5)
+    shared = r.integers(-(1 << 63), 1 << 63, 300)
+    rows = [(i, [*r.integers(-(1 << 63), 1 << 63, 200).tolist(), *map(int, r.choice(shared, 3, replace=False))]) for i in range(400)] + [(900, []), (901, [-1, 0]), (902, [-1])]
+    feats = spark.createDataFrame(rows, "key long, sigs array<long>").repartition(5)
+    times = Counter(s for _, x in rows for s in x)
+    want = {(k, s) for k, x in rows for s in x if times[s] > 1}
+    got = {tuple(x) for x in ngram_join._repeated(feats).collect()}
+    assert want <= got and len(got) <= len(want) + 30
+    h = np.sort(r.integers(0, 1 << 40, 100_000).astype("uint64"))
+    raw = ngram_join._packed(h)
+    assert (ngram_join._unpacked(raw) == h).all() and len(pa.compress(raw, "lz4_raw", asbytes=True)) < 4 * len(h)
+    assert len(ngram_join._unpacked(ngram_join._packed(h[:0]))) == 0
+    assert not ngram_join._repeated(feats.limit(0)).count()

@@ -1,12 +1,13 @@
 """Durable tables belong to the call that makes them."""
 
 import os
+import time
 from concurrent.futures import ThreadPoolExecutor
 from threading import Barrier
 
 import pytest
 
-from corpusflow.tables import Scope, durable, fresh_path, owned, shared_dir
+from corpusflow.tables import CLEANUP, Scope, durable, fresh_path, owned, shared_dir
 
 
 def there(spark):
@@ -71,3 +72,19 @@ def test_threads_do_not_share_scopes(spark):
     with ThreadPoolExecutor(2) as pool:
         a, b = pool.map(call, (5, 6))
     assert (a.count(), b.count()) == (5, 6)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    kept = spark.conf.get(CLEANUP)
+    before = files()
+    out = durable(spark.range(1000).repartition(3, "id").groupBy("id").count(), "own")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == kept
+    assert out.count() == 1000
