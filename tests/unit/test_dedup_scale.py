@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import dedup
-from corpusflow.operators.dedup import Plan, _slices, near_pairs, plan_for, settled
+from corpusflow.operators.dedup import Plan, _close, _slices, near_pairs, plan_for, settled
 from corpusflow.operators.graph import components
 
 
@@ -156,3 +156,22 @@ def test_a_text_is_hashed_once_in_a_batch(monkeypatch):
     monkeypatch.setattr(dedup, "md5", lambda x: (n.append(x), kept(x))[1])
     dedup.simhashes(["a b c d e"] * 50)
     assert n == [b"a b c", b"b c d", b"c d e"]
+
+
+@pytest.mark.parametrize("n", [1000, 150_000, 236_000, 1_400_000, 30_000_000])
+def test_blocks_where_no_key_rules_anything_out(n):
+    """At 16 of 64 bits cells would gather half of all pairs."""
+    assert not plan_for(n, 16).masks
+
+
+def test_blocks_are_compared_in_tiles(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(-(1 << 63), 1 << 63, 9000)
+    h = np.unique(np.concatenate([base, base[:300] ^ r.integers(0, 1 << 16, 300)]))
+    want = {tuple(sorted((int(h[i]), int(h[j])))) for lo in range(0, len(h), 64) for i, j in np.argwhere(np.bitwise_count((h[lo : lo + 64, None] ^ h[None, :]).view("uint64")) <= 16) + [lo, 0] if i < j}
+    pairs = near_pairs(spark.createDataFrame([(int(x),) for x in h], "simhash long"), 16)
+    assert pairs.rdd.getNumPartitions() == 3 * 4  # of three blocks, whatever the session's number
+    got = [(x.a, x.b) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 300
+    i, j = (np.concatenate(x) for x in zip(*_close(h[:5000].view("uint64"), h[4000:].view("uint64"), 16)))
+    assert {tuple(sorted((int(h[x]), int(h[4000 + y])))) for x, y in zip(i, j) if x != 4000 + y} <= want
